@@ -169,18 +169,33 @@ def _labelled(postings: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(out.join(mixed, "k"))
 
 
-def remaining_pairs(left: DataFrame, classes: DataFrame, rules: NearDupRules) -> DataFrame:
-    """Pairs (a, b) of one posting in different components, each under the first value its prefixes share, if sizes allow a link."""
-    places = left.groupBy("cid").agg(F.collect_list("k").alias("ks"))
-    full = left.select("k", "cid", "comp").join(places, "cid").join(classes.select("cid", "n_shingles", "sig"), "cid")
+def remaining_pairs(left: DataFrame, hubs: DataFrame, classes: DataFrame, sets: DataFrame, rules: NearDupRules) -> DataFrame:
+    """Pairs (a, b) of one posting in different components that can still be links, each under the first value its prefixes share.
+
+    Each class knows its widest hub, how much of its set lies in the hub's, and the rest.
+    Two classes of one hub have at most the smaller of those parts and what their rests
+    share in common, so most members of a large group rule each other out without a test.
+    """
+    own = left.join(hubs, "k").groupBy("cid").agg(F.max_by("h.cid", F.struct("h.reach", "h.cid")).alias("hub"), F.collect_list("k").alias("ks"))
+    rest = (
+        own.join(sets, "cid")
+        .join(sets.select(F.col("cid").alias("hub"), F.col("shingles").alias("hub_set")), "hub")
+        .select("cid", "hub", "ks", F.size("shingles").alias("n"), F.array_except("shingles", "hub_set").alias("rest"))
+    )
+    full = left.select("k", "cid", "comp").join(rest, "cid").join(classes.select("cid", "sig"), "cid")
     x, y = full.alias("x"), full.alias("y")
     agree = F.aggregate(F.zip_with("x.sig", "y.sig", lambda u, v: (u == v).cast("int")), F.lit(0), lambda s, u: s + u)
-    small, large = F.least("x.n_shingles", "y.n_shingles"), F.greatest("x.n_shingles", "y.n_shingles")
+    common = F.least(F.col("x.n") - F.size("x.rest"), F.col("y.n") - F.size("y.rest"))
+    most = common + F.size(F.array_intersect("x.rest", "y.rest"))
     on = (
         (F.col("x.k") == F.col("y.k"))
         & (F.col("x.comp") < F.col("y.comp"))
-        & (100 * small >= rules.percent * large)
+        & (100 * F.least("x.n", "y.n") >= rules.percent * F.greatest("x.n", "y.n"))
         & (F.array_min(F.array_intersect("x.ks", "y.ks")) == F.col("x.k"))
+        & (
+            (F.col("x.hub") != F.col("y.hub"))
+            | (100 * most >= rules.percent * (F.col("x.n") + F.col("y.n") - most))
+        )
         & (agree >= rules.min_matches)
     )
     return x.join(y, on).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
@@ -201,7 +216,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, rules: NearDupRules =
         return checkpointed(confirmed(pairs, classes, sets, rules))
 
     def hub(p: DataFrame) -> DataFrame:
-        return p.groupBy("k").agg(F.max_by(F.struct("cid", "comp"), F.struct("reach", "cid")).alias("h"))
+        return p.groupBy("k").agg(F.max_by(F.struct("cid", "comp", "reach"), F.struct("reach", "cid")).alias("h"))
 
     single = postings.withColumn("comp", F.col("cid"))
     links = with_hub(single, hub(single))
@@ -209,7 +224,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, rules: NearDupRules =
     second = hub(left.join(hub(left), "k").filter("h.comp != comp").drop("h"))
     links = checkpointed(links.unionByName(with_hub(left, second)))
     left = _labelled(postings, links)
-    links = checkpointed(links.unionByName(confirmed(remaining_pairs(left, classes, rules), classes, sets, rules)))
+    links = checkpointed(links.unionByName(confirmed(remaining_pairs(left, hub(single), classes, sets, rules), classes, sets, rules)))
     parts = connected_components(links).select(F.col("node").alias("cid"), "component")
     first = parts.join(classes, "cid").groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = classes.join(parts, "cid", "left").join(first, "component", "left").select("cid", F.coalesce("component_id", "first_id").alias("component_id"))
