@@ -2,35 +2,84 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenkg.llm.common import checkpointed, prepare, table
 from lumenkg.llm.neardup import near_duplicates
+from lumenkg.llm.packing import pack_documents
+from lumenkg.llm.pii import base_spans, find_personal_data
 from lumenkg.llm.quality import judge_documents
+from lumenkg.llm.toxicity import ToxicityRules, fit_toxicity, score_toxicity, training_sample
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of docs whose id and text are not those of a rejected row; null ids and texts are compared as values."""
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    """Rows of docs whose id and text are not those of a rejected (doc_id, text_hash); null ids are compared as values."""
+    keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
     drop = rejected.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))
-    return keyed.join(drop, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_anti").drop("_h")
+    return keyed.join(drop, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_anti").select(docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    verdicts = judge_documents(spark, docs.withColumn("text", F.coalesce("text", F.lit(""))))
-    return _without(docs.withColumn("text", F.coalesce("text", F.lit(""))), verdicts.filter("NOT kept"))
+    """Documents that the quality rules keep; null texts are rejected as too short."""
+    return _without(docs, judge_documents(spark, docs).filter("NOT kept"))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below the cut; the model is fitted on the labelled ones among docs."""
+    prepare(spark)
+    rules = ToxicityRules()
+    model = fit_toxicity(training_sample(docs, table(spark, sf_dir, "labels"), rules), rules)
+    return score_toxicity(spark, docs, model, rules, carry=tuple(docs.columns)).filter("predicted = 0").select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id; of rows repeating an id, one."""
-    kept = near_duplicates(spark, docs).filter("kept").select("doc_id").distinct()
-    unique = docs.filter("doc_id IS NULL").unionByName(docs.join(kept, "doc_id", "left_semi"))
-    return unique.select(docs.columns)
+    """One document of each near-duplicate group, the one with the smallest id; of rows that repeat an id, all or none stay; null ids stay."""
+    dropped = near_duplicates(spark, docs).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with its spans, overlapping ones joined, replaced by the first one's kind."""
+    out, at = [], 0
+    for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if start >= at:
+            out += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def mask_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, max_broadcast: int = 100_000) -> DataFrame:
+    """Texts with every span of personal data replaced by its kind in brackets; n_chars follows.
+
+    Rows of equal id and text have equal spans, so spans found by context are joined by a
+    hash of both; they are broadcast up to max_broadcast rows and joined by shuffle beyond it.
+    """
+    columns, keyed = docs.columns, docs.withColumn("_h", F.xxhash64("doc_id", "text"))
+    extra = find_personal_data(spark, keyed, key="_h").filter(F.size("extra") > 0).select("_h", "extra").dropDuplicates(["_h"])
+    extra = checkpointed(extra)
+    few = extra.limit(max_broadcast + 1).count() <= max_broadcast
+    rows = keyed.join(F.broadcast(extra) if few else extra, "_h", "left").select("text", "extra", *[F.col(c).alias(f"_{c}") for c in columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for t, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                spans = base_spans(t) + [(x["kind"], x["start"], x["end"]) for x in more or ()]
+                texts.append(masked(t, spans) if spans else t)
+            rest = dict(zip(columns, batch.columns[2:]))
+            rest["text"] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([rest[c] for c in columns], columns)
 
+    out = rows.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
-def toxicity_stage(spark, docs, sf_dir):
-    raise NotImplementedError
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences, with their ids."""
+    import public_tokenizers
 
-mask_stage = packing_stage = toxicity_stage
+    return pack_documents(spark, docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -154,11 +154,14 @@ def expected_tokens(marginals: np.ndarray, rules: ToxicityRules) -> float:
     return float(p[p >= rules.span_threshold].sum(dtype=np.float64))
 
 
-SCORED = "k long, score double, n_spans long, spans array<struct<start:int,end:int,p:double>>"
+SCORED = "score double, n_spans long, spans array<struct<start:int,end:int,p:double>>"
 
 
-def score_toxicity(spark: SparkSession, docs: DataFrame, model: Crf, rules: ToxicityRules = ToxicityRules(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, score, predicted, n_spans, spans) per row; spans are code points of offending tokens, end exclusive."""
+def score_toxicity(spark: SparkSession, docs: DataFrame, model: Crf, rules: ToxicityRules = ToxicityRules(), text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns carry, and score, n_spans, spans and predicted; spans are code points of offending tokens, end exclusive.
+
+    Carried columns must not be named like the added ones.
+    """
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)  # a fixed table of 2**18 buckets
 
@@ -168,7 +171,7 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, model: Crf, rules: Toxi
         words_of = WordTable(crf, clean_word)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(0).to_pylist()
             scores, spans = [], []
             for first, documents in blocks_of(texts):
                 at = words_of.blocks(documents)
@@ -181,10 +184,12 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, model: Crf, rules: Toxi
                         spans.append([{"start": places[h][0], "end": places[h][1], "p": float(p[h, 1])} for h in hits])
                     else:
                         spans.append([])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, kind)], ["k", "score", "n_spans", "spans"])
+            made = [pa.array(scores, pa.float64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, kind)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*carry, "score", "n_spans", "spans"])
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    out = rows.mapInArrow(run, SCORED).withColumnRenamed("k", key)
+    kept = docs.select(*carry)
+    rows = docs.select(F.col(text).cast("string").alias("_scored_text"), *carry)
+    out = rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), SCORED]))
     return out.withColumn("predicted", (F.col("score") >= rules.cut).cast("int"))
 
 
