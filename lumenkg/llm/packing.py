@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,34 +41,70 @@ class PackRules:
     #: Sequences of a pool go to step groups of about this many ids.
     step_ids: int = 65_536
     #: Encoded words kept by a worker before its table starts anew.
-    memo_words: int = 600_000
+    memo_words: int = 1_200_000
 
 
-class WordEncoder:
+#: Words that the tokenizer takes as one part and leaves as they are: lower-case Latin-1 letters.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+def byte_letters() -> list[str]:
+    """The visible character that byte-level vocabularies use for each byte: itself if printable, else the next free one from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(b if b in shown else next(hidden)) for b in range(256)]
+
+
+class WordEncoder(dict):
     """Ids of texts as little-endian 32-bit bytes; each distinct word is encoded once.
 
     The tokenizer drops white space, so parts between spaces or line feeds never interact
-    and their ids can be put together.
+    and their ids can be put together.  It lower-cases, so texts in Latin-1 are lower-cased
+    first to have fewer distinct words.  Words of plain letters go to its merge model
+    directly, all others through the whole tokenizer.
     """
 
-    def __init__(self, path: str, memo_words: int = 600_000):
+    def __init__(self, path: str, memo_words: int = 1_200_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.memo_words = Tokenizer.from_file(path), {"": b""}, memo_words
+        self.tokenizer, self.memo_words = Tokenizer.from_file(path), memo_words
+        letters = byte_letters()
+        self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+        probe = "théßÿ"  # the short way is taken only if it agrees with the library
+        self.direct = self._direct(probe) == self._whole([probe])[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self[""] = b""
+
+    def _direct(self, word: str) -> bytes:
+        shown = word if word.isascii() else word.translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def __missing__(self, word: str) -> bytes:
+        if self.direct and PLAIN.fullmatch(word):
+            ids = self._direct(word)
+        elif self.direct and word[-1:] in (".", ",") and PLAIN.fullmatch(word, 0, len(word) - 1):
+            ids = self[word[:-1]] + self[word[-1]]  # the tokenizer always cuts between a letter and a stop
+        else:
+            ids = self._whole([word])[0]
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.memo) > self.memo_words:
-            self.memo = {"": b""}
-        memo = self.memo
-        missing = list({w for words in split for w in words if w not in memo})
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                memo[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+        out = []
+        for t in texts:
+            try:
+                t.encode("latin-1")
+                t = t.lower()
+            except UnicodeEncodeError:
+                pass
+            out.append(b"".join(map(self.__getitem__, t.replace("\n", " ").split(" "))))
+            if len(self) > self.memo_words:
+                self._forget()
+        return out
 
 
 def pack_lengths(lengths: list[int], rules: PackRules = PackRules()) -> list[list[tuple[int, int, int]]]:
