@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -29,8 +30,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back: lineage is cut, lost executors lose nothing."""
-    return df.checkpoint(eager=True)
+    """Write df to the shared checkpoint folder and read it back: lineage is cut, lost executors lose nothing.
+
+    Shuffle files of the lineage just cut stay until the driver collects its garbage, so
+    it is asked to: iterative operators would fill the executors' disks otherwise.
+    """
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def shared_folder(spark: SparkSession) -> str:
