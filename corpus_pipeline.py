@@ -8,17 +8,16 @@ documents; the last returns the pieces of packed sequences.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from lumenkg.llm import stages
 from lumenkg.llm.common import shared_folder, table
-from lumenkg.llm.stages import mask_stage, near_duplicate_stage, packing_stage, quality_stage, toxicity_stage
 
 STAGES = [
-    ("quality rules", quality_stage),
-    ("toxicity", toxicity_stage),
-    ("near duplicates", near_duplicate_stage),
-    ("personal data", mask_stage),
-    ("packing", packing_stage),
+    ("quality rules", stages.quality_stage),
+    ("toxicity", stages.toxicity_stage),
+    ("near duplicates", stages.near_duplicate_stage),
+    ("personal data", stages.mask_stage),
+    ("packing", stages.packing_stage),
 ]
 
 #: SQL cannot express the trained stages and the tokenizer; the tests hold the stages against brute force.
