@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 CJK = "\\u4e00-\\u9fff"
 #: Punctuation that overlap comparison ignores beside white space.
-OVERLAP_PUNCTUATION = "，。！？、；：,.!?;:\"'()（）\\[\\]【】<>《》“”‘’`~-_/\\\\|"
+OVERLAP_PUNCTUATION = "，。！？、；：,.!?;:\"'()（）\\[\\]【】<>《》“”‘’`~\\-_/\\\\|"
 
 
 def clean_text(c: Column) -> Column:

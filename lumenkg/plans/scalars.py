@@ -107,7 +107,7 @@ def x26_light_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("l_partkey", F.round(0.75 * F.log1p("m") + 0.25 * F.log1p("d"), 6).alias("score"))
 
 
-@query("x27_node_size", "SELECT vec_id, round(10 + 26 * greatest(0, least(1, embedding[1])), 4) AS size FROM embeddings")
+@query("x27_node_size", "SELECT vec_id, round(10 + 26 * greatest(0, least(1, embedding[1]::DOUBLE)), 4) AS size FROM embeddings")
 def x27_node_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.col("embedding")[0].cast("double")
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(10 + 26 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("size"))

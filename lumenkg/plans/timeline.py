@@ -23,9 +23,9 @@ def w8_interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "w7_debounce",
-    f"""WITH RECURSIVE {CUES_SQL}, k(lecture, at) AS (SELECT lecture, min(start_sec) FROM c GROUP BY lecture UNION ALL
-    SELECT k.lecture, (SELECT min(c.start_sec) FROM c WHERE c.lecture = k.lecture AND c.start_sec >= k.at + 86400) FROM k
-    WHERE EXISTS (SELECT 1 FROM c WHERE c.lecture = k.lecture AND c.start_sec >= k.at + 86400)) SELECT lecture, at AS start_sec FROM k""",
+    f"""WITH RECURSIVE {CUES_SQL}, k(lecture, moment) AS (SELECT lecture, min(start_sec) FROM c GROUP BY lecture UNION ALL
+    SELECT k.lecture, (SELECT min(c.start_sec) FROM c WHERE c.lecture = k.lecture AND c.start_sec >= k.moment + 86400) FROM k
+    WHERE EXISTS (SELECT 1 FROM c WHERE c.lecture = k.lecture AND c.start_sec >= k.moment + 86400)) SELECT lecture, moment AS start_sec FROM k""",
 )
 def w7_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.debounce(cues(spark, sf_dir), "lecture", "start_sec", 86400.0)
