@@ -145,20 +145,24 @@ def prefix_postings(classes: DataFrame, rules: NearDupRules) -> DataFrame:
     return entries.filter(F.size("e") >= rules.min_matches).select("cid", reach.alias("reach"), F.explode(prefix).alias("x")).select("x.k", "cid", "reach")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, rules: NearDupRules) -> DataFrame:
-    """Of the pairs (a, b), those whose signatures agree in min_matches coordinates and whose sets pass exactly."""
+def agreeing(pairs: DataFrame, classes: DataFrame, rules: NearDupRules) -> DataFrame:
+    """Of the pairs (a, b), those whose sizes allow a link and whose signatures agree in min_matches coordinates."""
     sig = classes.select("cid", "sig", "n_shingles")
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    near = (
+    return (
         pairs.distinct()
         .join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na")), "a")
         .join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb")), "b")
         .filter((100 * F.least("na", "nb") >= rules.percent * F.greatest("na", "nb")) & (agree >= rules.min_matches))
-        .select("a", "b", "na", "nb")
+        .select("a", "b")
     )
-    both = near.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("common", common).filter(100 * F.col("common") >= rules.percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, rules: NearDupRules) -> DataFrame:
+    """Of distinct pairs (a, b), those whose full sets reach the similarity."""
+    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
+    common = both.withColumn("common", F.size(F.array_intersect("x", "y")))
+    return common.filter(100 * F.col("common") >= rules.percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
 
 def _labelled(postings: DataFrame, links: DataFrame) -> DataFrame:
@@ -213,7 +217,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, rules: NearDupRules =
 
     def with_hub(p: DataFrame, hubs: DataFrame) -> DataFrame:
         pairs = p.join(hubs, "k").filter("h.comp != comp").select(F.least("h.cid", "cid").alias("a"), F.greatest("h.cid", "cid").alias("b"))
-        return checkpointed(confirmed(pairs, classes, sets, rules))
+        return checkpointed(confirmed(agreeing(pairs, classes, rules), sets, rules))
 
     def hub(p: DataFrame) -> DataFrame:
         return p.groupBy("k").agg(F.max_by(F.struct("cid", "comp", "reach"), F.struct("reach", "cid")).alias("h"))
@@ -224,7 +228,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, rules: NearDupRules =
     second = hub(left.join(hub(left), "k").filter("h.comp != comp").drop("h"))
     links = checkpointed(links.unionByName(with_hub(left, second)))
     left = _labelled(postings, links)
-    links = checkpointed(links.unionByName(confirmed(remaining_pairs(left, hub(single), classes, sets, rules), classes, sets, rules)))
+    links = checkpointed(links.unionByName(confirmed(remaining_pairs(left, hub(single), classes, sets, rules), sets, rules)))
     parts = connected_components(links).select(F.col("node").alias("cid"), "component")
     first = parts.join(classes, "cid").groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = classes.join(parts, "cid", "left").join(first, "component", "left").select("cid", F.coalesce("component_id", "first_id").alias("component_id"))
