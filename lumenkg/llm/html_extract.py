@@ -4,8 +4,9 @@ A page is cut into blocks at block-level tags.  Blocks inside menus, forms, scri
 the like, or inside elements whose class, id or role names such a part, are dropped.
 First pass: stop-word density, length and link density label the other blocks good, near,
 short or bad; where the page marks its article, text outside it is bad and text inside it
-is good unless it is short or mostly links.  Second pass: short and near blocks take the
-label of the nearest decided block before and after them in the same part of the page.
+is good unless it is short or mostly links.  Second pass: near blocks are good unless
+bad ones stand on both sides; then short ones take the label of the nearest decided block
+in the same part of the page.
 
 Cases: null and empty pages give an empty text; a page cut off in the middle is read as
 far as it goes; repeated rows are each extracted; a page with nothing good gives an empty
@@ -185,7 +186,9 @@ def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
             if b.label != kind:
                 continue
             near = [x for x in around[i] if x]
-            if kind == "near" or has_article:
+            if kind == "near":
+                good = len(near) < 2 or any(label == "good" for label, _ in near)
+            elif has_article:
                 good = not near or any(label == "good" for label, _ in near)
             else:
                 good = bool(near) and min(near, key=lambda x: (x[1], x[0] == "bad"))[0] == "good"
