@@ -113,6 +113,8 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "(?<=[。！？!?.;；\\n])"), F.trim), lambda s: s != "")
 
 
-def sample_time(start: Column, end: Column, before_end: float = 3.0, at_least: float = 1.0) -> Column:
-    """A moment before_end seconds from the end, but not in the first at_least seconds nor after the end."""
-    return F.least(end - F.least(F.lit(at_least), (end - start) / 3), F.greatest(start + F.least(F.lit(at_least), end - start), end - before_end))
+def sample_time(start: Column, end: Column, margin: float = 3.0, settle: float = 2.0, buffer: float = 0.5, short: float = 0.85) -> Column:
+    """A moment late in an interval: margin before its end, settle after its start at least, and inside it by buffer."""
+    late = F.greatest(end - margin, start + settle)
+    late = F.when(late <= start + buffer, start + (end - start) * short).otherwise(late)
+    return F.when(end <= start, start).otherwise(F.greatest(start, F.least(late, end - buffer)))

@@ -77,9 +77,9 @@ def f26_importance_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.filter(F.col("i") <= F.greatest(F.lit(1), F.ceil(F.col("n") * 0.2))).select("p_partkey")
 
 
-@query("f28_empty_lectures", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("f28_empty_lectures", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 def f28_empty_lectures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, sf_dir, "orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left_anti")
 
 
@@ -236,10 +236,10 @@ def q7_merge_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.keep_first(table(spark, sf_dir, "part").withColumn("r", rank), ["p_type"], [F.desc("r"), "p_partkey"]).select(F.col("p_type").alias("name"), F.col("p_partkey").alias("card"))
 
 
-@query("j11_similar_vectors", "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.6")
+@query("j11_similar_vectors", "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.3")
 def j11_similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of one kind (the structural block) with a cosine of .6 or more."""
+    """Pairs of one kind (the structural block) with a cosine of .3 or more."""
     from lumenkg.operators.similarity import similar_pairs
 
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    return similar_pairs(e, "vec_id", "label", "v", 0.6).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return similar_pairs(e, "vec_id", "label", "v", 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))

@@ -160,7 +160,7 @@ def f3_rule_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cues(spark, sf_dir).select("cue", v.alias("verdict"))
 
 
-@query("x11_sample_times", f"WITH {CUES_SQL} SELECT cue, round(least(end_sec - least(1.0, (end_sec - start_sec) / 3), greatest(start_sec + least(1.0, end_sec - start_sec), end_sec - 3.0)), 4) AS at FROM c")
+@query("x11_sample_times", f"WITH {CUES_SQL} SELECT cue, round(CASE WHEN end_sec <= start_sec THEN start_sec ELSE greatest(start_sec, least(greatest(end_sec - 3, start_sec + 2), end_sec - 0.5)) END, 4) AS at FROM c")
 def x11_sample_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenkg.functions.text import sample_time
 
