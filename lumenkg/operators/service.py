@@ -44,11 +44,9 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[D
 
 def rename_nodes(nodes: DataFrame, edges: DataFrame, renamed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ids of (course, view, id, new_id) replaced in nodes and in both ends of edges."""
-    m = renamed.select("course", "view", F.col("id").alias("_old"), "new_id")
-
     def swap(df: DataFrame, c: str) -> DataFrame:
-        on = (df["course"] == m["course"]) & (df["view"] == m["view"]) & (df[c] == m["_old"])
-        return df.join(m, on, "left").select(*[F.coalesce(m["new_id"], df[x]).alias(x) if x == c else df[x] for x in df.columns])
+        m = renamed.select("course", "view", F.col("id").alias(c), F.col("new_id").alias("_new"))
+        return df.join(m, ["course", "view", c], "left").withColumn(c, F.coalesce("_new", c)).select(df.columns)
 
     return swap(nodes, "id"), swap(swap(edges, "source"), "target")
 

@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lumenkg.functions.text import hms, seconds_of
 
-CUES = T.StructType.fromDDL("course_id string, lecture_id string, cue_id string, segment_id string, start_sec double, end_sec double, asr_text string, boundary_type string, clip_path string, keywords array<string>, extra map<string,string>")
-TRIPLETS = T.StructType.fromDDL(
+CUES = "course_id string, lecture_id string, cue_id string, segment_id string, start_sec double, end_sec double, asr_text string, boundary_type string, clip_path string, keywords array<string>, extra map<string,string>"
+TRIPLETS = (
     "lecture_id string, cue_id string, subject string, object string, h string, head string, source string, t string, tail string, target string, abstract_relation string, concrete_relation string, "
     "statement_direction string, description string, context string, source_text string, extract_source string, start_sec double, end_sec double"
 )
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """JSON lines; blank lines are skipped, a bad line fails the read."""
     reader = spark.read.option("mode", "FAILFAST")
     return (reader.schema(schema) if schema is not None else reader).json(path)
@@ -43,7 +42,7 @@ SRT = r"(?s)(\d{1,2}:\d{2}:\d{2}[,.]\d{1,3})\s*-->\s*(\d{1,2}:\d{2}:\d{2}[,.]\d{
 
 def read_srt(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, start_sec, end_sec, text) of subtitle files; text lines are joined by a space."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.replace("value", F.lit("\r"), F.lit("")).alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.replace("value", F.lit("\r"), F.lit("")).alias("v"))
     parts = [F.regexp_extract_all("v", F.lit(SRT), F.lit(i)) for i in (1, 2, 3)]
     cue = whole.select("file", F.posexplode(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "abc")])).alias("pos", "x"))
     text = F.trim(F.regexp_replace("x.c", r"\s+", " "))
@@ -74,7 +73,7 @@ def textbook_graph(entities: DataFrame, relations: DataFrame, importance: DataFr
 
 def importance_rows(spark: SparkSession, path: str) -> DataFrame:
     """(entity, chapter, score) of an importance file in any of four shapes: a map, [name, score] pairs, records, or a bundle of these."""
-    v = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("v"))
+    v = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
     as_map = v.select(F.explode(F.try_variant_get("v", "$", "map<string,double>")).alias("entity", "score"), F.lit(None).cast("string").alias("chapter"))
     pairs = v.select(F.explode(F.try_variant_get("v", "$", "array<array<string>>")).alias("x")).select(F.col("x")[0].alias("entity"), F.col("x")[1].try_cast("double").alias("score"), F.lit(None).cast("string").alias("chapter"))
     records = v.select(F.explode(F.try_variant_get("v", "$", "array<struct<name:string,entity:string,score:double,importance:double>>")).alias("x"))

@@ -35,17 +35,20 @@ def weighted(events: DataFrame) -> DataFrame:
     return events.withColumn("weight", F.coalesce(table[F.col("event_type")], F.lit(1.0)))
 
 
-def windowed_feedback(events: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
-    """Weight of feedback per tumbling window and user; works on a stream (append after the watermark) and on a batch."""
-    if events.isStreaming:
+def windowed_feedback(events: DataFrame, width: str = "1 day", late: str | None = "1 day") -> DataFrame:
+    """Weight of feedback per tumbling window and user; works on a stream (append after the watermark) and on a batch.
+
+    late is the watermark of a stream; None if its source has one already, as after deduplicated().
+    """
+    if events.isStreaming and late:
         events = events.withWatermark("ts", late)
     g = weighted(events).groupBy(F.window("ts", width), "user_id").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
     return g.select(F.col("window.start").alias("start"), "user_id", "n", F.round("weight", 4).alias("weight"))
 
 
-def sessions(events: DataFrame, gap: str = "2 hours", late: str = "1 day") -> DataFrame:
+def sessions(events: DataFrame, gap: str = "2 hours", late: str | None = "1 day") -> DataFrame:
     """Sessions of a user: events with gaps below gap; on a stream each is emitted once it can grow no more."""
-    if events.isStreaming:
+    if events.isStreaming and late:
         events = events.withWatermark("ts", late)
     g = events.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return g.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "n")
