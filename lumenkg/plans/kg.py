@@ -55,10 +55,10 @@ def a5_entity_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.groupBy(F.col("x.entity").alias("entity")).agg(F.count("*").alias("degree"), F.countDistinct("relation").alias("relations"), F.sum("x.o").alias("out_degree"))
 
 
-@query("a6_cue_index", f"WITH {TRIPLETS_SQL} SELECT cue, arg_min(lecture, row_id) AS lecture, arg_max(statement, length(statement) * 100000000 - row_id) AS longest FROM t GROUP BY cue")
+@query("a6_cue_index", f"WITH {TRIPLETS_SQL} SELECT cue, arg_min(lecture, row_id) AS lecture, arg_min(statement, (-length(statement), row_id)) AS longest FROM t GROUP BY cue")
 def a6_cue_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = triplets(spark, sf_dir)
-    return t.groupBy("cue").agg(F.min_by("lecture", "row_id").alias("lecture"), F.max_by("statement", F.length("statement") * F.lit(100000000) - F.col("row_id")).alias("longest"))
+    return t.groupBy("cue").agg(F.min_by("lecture", "row_id").alias("lecture"), F.min_by("statement", F.struct(-F.length("statement"), F.col("row_id"))).alias("longest"))
 
 
 @query("a7_provenance_first", f"WITH {TRIPLETS_SQL} SELECT cue, subject, relation, row_id FROM t QUALIFY row_number() OVER (PARTITION BY cue, subject, relation ORDER BY row_id) = 1")

@@ -42,10 +42,10 @@ def f11_entity_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(F.col("p_retailprice") * m, 4).alias("weight"))
 
 
-@query("f19_apply_review", f"WITH {TRIPLETS_SQL} SELECT row_id FROM t WHERE lecture < 5 AND row_id NOT IN (SELECT doc_id * 10 + 1 FROM labels WHERE toxic = 1)")
+@query("f19_apply_review", f"WITH {TRIPLETS_SQL} SELECT row_id FROM t WHERE lecture < 5 AND row_id // 1000000 NOT IN (SELECT doc_id * 10 + 1 FROM labels WHERE toxic = 1)")
 def f19_apply_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rejected = table(spark, sf_dir, "labels").filter("toxic = 1").select((F.col("doc_id") * 10 + 1).alias("row_id"))
-    return triplets(spark, sf_dir).filter("lecture < 5").select("row_id").join(rejected, "row_id", "left_anti")
+    rejected = table(spark, sf_dir, "labels").filter("toxic = 1").select((F.col("doc_id") * 10 + 1).alias("line"))
+    return triplets(spark, sf_dir).filter("lecture < 5").select("row_id", F.floor(F.col("row_id") / 1_000_000).alias("line")).join(rejected, "line", "left_anti").select("row_id")
 
 
 @query(

@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triplets out of order lines: supplier (subject), part (object), a relation, a cue and a lecture."""
     return table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("row_id"),
         F.concat(F.lit("S"), F.col("l_suppkey")).alias("subject"),
         F.concat(F.lit("P"), F.col("l_partkey") % 200).alias("object"),
         F.when(F.col("l_returnflag") == "A", "related_with").when(F.col("l_returnflag") == "N", "depend_on").otherwise("belong_to").alias("relation"),
@@ -25,7 +25,7 @@ def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same as triplets(), for an independent engine.
-TRIPLETS_SQL = """t AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, 'S' || l_suppkey AS subject, 'P' || (l_partkey % 200) AS object,
+TRIPLETS_SQL = """t AS (SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS row_id, 'S' || l_suppkey AS subject, 'P' || (l_partkey % 200) AS object,
     CASE l_returnflag WHEN 'A' THEN 'related_with' WHEN 'N' THEN 'depend_on' ELSE 'belong_to' END AS relation,
     l_orderkey % 40 AS lecture, l_orderkey AS cue, l_quantity AS weight,
     CASE WHEN l_linestatus = 'O' THEN 'line ' || l_linenumber ELSE '' END AS statement FROM lineitem)"""
