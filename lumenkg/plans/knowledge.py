@@ -218,14 +218,14 @@ def j18_first_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j20_overlap_links",
-    """WITH g AS (SELECT n_nationkey, list_distinct(list_transform(range(1, length(n_name)), lambda i: lower(substr(n_name, i, 2)))) AS x FROM (SELECT n_nationkey, n_name || c AS n_name FROM nation JOIN (SELECT c_nationkey, min(c_mktsegment) AS c FROM customer GROUP BY 1) ON c_nationkey = n_nationkey)), h AS (SELECT r_regionkey, list_distinct(list_transform(range(1, length(r_name)), lambda i: lower(substr(r_name, i, 2)))) AS y FROM region),
+    """WITH g AS (SELECT n_nationkey, list_distinct(list_transform(range(1, length(n_name)), lambda i: lower(substr(n_name, i, 2)))) AS x FROM (SELECT n_nationkey, n_name || c AS n_name FROM nation JOIN (SELECT c_nationkey, max(c_mktsegment) AS c FROM customer GROUP BY 1) ON c_nationkey = n_nationkey)), h AS (SELECT r_regionkey, list_distinct(list_transform(range(1, length(r_name)), lambda i: lower(substr(r_name, i, 2)))) AS y FROM region),
     s AS (SELECT n_nationkey, r_regionkey, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS score FROM g, h) SELECT * FROM s WHERE score >= 0.05""",
 )
 def j20_overlap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names linked by shared bigrams: an equi-join on grams, never all pairs."""
     from lumenkg.functions.text import char_ngrams
 
-    words = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.min("c_mktsegment").alias("c"))
+    words = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.max("c_mktsegment").alias("c"))
     named = table(spark, sf_dir, "nation").join(words, "n_nationkey")
     a = named.select("n_nationkey", char_ngrams(F.lower(F.concat("n_name", "c"))).alias("x")).select("n_nationkey", F.size("x").alias("nx"), F.explode("x").alias("g"))
     b = table(spark, sf_dir, "region").select("r_regionkey", char_ngrams(F.lower("r_name")).alias("y")).select("r_regionkey", F.size("y").alias("ny"), F.explode("y").alias("g"))
