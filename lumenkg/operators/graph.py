@@ -31,13 +31,11 @@ def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85, seeds: Dat
     share = edges.select("subject", "object", (F.col("weight") / F.sum("weight").over(Window.partitionBy("subject"))).alias("share"))
     share = cut(share)
     rank = start.select("node", F.col("p").alias("r"))
-    for i in range(rounds):
+    for _ in range(rounds):
         flow = share.join(rank, share["subject"] == rank["node"]).groupBy(F.col("object").alias("node")).agg(F.sum(F.col("share") * F.col("r")).alias("x"))
-        moved = start.join(flow, "node", "left").select("node", "p", F.coalesce("x", F.lit(0.0)).alias("x"))
+        moved = cut(start.join(flow, "node", "left").select("node", "p", F.coalesce("x", F.lit(0.0)).alias("x")))  # read twice below
         lost = moved.agg((1 - F.sum("x")).alias("lost"))  # one row: what dangling nodes hold
         rank = moved.crossJoin(F.broadcast(lost)).select("node", (alpha * (F.col("x") + F.col("lost") * F.col("p")) + (1 - alpha) * F.col("p")).alias("r"))
-        if i % 3 == 2:
-            rank = cut(rank)
     return rank.withColumnRenamed("r", "rank")
 
 
