@@ -5,8 +5,9 @@ walks the tree with a priority queue ordered by its inner product with the centr
 collects leaves in that order.  How many leaves it visits is calibrated: for a bounded
 set of queries the exact neighbours are found by a scan of all vectors in blocks, and
 visits are widened until they hold target_recall of them.  Leaves are scored in blocks of
-bounded size: a leaf with a third of all vectors becomes many blocks, which every query
-that visits the leaf meets one by one, so nothing is dropped.
+bounded size: neighbouring small leaves share a block, a leaf with a third of all vectors
+becomes many, which every query that visits the leaf meets one by one, so nothing is
+dropped; a block gives each query its k best of the leaves that it visits.
 
 Cases: vectors that are null, empty, zero, of another length than most, or that hold null,
 NaN or infinite components are no queries and no candidates; equal scores go to the
@@ -39,7 +40,7 @@ class TreeRules:
     branching: int = 6
     leaf_rows: int = 256
     target_recall: float = 0.97
-    block_rows: int = 4_096
+    block_rows: int = 8_192
     block_queries: int = 1_024
 
 
@@ -130,13 +131,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[list, list, list]:
-    """For each query its k best of x but itself; scores are summed per pair alike, so equal vectors tie exactly."""
+def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, leaf: np.ndarray | None = None, visited: list | None = None) -> tuple[list, list, list]:
+    """For each query its k best of x (of its visited leaves) but itself; scores are summed per pair alike, so equal vectors tie exactly."""
     out: tuple[list, list, list] = ([], [], [])
     for at in range(0, len(q), 64):
         rough = q[at : at + 64] @ x.T
         for i, scores in enumerate(rough):
             scores = np.where(ids == q_ids[at + i], -np.inf, scores)
+            if visited is not None:
+                scores[~np.isin(leaf, visited[at + i])] = -np.inf
             n = int(np.isfinite(scores).sum())
             if not n:
                 continue
@@ -208,31 +211,46 @@ def search(spark: SparkSession, rows: DataFrame, is_query, rules: TreeRules = Tr
             leaf = shared.value.assign(_matrix(batch.column(1))) if batch.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int64())], ["id", "v", "leaf"])
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = [shared.value.visit(q, visits) for q in _matrix(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seen, pa.list_(pa.int64()))], ["id", "v", "leaves"])
-
     held = checkpointed(vectors.mapInArrow(assign, "id long, v array<double>, leaf long"))
-    probes = queries.mapInArrow(probe, "id long, v array<double>, leaves array<long>").select("id", "v", F.explode("leaves").alias("leaf"))
     n_queries = max(1, queries.count())
-    # Blocks per leaf, from counts of a bounded number of leaves; every block of queries meets every block of its leaf.
-    blocks = {r.leaf: -(-r.n // rules.block_rows) for r in held.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    n_blocks = F.coalesce(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])[F.col("leaf")], F.lit(1))
-    groups = -(-n_queries // rules.block_queries)
-    by_query = F.pmod(F.xxhash64("id"), F.lit(groups))
-    left = held.withColumn("b", F.pmod(F.xxhash64("id", F.lit(1)), n_blocks)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = probes.withColumn("b", F.explode(F.sequence(F.lit(0), n_blocks - 1))).withColumn("g", by_query)
-    kinds = {"b": "long", "g": "long", "leaf": "long"}
-    left, right = left.withColumns({c: F.col(c).cast(t) for c, t in kinds.items()}), right.withColumns({c: F.col(c).cast(t) for c, t in kinds.items()})
+    # Counts of a bounded number of leaves deal them to blocks: neighbouring small leaves share one, a large leaf has many.
+    first: dict[int, tuple[int, int]] = {}
+    block = room = 0
+    for r in sorted(held.groupBy("leaf").agg(F.count("*").alias("n")).collect(), key=lambda r: r.leaf):
+        own = -(-r.n // rules.block_rows)
+        if own > 1 or r.n > room:
+            block, room = block + 1, rules.block_rows
+        first[r.leaf] = (block, own)
+        block, room = block + own - 1, 0 if own > 1 else room - r.n
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            met = []
+            for q in _matrix(batch.column(1)):
+                by: dict[int, list[int]] = {}
+                for leaf in shared.value.visit(q, visits):
+                    start, own = first.get(leaf, (0, 0))
+                    for b in range(start, start + own):
+                        by.setdefault(b, []).append(leaf)
+                met.append([{"b": b, "leaves": leaves} for b, leaves in by.items()])
+            kind = pa.list_(pa.struct([("b", pa.int64()), ("leaves", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(met, kind)], ["id", "v", "met"])
+
+    groups = -(-n_queries // rules.block_queries)  # every group of queries meets every block that it visits
+    start_of = F.create_map(*[F.lit(x) for leaf, (b, _) in first.items() for x in (leaf, b)])[F.col("leaf")]
+    own_of = F.create_map(*[F.lit(x) for leaf, (_, n) in first.items() for x in (leaf, n)])[F.col("leaf")]
+    left = held.withColumn("b", (start_of + F.pmod(F.xxhash64("id", F.lit(1)), own_of)).cast("long")).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    right = queries.mapInArrow(probe, "id long, v array<double>, met array<struct<b:long,leaves:array<long>>>").select("id", "v", F.explode("met").alias("m"))
+    right = right.select("id", "v", F.col("m.leaves").alias("leaves"), F.col("m.b").alias("b"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("long").alias("g"))
 
     def score(x: pa.Table, q: pa.Table) -> pa.Table:
         found: tuple[list, list, list] = ([], [], [])
         if x.num_rows and q.num_rows:
-            found = best_of(_matrix(q.column("v").combine_chunks()), q.column("id").to_numpy(), _matrix(x.column("v").combine_chunks()), x.column("id").to_numpy(), rules.k)
+            vectors_of = lambda t: _matrix(t.column("v").combine_chunks())
+            found = best_of(vectors_of(q), q.column("id").to_numpy(), vectors_of(x), x.column("id").to_numpy(), rules.k, x.column("leaf").to_numpy(), q.column("leaves").to_pylist())
         return pa.Table.from_batches([_table(found)])
 
-    found = left.groupBy("leaf", "b", "g").cogroup(right.groupBy("leaf", "b", "g")).applyInArrow(score, FOUND)
+    found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(score, FOUND)
     return ranked(found, rules.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
