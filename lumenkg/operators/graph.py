@@ -119,14 +119,14 @@ def hub_penalty(out_degree: Column, weak_share: Column, limit: int = 20) -> Colu
 
 
 def long_components(edges: DataFrame) -> DataFrame:
-    """Edges of components that hold a simple path of at least 3 edges."""
+    """Edges of components that hold a simple path of at least 3 edges.
+
+    Connected graphs without one are single nodes, stars and triangles, which their counts tell;
+    paths themselves, many on a graph with hubs, are never listed.
+    """
     both = edges.select(F.col("subject").alias("a"), F.col("object").alias("b")).unionByName(edges.select(F.col("object").alias("a"), F.col("subject").alias("b"))).filter("a <> b").distinct()
-    degree = both.groupBy("a").agg(F.count("*").alias("d"))
-    # A path a-b-c-d exists around the edge b-c if both ends have another neighbour and these are not only one shared node.
-    mid = both.join(degree.select("a", F.col("d").alias("da")), "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("db")), "b")
-    shared = both.alias("x").join(both.alias("y"), F.col("x.b") == F.col("y.a")).join(both.alias("z"), (F.col("z.a") == F.col("x.a")) & (F.col("z.b") == F.col("y.b")))
-    one = shared.groupBy(F.col("z.a").alias("a"), F.col("z.b").alias("b")).agg(F.count("*").alias("tri"))
-    ok = mid.join(one, ["a", "b"], "left").filter("da >= 2 AND db >= 2 AND NOT (da = 2 AND db = 2 AND coalesce(tri, 0) = 1)")
+    degree = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("d"))
     parts = components(edges)
-    good = parts.join(ok.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("component").distinct()
+    size = parts.join(degree, "node").groupBy("component").agg(F.count("*").alias("n"), (F.sum("d") / 2).alias("m"), F.max("d").alias("top"))
+    good = size.filter("NOT (m = n - 1 AND top = n - 1) AND NOT (n = 3 AND m = 3)").select("component")
     return edges.join(parts.join(good, "component", "left_semi"), F.col("subject") == F.col("node"), "left_semi")
