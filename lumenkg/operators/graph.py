@@ -76,22 +76,35 @@ def trust(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: float = 0.5)
     return total.groupBy("node").agg(F.sum("score").alias("score"))
 
 
-def core_numbers(edges: DataFrame, most: int = 10) -> DataFrame:
-    """(node, core): the largest k, up to most, for which the node is in the k-core of the undirected graph."""
+def core_numbers(edges: DataFrame) -> DataFrame:
+    """(node, core): the largest k for which the node is in the k-core of the undirected graph.
+
+    Bounds start at the degree; a node's next bound is the largest h such that h of its
+    neighbours have a bound of h at least (its own bound being the limit).  They only fall,
+    and where none falls they are the core numbers, for any k.
+    """
     both = edges.select(F.least("subject", "object").alias("a"), F.greatest("subject", "object").alias("b")).filter("a <> b").distinct()
-    left = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    core = left.select(F.col("a").alias("node")).distinct().withColumn("core", F.lit(1))
-    for k in range(2, most + 1):
-        while True:
-            stay = left.groupBy("a").count().filter(F.col("count") >= k).select("a")
-            next_ = cut(left.join(stay, "a", "left_semi").join(stay.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b"))
-            if next_.count() == left.count():
-                break
-            left = next_
-        if left.isEmpty():
-            break
-        core = core.unionByName(left.select(F.col("a").alias("node")).distinct().withColumn("core", F.lit(k)))
-    return core.groupBy("node").agg(F.max("core").alias("core"))
+    near = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    bound = cut(near.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("core")))
+    down = Window.partitionBy("a").orderBy(F.desc("x"))
+    while True:
+        mine, theirs = bound.select(F.col("node").alias("a"), F.col("core").alias("own")), bound.select(F.col("node").alias("b"), F.col("core").alias("x"))
+        # How many neighbours have which bound, so that a hub has few rows.
+        tally = near.join(theirs, "b").groupBy("a", "x").agg(F.count("*").alias("n")).withColumn("n", F.sum("n").over(down))
+        h = tally.groupBy("a").agg(F.max(F.least("x", "n")).alias("h"))
+        after = cut(mine.join(h, "a").select(F.col("a").alias("node"), F.least("own", "h").alias("core"), "own"))
+        bound = after.select("node", "core")
+        if after.filter("core < own").isEmpty():
+            return bound
+
+
+def fuse_with_cores(ranks: DataFrame, cores: DataFrame, core_weight: float = 0.3) -> DataFrame:
+    """(node, final, pr, k_core, norm_k, norm_pr): PageRank and core number, each over its largest, blended; a node without a core has 0."""
+    both = ranks.select("node", F.col("rank").alias("pr")).join(cores.select("node", F.col("core").cast("double").alias("k")), "node", "left").withColumn("k_core", F.coalesce("k", F.lit(0.0)))
+    tops = F.broadcast(both.agg(F.max("pr").alias("top_pr")).crossJoin(cores.agg(F.max("core").alias("top_k"))))  # one row
+    over = lambda x, top: F.when(F.col(top) > 0, F.col(x) / F.col(top)).otherwise(0.0)
+    scaled = both.crossJoin(tops).select("node", "pr", "k_core", over("k_core", "top_k").alias("norm_k"), over("pr", "top_pr").alias("norm_pr"))
+    return scaled.select("node", ((1 - core_weight) * F.col("norm_pr") + core_weight * F.col("norm_k")).alias("final"), "pr", "k_core", "norm_k", "norm_pr")
 
 
 def propagate_up(edges: DataFrame, scores: DataFrame, rate: float = 0.22, levels: int = 6, mode: str = "linear") -> DataFrame:

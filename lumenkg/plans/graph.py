@@ -68,6 +68,12 @@ def g11_core_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.core_numbers(graph(spark, sf_dir, "true"))
 
 
+@query("g11_core_fusion")
+def g11_core_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = G.cut(graph(spark, sf_dir, "true"))
+    return G.fuse_with_cores(G.pagerank(e, 10), G.core_numbers(e)).select("node", *[F.round(c, 6).alias(c) for c in ("final", "pr", "k_core", "norm_k", "norm_pr")])
+
+
 @query(
     "g12_hub_penalty",
     f"WITH {TRIPLETS_SQL}, d AS (SELECT subject, count(*) AS n, avg((relation = 'related_with')::INT) AS w FROM t GROUP BY subject) SELECT subject, round(CASE WHEN n > 20 THEN sqrt(20.0::DOUBLE / n) ELSE 1.0 END * (1 - 0.3 * w), 6) AS factor FROM d",

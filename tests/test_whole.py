@@ -62,3 +62,35 @@ def test_no_lecture_is_left_out(spark, lines):
     assert {r.node for r in registry.queries()["g4_pagerank_all"](spark, path).collect()} == ends
     assert registry.queries()["s13_graphml_all"](spark, path).count() == len(edges)
     assert {r.node for r in registry.queries()["g11_core_numbers"](spark, path).collect()} == ends
+
+
+def peeled(edges):
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b), near.setdefault(b, set()).add(a)
+    core, k = {}, 0
+    while near:
+        a = min(near, key=lambda x: len(near[x]))
+        k = max(k, len(near[a]))
+        core[a] = k
+        for b in near.pop(a):
+            near[b].discard(a)
+    return core
+
+
+def test_core_numbers_have_no_cap(spark):
+    rng = random.Random(8)
+    clique = {(f"c{i}", f"c{j}") for i in range(14) for j in range(i)}
+    chain = {(f"p{i}", f"p{i + 1}") for i in range(12)} | {("p12", "c0"), ("c1", "c1")}
+    rest = {(f"r{rng.randrange(30)}", f"r{rng.randrange(30)}") for _ in range(120)}
+    edges = clique | chain | rest
+    got = {r.node: r.core for r in G.core_numbers(spark.createDataFrame(sorted(edges), "subject string, object string")).collect()}
+    assert got == peeled(edges) and got["c5"] == 13 and got["p6"] == 1
+
+
+def test_fusion_of_pagerank_and_cores(spark):
+    ranks = spark.createDataFrame([("a", 0.5), ("b", 0.25), ("x", 0.1)], "node string, rank double")
+    cores = spark.createDataFrame([("a", 2), ("b", 4)], "node string, core int")
+    got = {r.node: (round(r.final, 6), r.k_core) for r in G.fuse_with_cores(ranks, cores).collect()}
+    assert got == {"a": (0.85, 2.0), "b": (0.65, 4.0), "x": (0.14, 0.0)}
