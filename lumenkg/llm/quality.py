@@ -35,6 +35,8 @@ class QualityRules:
     #: A line is above its host's limit if more distinct texts than both of these hold it.
     line_min_docs: int = 20
     line_max_percent: float = 1.0
+    #: A line that more distinct texts of a host than this hold is above the limit too, whatever the host's size (none: no such limit).
+    line_max_docs: int | None = None
     #: Lines above limits are broadcast up to this many rows (about 50 bytes each), beyond it joined by shuffle.
     broadcast_rows: int = 200_000
 
@@ -52,6 +54,10 @@ def _trimmed(value: Column) -> Column:
     return F.btrim(value, F.lit(WHITE))
 
 
+def _line_hash(value: Column) -> Column:
+    return F.xxhash64(F.lower(_trimmed(value)))
+
+
 def _words(value: Column) -> Column:
     """Words of a text, as an array; value is mentioned twice only."""
     return _let(_trimmed(value), lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, WHITE_RUN)))
@@ -88,7 +94,7 @@ def document_features(docs: DataFrame, rules: QualityRules = QualityRules(), tex
         return F.when(F.size(words) <= k, 0).otherwise(_let(grams, lambda h: _covered(h, k)))
 
     def line(x: Column) -> Column:
-        return F.struct(F.xxhash64(F.lower(_trimmed(x))).alias("h"), F.size(_words(x)).alias("n"))
+        return F.struct(_line_hash(x).alias("h"), F.size(_words(x)).alias("n"))
 
     own = docs.select(F.col(key), F.col(host).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     counted = own.select(
@@ -123,7 +129,7 @@ def lines_above_limit(features: DataFrame, rules: QualityRules = QualityRules())
     return (
         held.alias("a")
         .join(totals.alias("b"), F.col("a.host").eqNullSafe(F.col("b.host")))
-        .filter(F.col("n") * 100.0 > F.col("n_texts") * rules.line_max_percent)
+        .filter((F.col("n") * 100.0 > F.col("n_texts") * rules.line_max_percent) | (F.lit(False) if rules.line_max_docs is None else F.col("n") > rules.line_max_docs))
         .select("a.host", "a.h")
     )
 
@@ -133,7 +139,8 @@ def judge_documents(spark: SparkSession, docs: DataFrame, rules: QualityRules =
 
     base_failed: fewer than min_words words, or more than max_repeat_percent of them in
     repeated windows.  Other documents lose the lines above their host's limit and are
-    rejected as depleted if fewer than min_words words remain (column kept).
+    rejected as depleted if fewer than min_words words remain (column kept).  removed_lines
+    holds the hashes of the lines that are lost, for without_lines().
     """
     prepare(spark)
     features = checkpointed(document_features(docs, rules, text, host, key).withColumn("_row", F.monotonically_increasing_id()))
@@ -144,18 +151,42 @@ def judge_documents(spark: SparkSession, docs: DataFrame, rules: QualityRules =
         F.broadcast(hot.alias("t")) if few else hot.alias("t"),
         (F.col("m.h") == F.col("t.h")) & F.col("m.host").eqNullSafe(F.col("t.host")),
     )
-    lost = hit.groupBy(F.col("m._row").alias("_row")).agg(F.sum("m.n").alias("n_removed_words"))
+    lost = hit.groupBy(F.col("m._row").alias("_row")).agg(F.sum("m.n").alias("n_removed_words"), F.collect_set("m.h").alias("removed_lines"))
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     return (
         features.drop("lines")
         .join(lost, "_row", "left")
         .withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
+        .withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<bigint>")))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("n_words") - F.col("n_removed_words") >= rules.min_words))
         .drop("_row")
     )
 
 
+def without_lines(text: Column, removed: Column) -> Column:
+    """The text without the lines whose hash is in removed; other lines, blank ones too, stay as they are."""
+    stays = lambda x: (_trimmed(x) == "") | ~F.array_contains(removed, _line_hash(x))
+    return F.when(F.size(removed) == 0, text).otherwise(F.array_join(F.filter(F.split(text, "\n"), stays), "\n"))
+
+
+def clean_documents(spark: SparkSession, docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
+    """The kept documents, without the lines above limits; all columns of docs, n_chars (if there) as the length of what is left.
+
+    Verdicts depend on text and host, so rows that repeat an id, a text and a host share one;
+    the id is in the join to spread copies.  Texts with neither a loss nor a rejection meet no verdict.
+    """
+    touched = judge_documents(spark, docs, rules, text, host, key).filter("NOT kept OR size(removed_lines) > 0")
+    touched = touched.select(F.col(key).alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_th"), F.col("kept").alias("_kept"), F.col("removed_lines").alias("_gone")).dropDuplicates(["_id", "_host", "_th"])
+    same = F.col(key).eqNullSafe(F.col("_id")) & F.col(host).eqNullSafe(F.col("_host")) & (F.col("_h") == F.col("_th"))
+    rows = docs.withColumn("_h", F.xxhash64(F.coalesce(text, F.lit("")))).join(touched, same, "left").filter("_kept IS NULL OR _kept")
+    changed = F.col("_gone").isNotNull()
+    out = rows.withColumn(text, F.when(changed, without_lines(F.col(text), F.col("_gone"))).otherwise(F.col(text)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
+
+
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge_documents(spark, table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")

@@ -12,20 +12,16 @@ from lumenkg.llm.common import checkpointed, prepare, table
 from lumenkg.llm.neardup import near_duplicates
 from lumenkg.llm.packing import pack_documents
 from lumenkg.llm.pii import base_spans, find_personal_data
-from lumenkg.llm.quality import judge_documents
+from lumenkg.llm.quality import QualityRules, clean_documents
 from lumenkg.llm.toxicity import ToxicityRules, fit_toxicity, score_toxicity, training_sample
 
-
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of docs whose id and text are not those of a rejected (doc_id, text_hash); null ids are compared as values."""
-    keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    drop = rejected.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"))
-    return keyed.join(drop, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_anti").select(docs.columns)
+#: A line in more distinct texts of a source is boilerplate, also where 1 % of the source's texts is more.
+LINE_MAX_DOCS = 1000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; null texts are rejected as too short."""
-    return _without(docs, judge_documents(spark, docs).filter("NOT kept"))
+    """Documents that the quality rules keep, without their lines above limits; null texts are rejected as too short."""
+    return clean_documents(spark, docs, QualityRules(line_max_docs=LINE_MAX_DOCS))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
