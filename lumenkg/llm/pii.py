@@ -146,12 +146,11 @@ def ordinary_uses(spark: SparkSession, docs: DataFrame, patterns: DataFrame, rul
         for batch in batches:
             n = Counter()
             for t in batch.column(0).to_pylist():
-                words = t.lower().split() if t else []
+                words = DIGIT.sub("0", t.lower()).split() if t else []  # as contexts() writes them, so a head is met whatever its digits
                 at = [i for i, w in enumerate(words) if w in heads] if heads is not None else range(len(words))
                 for i in at:
                     if i + 1 < len(words) and "@" not in words[i + 1] and not DIGIT.search(words[i + 1]):
-                        last = DIGIT.sub("0", words[i])
-                        for p in (last, f"{DIGIT.sub('0', words[i - 1])} {last}" if i else None):
+                        for p in (words[i], f"{words[i - 1]} {words[i]}" if i else None):
                             if p is not None and (only is None or p in only):
                                 n[p] += 1
             yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["pattern", "n"])
