@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def oracle(name: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _ORACLES[name]
+
+
 def _load() -> None:
     from lumenkg import plans
 
