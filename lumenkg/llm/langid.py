@@ -34,6 +34,7 @@ class LanguageRules:
     #: Bounds of the fitting sample: documents per language, and words per language (whole documents until it is reached).
     docs_per_language: int = 300
     words_per_language: int = 40_000
+    #: Beyond so many languages each has fewer documents in the sample; none is left out.
     max_languages: int = 64
     window: int = 40
     rounds: int = 40
@@ -44,14 +45,22 @@ def clean_word(word: str) -> str:
 
 
 def training_sample(docs: DataFrame, rules: LanguageRules, text: str, lang: str, key: str) -> list[tuple[str, str]]:
-    """About docs_per_language texts of each label, chosen by a hash of the id without a sort."""
+    """About docs_per_language texts of each label, fewer beyond max_languages labels, chosen by a hash of the id without a sort.
+
+    A label that the hash passes over gives its smallest text that has a letter, if it has one, so every label is learned.
+    """
     labelled = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(rules.max_languages).collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])[F.col(lang)]
-    picked = labelled.filter(F.pmod(F.xxhash64(F.col(key)), share) < rules.docs_per_language)
-    rows = picked.select(F.col(lang).alias("l"), F.col(text).alias("t")).limit(2 * rules.docs_per_language * len(counts)).collect()
+    each = max(1, rules.docs_per_language * min(len(counts), rules.max_languages) // len(counts))
+    picked = labelled.filter(F.pmod(F.xxhash64(F.col(key)), share) < each)
+    rows = picked.select(F.col(lang).alias("l"), F.col(text).alias("t")).limit(2 * each * len(counts)).collect()
+    missing = sorted(set(counts) - {r.l for r in rows if any(map(str.isalpha, r.t))})
+    if missing:
+        rest = labelled.filter(F.col(lang).isin(missing) & F.col(text).rlike(r"\p{L}"))
+        rows += rest.groupBy(F.col(lang).alias("l")).agg(F.min(text).alias("t")).collect()
     return sorted((r.l, r.t) for r in rows)
 
 
