@@ -78,6 +78,17 @@ def w15_strip_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(same, 8).otherwise(0).alias("n"))
 
 
+@query("w15_strip_overlap_full")
+def w15_strip_overlap_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn without the start, of any length from 8 to 160, that the previous turn ends with."""
+    from lumenkg.operators.folds import strip_overlap
+
+    strip = F.udf(lambda t, p: strip_overlap(t, p), "rest string, start string")
+    prev = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    out = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", prev.alias("prev")).withColumn("x", strip("text", "prev"))
+    return out.select("conv_id", "turn", F.length("x.start").alias("n"), F.col("x.rest").alias("text"))
+
+
 @query("f23_infer_relation", "SELECT item_id, CASE WHEN contains(lower(text), ' is ') THEN 'is' WHEN contains(lower(text), ' was ') THEN 'was' WHEN contains(lower(text), ' are ') THEN 'are' ELSE 'relates to' END AS phrase FROM benchmark")
 def f23_infer_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of the listed verbs that a description holds."""
