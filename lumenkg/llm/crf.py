@@ -140,9 +140,10 @@ class Crf:
 def fit(windows: list[list[str]], tags: np.ndarray, labels: list, rules: FeatureRules, lexicon: dict[str, int], rounds: int = 40, rate: float = 0.25, l2: float = 1e-4) -> Crf:
     """Maximum likelihood with an L2 penalty, by Adam over all windows at once.
 
-    windows all have one length; tags is windows x length, of label numbers.
+    windows all have one length; tags is windows x length, of label numbers.  Only buckets
+    that the windows meet have weights while fitting; the others stay 0.
     """
-    k, size = len(labels), 1 << rules.bits
+    k = len(labels)
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for s in windows for w in s))}
     words = list(vocabulary)
     grams, starts, whole = features(words, rules)
@@ -151,7 +152,8 @@ def fit(windows: list[list[str]], tags: np.ndarray, labels: list, rules: Feature
         at = np.flatnonzero(valid)
         bucket.append(b[at])
         word.append(np.searchsorted(starts, at, "right") - 1)
-    bucket, word = np.concatenate(bucket), np.concatenate(word)
+    met, bucket = np.unique(np.concatenate(bucket), return_inverse=True)
+    word, size = np.concatenate(word), len(met)
     lex_words = list(lexicon)
     lex_hash = features(lex_words, rules)[2] if lex_words else np.empty(0, np.uint64)
     rank = np.argsort(lex_hash)
@@ -202,6 +204,8 @@ def fit(windows: list[list[str]], tags: np.ndarray, labels: list, rules: Feature
             value += rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8) * (np.abs(g) > 0)
     for n in names:
         setattr(model, n, getattr(model, n).astype(np.float32))
+    fitted, model.weights = model.weights, np.zeros((1 << rules.bits, k), np.float32)
+    model.weights[met] = fitted
     return model
 
 

@@ -6,7 +6,8 @@ decides the document.  The model is fitted on a bounded sample of labelled docum
 rearranged into windows that switch language now and then, so transitions are learned too.
 
 Cases: a null text, or one without a letter, gives und with score 0; a tie goes to the
-label that sorts first; repeated rows are each judged; without a labelled row every text
+label that sorts first; repeated rows are each judged; a row with a null id is judged,
+held out from nothing and learned from by nothing; without a labelled row every text
 is und.  Language, source and id columns are not inputs of a prediction.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenkg.llm.common import bucket_of_id, prepare, table
+from lumenkg.llm.common import bucket_of_id, checkpointed, fitted_in_task, in_bucket, prepare, table, within_bytes
 from lumenkg.llm.crf import Crf, FeatureRules, WordTable, blocks_of, fit
 
 #: Punctuation stripped from both ends of a word.
@@ -31,8 +32,9 @@ PUNCTUATION = ".,;:!?()[]{}\"'|/\\<>*#%&$=+-_–—…«»“”‘’¿¡"
 
 @dataclass(frozen=True)
 class LanguageRules:
-    #: Bounds of the fitting sample: documents per language, and words per language (whole documents until it is reached).
+    #: Bounds of the fitting sample: documents per language, bytes of all their texts, and words per language (whole documents until it is reached; of a longer one, so many words from a random place).
     docs_per_language: int = 300
+    max_bytes: int = 64_000_000
     words_per_language: int = 40_000
     #: Beyond so many languages each has fewer documents in the sample; none is left out.
     max_languages: int = 64
@@ -44,32 +46,43 @@ def clean_word(word: str) -> str:
     return word.strip(PUNCTUATION)
 
 
-def training_sample(docs: DataFrame, rules: LanguageRules, text: str, lang: str, key: str) -> list[tuple[str, str]]:
-    """About docs_per_language texts of each label, fewer beyond max_languages labels, chosen by a hash of the id without a sort.
+def sampled_rows(docs: DataFrame, rules: LanguageRules, text: str, lang: str, key: str) -> DataFrame:
+    """(l, t) of about docs_per_language texts of each label, fewer beyond max_languages labels, chosen by a hash of the id without a sort.
 
     A label that the hash passes over gives its smallest text that has a letter, if it has one, so every label is learned.
     """
-    labelled = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
-    if not counts:
-        return []
-    share = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])[F.col(lang)]
-    each = max(1, rules.docs_per_language * min(len(counts), rules.max_languages) // len(counts))
-    picked = labelled.filter(F.pmod(F.xxhash64(F.col(key)), share) < each)
-    rows = picked.select(F.col(lang).alias("l"), F.col(text).alias("t")).limit(2 * each * len(counts)).collect()
-    missing = sorted(set(counts) - {r.l for r in rows if any(map(str.isalpha, r.t))})
+    labelled = docs.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).cast("string").alias("t")).filter("t IS NOT NULL AND l IS NOT NULL")
+    counts = {r[0]: r[1] for r in labelled.groupBy("l").count().collect()}
+    each = max(1, rules.docs_per_language * min(len(counts), rules.max_languages) // max(1, len(counts)))
+    share = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])[F.col("l")] if counts else F.lit(1)
+    picked = checkpointed(labelled.filter(F.pmod(F.xxhash64("k"), share) < each))
+    picked = within_bytes(picked, "t", "k", rules.max_bytes).select("l", "t")
+    letter = F.col("t").rlike(r"\p{L}")
+    missing = sorted(set(counts) - {r.l for r in picked.filter(letter).select("l").distinct().collect()})
     if missing:
-        rest = labelled.filter(F.col(lang).isin(missing) & F.col(text).rlike(r"\p{L}"))
-        rows += rest.groupBy(F.col(lang).alias("l")).agg(F.min(text).alias("t")).collect()
-    return sorted((r.l, r.t) for r in rows)
+        rest = labelled.filter(F.col("l").isin(missing) & letter).groupBy("l").agg(F.min_by("t", F.struct(F.length("t"), "t")).alias("t"))
+        picked = checkpointed(picked.unionByName(rest))
+    return picked
+
+
+def training_sample(docs: DataFrame, rules: LanguageRules, text: str, lang: str, key: str) -> list[tuple[str, str]]:
+    """sampled_rows() on the driver, to look at or to fit with other rules."""
+    return sorted((r.l, r.t) for r in sampled_rows(docs, rules, text, lang, key).collect())
+
+
+def learned_languages(docs: DataFrame, rules: LanguageRules = LanguageRules(), text: str = "text", lang: str = "lang", key: str = "doc_id") -> Crf | None:
+    """The model of the labelled rows of docs, fitted by one task from a bounded sample."""
+    return fitted_in_task(sampled_rows(docs, rules, text, lang, key), lambda rows: fit_languages(rows, rules))
 
 
 def fit_languages(sample: list[tuple[str, str]], rules: LanguageRules = LanguageRules()) -> Crf | None:
     by: dict[str, list[str]] = {}
+    rng = random.Random(11)
     for lang, text in random.Random(7).sample(sample, len(sample)):
         words = [w for w in map(clean_word, text.lower().split()) if any(c.isalpha() for c in w)]
-        if len(by.setdefault(lang, [])) < rules.words_per_language and len(words) <= rules.words_per_language:
-            by[lang] += words
+        if len(by.setdefault(lang, [])) < rules.words_per_language:
+            at = rng.randrange(max(1, len(words) - rules.words_per_language + 1))
+            by[lang] += words[at : at + rules.words_per_language]
     labels = sorted(lang for lang, words in by.items() if words)
     if not labels:
         return None
@@ -78,7 +91,7 @@ def fit_languages(sample: list[tuple[str, str]], rules: LanguageRules = Language
     for c in counts:
         total.update(c)
     lexicon = {w: k for k, c in enumerate(counts) for w, n in c.items() if n >= 3 and n >= 0.8 * total[w]}
-    rng, windows, tags = random.Random(11), [], []
+    windows, tags = [], []
     left = {k: 0 for k in range(len(labels))}
     while left:
         words: list[str] = []
@@ -136,7 +149,7 @@ def predict_languages(spark: SparkSession, docs: DataFrame, model: Crf | None, t
                     lang.append(crf.labels[best])
                     score.append(min(1.0, float(mass[best] / len(p))))
                     switches.append(int((np.diff(p.argmax(axis=1)) != 0).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(switches, pa.int64())], ["k", "lang_pred", "score", "n_words", "n_switches"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(switches, pa.int64())], ["k", "lang_pred", "score", "n_words", "n_switches"])
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     return rows.mapInArrow(run, "k long, lang_pred string, score double, n_words long, n_switches long").withColumnRenamed("k", key)
@@ -144,6 +157,7 @@ def predict_languages(spark: SparkSession, docs: DataFrame, model: Crf | None, t
 
 def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, rules = table(spark, sf_dir, "documents"), LanguageRules()
-    model = fit_languages(training_sample(docs.filter(bucket_of_id("doc_id", 5) != 0), rules, "text", "lang", "doc_id"), rules)
+    prepare(spark)
+    model = learned_languages(docs.filter(bucket_of_id("doc_id", 5) != 0), rules)
     out = predict_languages(spark, docs, model)
-    return out.select("doc_id", (bucket_of_id("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
+    return out.select("doc_id", in_bucket("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "n_words", "n_switches")

@@ -8,12 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenkg.llm.common import checkpointed, prepare, table
+from lumenkg.llm.common import checkpointed, fresh_name, prepare, table
 from lumenkg.llm.neardup import near_duplicates
 from lumenkg.llm.packing import pack_documents
 from lumenkg.llm.pii import base_spans, find_personal_data
 from lumenkg.llm.quality import QualityRules, clean_documents
-from lumenkg.llm.toxicity import ToxicityRules, fit_toxicity, score_toxicity, training_sample
+from lumenkg.llm.toxicity import ADDED, ToxicityRules, learned_toxicity, score_toxicity
 
 #: A line in more distinct texts of a source is boilerplate, also where 1 % of the source's texts is more.
 LINE_MAX_DOCS = 1000
@@ -25,11 +25,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below the cut; the model is fitted on the labelled ones among docs."""
+    """Documents whose toxicity score stays below the cut; the model is fitted on the labelled ones among docs.
+
+    Null and empty texts hold no toxic token and stay unless toxic documents prevail among
+    the labelled ones; equal texts get equal verdicts; long texts are scored whole.
+    """
     prepare(spark)
     rules = ToxicityRules()
-    model = fit_toxicity(training_sample(docs, table(spark, sf_dir, "labels"), rules), rules)
-    return score_toxicity(spark, docs, model, rules, carry=tuple(docs.columns)).filter("predicted = 0").select(docs.columns)
+    model = learned_toxicity(docs, table(spark, sf_dir, "labels"), rules)
+    added = {c: fresh_name(c, docs.columns) for c in ADDED}
+    out = score_toxicity(spark, docs, model, rules, carry=tuple(docs.columns), added=added)
+    return out.filter(F.col(added["predicted"]) == 0).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,10 @@ transitions from windows of such tokens.  At use, forward-backward over each who
 gives every token's marginal; tokens above span_threshold are offending spans, and a
 logistic function of their expected number, fitted on the labelled sample, is the score.
 
-Cases: null and empty texts have no token and get the score of a document without spans;
+The fit sees a bounded sample of the labelled rows (ToxicityRules) and runs in one task;
+scores cover every row and whole texts.
+
+Cases: a null id is held out from nothing and learned from by nothing; null and empty texts have no token and get the score of a document without spans;
 without toxic (or clean) labelled rows the score is their share; repeated rows are each
 scored; labels without a document, and null labels, are ignored.
 """
@@ -26,24 +29,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from lumenkg.llm.common import bucket_of_id, prepare, table
+from lumenkg.llm.common import bucket_of_id, checkpointed, fitted_in_task, fresh_name, in_bucket, prepare, table, within_bytes
 from lumenkg.llm.crf import Crf, FeatureRules, WordTable, blocks_of, fit
 from lumenkg.llm.langid import clean_word
 
 
 @dataclass(frozen=True)
 class ToxicityRules:
-    #: Bounds of the fitting sample: toxic and clean labelled documents, and characters of one of them.
+    #: Bounds of the fitting sample: toxic and clean labelled documents, and bytes of all their texts.
     toxic_docs: int = 1500
     clean_docs: int = 4500
-    max_chars: int = 200_000
+    max_bytes: int = 64_000_000
+    #: Of sample documents of one label that share so many first or last words, one is learned from: near copies would count one text many times.
+    edge_words: int = 8
     #: A word or beginning is a toxic unit if chance explains its documents with less than this probability.
     chance: float = 1e-5
     min_docs: int = 5
     prefixes: tuple[int, ...] = (4, 5, 6)
     window: int = 24
+    #: Bounds of the field's windows: of all, of one toxic document and of one clean document.
     windows: int = 6_000
+    toxic_windows: int = 6
+    clean_windows: int = 2
     rounds: int = 40
     span_threshold: float = 0.5
     cut: float = 0.3
@@ -52,20 +61,27 @@ class ToxicityRules:
 SPACE = re.compile(r"\S+")
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, rules: ToxicityRules, text: str = "text", key: str = "doc_id") -> list[tuple[int, str]]:
-    """About toxic_docs and clean_docs labelled (label, text) rows, picked by a hash of the id; a bounded table is broadcast."""
-    known = labels.filter(F.col("toxic").isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col("toxic").alias("y"))
-    counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
-    if not counts:
-        return []
+def sampled_rows(docs: DataFrame, labels: DataFrame, rules: ToxicityRules, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(y, t) of about toxic_docs and clean_docs labelled rows, picked by a hash of the id, in the shared folder.
+
+    Labels that repeat an id count once, as toxic if one of them says so; rows that repeat
+    an id give their smallest text.  The bounded table of picked ids is broadcast.
+    """
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col("toxic").alias("_y"))
+    counts = {r[0]: r[1] for r in known.groupBy("_y").count().collect()}
     quota = {0: rules.clean_docs, 1: rules.toxic_docs}
     keep = F.lit(False)
     for y, n in counts.items():
-        keep = keep | ((F.col("y") == y) & (F.pmod(F.xxhash64("_k"), F.lit(n)) < quota[y]))
-    picked = known.filter(keep).dropDuplicates(["_k"]).limit(2 * (rules.clean_docs + rules.toxic_docs))
-    joined = docs.filter(F.length(text) <= rules.max_chars).join(F.broadcast(picked), F.col(key) == F.col("_k"))
-    rows = joined.select("y", F.col(text).alias("t")).limit(2 * (rules.clean_docs + rules.toxic_docs)).collect()
-    return sorted((r.y, r.t) for r in rows)
+        keep = keep | ((F.col("_y") == y) & (F.pmod(F.xxhash64("_k"), F.lit(n)) < quota[y]))
+    picked = known.filter(keep).groupBy("_k").agg(F.max("_y").alias("_y"))
+    texts = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).filter("_t IS NOT NULL")
+    rows = texts.join(F.broadcast(picked), "_k").groupBy("_k").agg(F.max("_y").alias("y"), F.min("_t").alias("t"))
+    return within_bytes(checkpointed(rows), "t", "_k", rules.max_bytes).select("y", "t")
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, rules: ToxicityRules, text: str = "text", key: str = "doc_id") -> list[tuple[int, str]]:
+    """sampled_rows() on the driver, to look at or to fit with other rules."""
+    return sorted((r.y, r.t) for r in sampled_rows(docs, labels, rules, text, key).collect())
 
 
 def _units(word: str, rules: ToxicityRules) -> set[str]:
@@ -93,8 +109,8 @@ def fit_toxicity(sample: list[tuple[int, str]], rules: ToxicityRules = ToxicityR
     tokens, opened, closed = [], set(), set()
     for y, t in rng.sample(sample, len(sample)):
         words = [w for w in map(clean_word, t.lower().split()) if w]
-        head, tail = (y, *words[:8]), (y, *words[-8:])
-        if words and head not in opened and tail not in closed:  # near copies would count one text many times
+        head, tail = (y, *words[: rules.edge_words]), (y, *words[-rules.edge_words :])
+        if words and head not in opened and tail not in closed:
             tokens.append((y, words))
         opened.add(head)
         closed.add(tail)
@@ -114,11 +130,12 @@ def fit_toxicity(sample: list[tuple[int, str]], rules: ToxicityRules = ToxicityR
         if len(words) < size:
             words, marks = words + [""] * (size - len(words)), marks + [0] * (size - len(words))
         if y and any(marks):
-            starts = sorted({min(max(0, i - size // 2), len(words) - size) for i in range(len(words)) if marks[i]})[:6]
+            starts = sorted({min(max(0, i - size // 2), len(words) - size) for i in range(len(words)) if marks[i]})
+            starts = rng.sample(starts, min(len(starts), rules.toxic_windows))
+        elif y:
+            continue
         else:
-            starts = [rng.randrange(len(words) - size + 1) for _ in range(1 if y else 2)]
-            if y:
-                continue
+            starts = [rng.randrange(len(words) - size + 1) for _ in range(rules.clean_windows)]
         windows += [words[s : s + size] for s in starts]
         tags += [marks[s : s + size] for s in starts]
     chosen = rng.sample(range(len(windows)), min(len(windows), rules.windows))
@@ -135,6 +152,11 @@ def fit_toxicity(sample: list[tuple[int, str]], rules: ToxicityRules = ToxicityR
     return model
 
 
+def learned_toxicity(docs: DataFrame, labels: DataFrame, rules: ToxicityRules = ToxicityRules(), text: str = "text", key: str = "doc_id") -> Crf:
+    """The model of the labelled rows among docs, fitted by one task from a bounded sample."""
+    return fitted_in_task(sampled_rows(docs, labels, rules, text, key), lambda rows: fit_toxicity(rows, rules))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
     a = np.stack([x, np.ones(len(x))], axis=1)
     w = np.zeros(2)
@@ -154,16 +176,17 @@ def expected_tokens(marginals: np.ndarray, rules: ToxicityRules) -> float:
     return float(p[p >= rules.span_threshold].sum(dtype=np.float64))
 
 
-SCORED = "score double, n_spans long, spans array<struct<start:int,end:int,p:double>>"
+ADDED = {"score": "double", "n_spans": "long", "spans": "array<struct<start:int,end:int,p:double>>", "predicted": "int"}
 
 
-def score_toxicity(spark: SparkSession, docs: DataFrame, model: Crf, rules: ToxicityRules = ToxicityRules(), text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score_toxicity(spark: SparkSession, docs: DataFrame, model: Crf, rules: ToxicityRules = ToxicityRules(), text: str = "text", carry: tuple[str, ...] = ("doc_id",), added: dict[str, str] | None = None) -> DataFrame:
     """The columns carry, and score, n_spans, spans and predicted; spans are code points of offending tokens, end exclusive.
 
-    Carried columns must not be named like the added ones.
+    Where carried columns have the names of added ones, added gives those other names.
     """
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)  # a fixed table of 2**18 buckets
+    names = [(added or {}).get(c, c) for c in ADDED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
@@ -184,18 +207,19 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, model: Crf, rules: Toxi
                         spans.append([{"start": places[h][0], "end": places[h][1], "p": float(p[h, 1])} for h in hits])
                     else:
                         spans.append([])
-            made = [pa.array(scores, pa.float64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*carry, "score", "n_spans", "spans"])
+            verdicts = pa.array([int(s >= rules.cut) for s in scores], pa.int32())
+            made = [pa.array(scores, pa.float64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, kind), verdicts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*carry, *names])
 
-    kept = docs.select(*carry)
-    rows = docs.select(F.col(text).cast("string").alias("_scored_text"), *carry)
-    out = rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), SCORED]))
-    return out.withColumn("predicted", (F.col("score") >= rules.cut).cast("int"))
+    schema = docs.select(*[F.col(f"`{c}`") for c in carry]).schema
+    schema = StructType(schema.fields + [StructField(name, f.dataType) for name, f in zip(names, StructType.fromDDL(", ".join(f"{c} {kind}" for c, kind in ADDED.items())))])
+    rows = docs.select(F.col(text).cast("string").alias(fresh_name("_text", list(carry))), *[F.col(f"`{c}`") for c in carry])
+    return rows.mapInArrow(run, schema)
 
 
 def op2_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs, labels, rules = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ToxicityRules()
-    model = fit_toxicity(training_sample(docs, labels.filter(bucket_of_id("doc_id", 4) != 2), rules), rules)
+    model = learned_toxicity(docs, labels.filter(bucket_of_id("doc_id", 4) != 2), rules)
     out = score_toxicity(spark, docs, model, rules)
-    return out.select("doc_id", (bucket_of_id("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "n_spans", "spans")
+    return out.select("doc_id", in_bucket("doc_id", 4, 2).alias("held_out"), "score", "predicted", "n_spans", "spans")
