@@ -1,27 +1,31 @@
 """Near-duplicate groups by a signature-coordinate inverted join, links confirmed on full shingle sets.
 
 1. Each text gives its set of distinct 5-word shingles (64-bit hashes) and a signature of
-   32 minima.  Texts with one and the same set form a class; classes stand for their
-   copies from here on, so a group of copies costs one row.
+   32 minima.  Texts with one and the same set (128-bit hash) form a class; classes stand
+   for their copies from here on, so a group of copies costs one row.
 2. A class is posted under each (coordinate, value) of its signature.  Two sets of
-   similarity 0.75 agree in 24 of 32 coordinates on average and in fewer than 12 with a
-   probability of about one in a million.  So a partner needs min_matches = 12 common
-   postings: values held once are skipped, a class with fewer shared values than that is
-   skipped whole, and of the rest only the rarest 32 - 12 + 1 positions (its prefix) are
-   joined, since two lists with 12 common entries meet in their prefixes.
-3. In each posting every class is compared with one hub, the class whose values are
-   shared most (in a group of near copies that is the text they vary), then with a second
-   hub from another component; what is linked by now needs no further comparison, and at
-   last all pairs of a posting that still lie in different components are compared, each
-   under the first value that they share.  No pair within a component is emitted, so a
-   group of n near copies costs about n pairs, not n squared; and no pair across
-   components is left out.
-4. A pair counts only if its signatures agree often enough and the exact similarity of
-   the full sets reaches the threshold.
+   similarity 0.75 collide in 24 of 32 postings on average and in fewer than 12 with a
+   probability of about two in a million.  So a partner needs min_matches = 12 collisions:
+   values held once are skipped, a class with fewer shared values than that is skipped
+   whole, and of the rest only the rarest 32 - 12 + 1 postings (its prefix) are joined,
+   since two lists with 12 common entries meet in their prefixes.
+3. In each posting every class is compared with one hub, the class whose values are shared
+   most (in a group of near copies that is the text they vary): collisions are counted,
+   and pairs with enough of them are confirmed on their full sets.  Links to common hubs
+   join classes; postings that still hold classes not known to be joined go on.
+4. There, all such pairs are compared, tile by tile: postings are cut into tiles of bounded
+   size, and each pair of tiles is compared in one block of a task.  A pair is met under
+   the first value that both prefixes hold; its collisions are counted, and a bound from
+   the hub (two classes share at most the smaller of their parts inside one hub, and what
+   their parts outside it share) rules out most members of a large group without a test.
+   Pairs that remain are confirmed on their full sets.  No pair known to be joined is
+   compared, so n near copies of one text cost about n pairs; no other pair is left out.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with
-nothing; a row with a null id is returned with a null component; rows that repeat an id
-are each returned; ties do not arise, since a component is named by its smallest id.
+nothing; a row with a null id is returned with a null component and kept as null; rows
+that repeat an id are each returned, and with different texts they are different nodes
+that share a name, so links of one do not pull in the other's; ties do not arise, since a
+component is named by its smallest id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,6 +51,9 @@ class NearDupRules:
     percent: int = 75
     #: Word hashes kept by a worker before it starts anew.
     memo_words: int = 600_000
+    #: Classes, and bytes of their sets outside hubs, in one tile of a posting.
+    tile_rows: int = 2_048
+    tile_bytes: int = 16_000_000
 
 
 class WordHashes(dict):
@@ -105,135 +112,189 @@ def signatures(docs: DataFrame, rules: NearDupRules = NearDupRules(), text: str
             for t in batch.column(1).cast(pa.binary()):
                 s = shingle_set(t.as_py(), memo, rules.shingle_words)
                 n.append(len(s))
-                cid.append(xxhash.xxh64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
+                cid.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
                 sig.append(signature(s, a, b).view(np.int32) if len(s) else None)
                 if len(memo) > rules.memo_words:
                     memo.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], ["id", "n_shingles", "cid", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], ["id", "n_shingles", "cid", "sig"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "id long, n_shingles long, cid long, sig array<int>")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "id long, n_shingles long, cid binary, sig array<int>")
 
 
-def full_sets(docs: DataFrame, rules: NearDupRules, text: str = "text") -> DataFrame:
-    """(cid, shingles) of the texts given; rows are expected to be few copies of each set."""
+def full_sets(texts: DataFrame, rules: NearDupRules) -> DataFrame:
+    """(node, shingles) of (node, cid, t) rows whose text has the set that cid names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         memo = WordHashes()
         for batch in batches:
-            cid, sets = [], []
-            for t in batch.column(0).cast(pa.binary()):
+            nodes, sets = [], []
+            for node, cid, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
                 s = shingle_set(t.as_py(), memo, rules.shingle_words)
-                cid.append(xxhash.xxh64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
-                sets.append(_signed(s))
+                if xxhash.xxh128_digest(s.tobytes()) == cid:
+                    nodes.append(node)
+                    sets.append(_signed(s))
                 if len(memo) > rules.memo_words:
                     memo.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cid", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "cid long, shingles array<long>")
+    return texts.select("node", "cid", "t").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
-def prefix_postings(classes: DataFrame, rules: NearDupRules) -> DataFrame:
-    """(k, cid, reach): for each class that can have a partner, the postings of its prefix, rarest values first; reach tells how widely its values are shared."""
-    posted = classes.select("cid", F.posexplode("sig").alias("i", "v")).select("cid", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("v")).alias("k"))
+def prefixed(classes: DataFrame, rules: NearDupRules) -> DataFrame:
+    """classes that can have a partner, with ks (postings of the prefix, rarest first), mask (their coordinates as bits) and reach (how widely the values are shared)."""
+    posted = classes.select("node", F.posexplode("sig").alias("i", "v")).select("node", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("v")).alias("k"))
     shared = posted.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
-    entries = posted.join(shared, "k").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("n", "k"))).alias("e"))
+    entries = posted.join(shared, "k").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "k"))).alias("e")).filter(F.size("e") >= rules.min_matches)
     # Values held once take the first places of the prefix and meet nobody; the last min_matches - 1 places are skipped.
-    prefix = F.slice("e", F.lit(1), F.size("e") - (rules.min_matches - 1))
+    prefix = F.transform(F.slice("e", F.lit(1), F.size("e") - (rules.min_matches - 1)), lambda x: x["k"])
     reach = F.aggregate("e", F.lit(0).cast("long"), lambda s, x: s + x["n"])
-    return entries.filter(F.size("e") >= rules.min_matches).select("cid", reach.alias("reach"), F.explode(prefix).alias("x")).select("x.k", "cid", "reach")
-
-
-def agreeing(pairs: DataFrame, classes: DataFrame, rules: NearDupRules) -> DataFrame:
-    """Of the pairs (a, b), those whose sizes allow a link and whose signatures agree in min_matches coordinates."""
-    sig = classes.select("cid", "sig", "n_shingles")
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return (
-        pairs.distinct()
-        .join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na")), "a")
-        .join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb")), "b")
-        .filter((100 * F.least("na", "nb") >= rules.percent * F.greatest("na", "nb")) & (agree >= rules.min_matches))
-        .select("a", "b")
-    )
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, rules: NearDupRules) -> DataFrame:
-    """Of distinct pairs (a, b), those whose full sets reach the similarity."""
-    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
-    common = both.withColumn("common", F.size(F.array_intersect("x", "y")))
-    return common.filter(100 * F.col("common") >= rules.percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
-
-
-def _labelled(postings: DataFrame, links: DataFrame) -> DataFrame:
-    """Postings with each class's component, where a posting still holds more than one component."""
-    parts = connected_components(links).select(F.col("node").alias("cid"), F.col("component").alias("comp"))
-    out = postings.join(parts, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    mixed = out.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("k")
-    return checkpointed(out.join(mixed, "k"))
-
-
-def remaining_pairs(left: DataFrame, hubs: DataFrame, classes: DataFrame, sets: DataFrame, rules: NearDupRules) -> DataFrame:
-    """Pairs (a, b) of one posting in different components that can still be links, each under the first value its prefixes share.
-
-    Each class knows its widest hub, how much of its set lies in the hub's, and the rest.
-    Two classes of one hub have at most the smaller of those parts and what their rests
-    share in common, so most members of a large group rule each other out without a test.
-    """
-    own = left.join(hubs, "k").groupBy("cid").agg(F.max_by("h.cid", F.struct("h.reach", "h.cid")).alias("hub"), F.collect_list("k").alias("ks"))
-    rest = (
-        own.join(sets, "cid")
-        .join(sets.select(F.col("cid").alias("hub"), F.col("shingles").alias("hub_set")), "hub")
-        .select("cid", "hub", "ks", F.size("shingles").alias("n"), F.array_except("shingles", "hub_set").alias("rest"))
-    )
-    full = left.select("k", "cid", "comp").join(rest, "cid").join(classes.select("cid", "sig"), "cid")
-    x, y = full.alias("x"), full.alias("y")
-    agree = F.aggregate(F.zip_with("x.sig", "y.sig", lambda u, v: (u == v).cast("int")), F.lit(0), lambda s, u: s + u)
-    common = F.least(F.col("x.n") - F.size("x.rest"), F.col("y.n") - F.size("y.rest"))
-    most = common + F.size(F.array_intersect("x.rest", "y.rest"))
-    on = (
-        (F.col("x.k") == F.col("y.k"))
-        & (F.col("x.comp") < F.col("y.comp"))
-        & (100 * F.least("x.n", "y.n") >= rules.percent * F.greatest("x.n", "y.n"))
-        & (F.array_min(F.array_intersect("x.ks", "y.ks")) == F.col("x.k"))
-        & (
-            (F.col("x.hub") != F.col("y.hub"))
-            | (100 * most >= rules.percent * (F.col("x.n") + F.col("y.n") - most))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(k + F.lit(2**31), 32).cast("int"))
+    found = entries.select("node", reach.alias("reach"), prefix.alias("ks"))
+    return found.withColumn("mask", F.aggregate("ks", F.lit(0).cast("long"), lambda s, k: s.bitwiseOR(bit(k)))).join(classes, "node")
+
+
+def hub_pairs(entries: DataFrame, rules: NearDupRules) -> DataFrame:
+    """Distinct (node, hub, hub_reach): classes with the hub of each of their postings, if sizes allow a link and collisions suffice."""
+    posted = entries.select(F.explode("ks").alias("k"), "node", "reach", F.struct("node", "n_shingles", "sig").alias("x"))
+    hubs = posted.groupBy("k").agg(F.max_by(F.struct("x", "reach"), F.struct("reach", "node")).alias("h"))
+    collisions = F.aggregate(F.zip_with("x.sig", "h.x.sig", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
+    n, m = F.col("x.n_shingles"), F.col("h.x.n_shingles")
+    fits = (F.col("node") != F.col("h.x.node")) & (100 * F.least(n, m) >= rules.percent * F.greatest(n, m)) & (collisions >= rules.min_matches)
+    return posted.join(hubs, "k").filter(fits).select("node", F.col("h.x.node").alias("hub"), F.col("h.reach").alias("hub_reach")).distinct()
+
+
+def compared(pairs: DataFrame, sets: DataFrame, rules: NearDupRules) -> DataFrame:
+    """Pairs (node, hub, ...) with common (size of the intersection), rest (node's shingles outside the hub's) and linked."""
+    both = pairs.join(sets.select("node", F.col("shingles").alias("_x")), "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("_y")), "hub")
+    both = both.withColumn("rest", F.array_except("_x", "_y")).withColumn("common", F.size("_x") - F.size("rest"))
+    linked = 100 * F.col("common") >= rules.percent * (F.size("_x") + F.size("_y") - F.col("common"))
+    return both.withColumn("linked", linked).drop("_x", "_y")
+
+
+def known_parts(links: DataFrame) -> DataFrame:
+    """(node, part): classes with equal parts are joined by links (node, hub); joined ones may still differ."""
+    low = links.groupBy("hub").agg(F.min("node").alias("m")).select("hub", F.least("hub", "m").alias("part"))
+    return links.join(low, "hub").select("node", "part").unionByName(low.withColumnRenamed("hub", "node")).groupBy("node").agg(F.min("part").alias("part"))
+
+
+def tiles(entries: DataFrame, tested: DataFrame, rules: NearDupRules) -> DataFrame:
+    """Classes of postings that hold several parts, copied to each pair (a, b) of tiles that they belong to; slot groups tiles for tasks."""
+    own = tested.groupBy("node").agg(F.max_by(F.struct("hub", "common", "rest"), F.struct("hub_reach", "hub")).alias("h"))
+    info = entries.join(known_parts(tested.filter("linked")), "node", "left").join(own, "node", "left")
+    info = checkpointed(
+        info.select(
+            "node", "ks", "mask", "sig", F.col("n_shingles").alias("n"), F.coalesce("part", "node").alias("part"),
+            F.coalesce("h.hub", "node").alias("hub"), F.coalesce("h.common", "n_shingles").alias("inside"), F.coalesce("h.rest", F.array().cast("array<bigint>")).alias("rest"),
         )
-        & (agree >= rules.min_matches)
-    )
-    return x.join(y, on).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
+    )
+    size = info.select(F.explode("ks").alias("k"), "part", F.size("rest").alias("r")).groupBy("k").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m"), F.sum("r").alias("r"))
+    cut = F.greatest(F.ceil(F.col("m") / rules.tile_rows), F.ceil(8 * F.col("r") / rules.tile_bytes), F.lit(1))
+    mixed = checkpointed(size.filter("lo < hi").select("k", cut.alias("cut"), "m"))
+    rows = mixed.agg(F.sum(F.col("m") * F.col("cut"))).first()[0] or 0
+    mine = F.pmod(F.xxhash64("node"), "cut")
+    held = info.withColumn("k", F.explode("ks")).drop("ks").join(mixed, "k").withColumn("tile", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)))
+    held = held.withColumn("a", F.least("tile", "other")).withColumn("b", F.greatest("tile", "other"))
+    slot = F.pmod(F.xxhash64("k", "a", "b"), F.lit(max(1, rows // rules.tile_rows)))
+    return held.select(slot.alias("slot"), "k", "a", "b", "tile", "node", "part", "n", "mask", "sig", "hub", "inside", "rest")
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Flat values and starts (one more than rows) of a list column."""
+    array = column.combine_chunks()
+    array = array if isinstance(array, pa.ListArray) else array.chunk(0)
+    ends = array.offsets.to_numpy()
+    return array.values.to_numpy(zero_copy_only=False), ends
+
+
+def tile_pairs(rows: pa.Table, rules: NearDupRules) -> pa.Table:
+    """Pairs (node, hub) of the tiles of one slot that can still be links."""
+    rows = rows.sort_by([("k", "ascending"), ("a", "ascending"), ("b", "ascending"), ("tile", "ascending"), ("node", "ascending")])
+    col = {c: rows.column(c).to_numpy() for c in ("k", "a", "b", "tile", "node", "part", "n", "mask", "hub", "inside")}
+    sig = _lists(rows.column("sig"))[0].reshape(rows.num_rows, -1)
+    rest, ends = _lists(rows.column("rest"))
+    key = np.stack([col["k"], col["a"], col["b"]])
+    cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+    found_x, found_y = [], []
+    for at, to in zip([0, *cuts], [*cuts, rows.num_rows]):
+        if col["part"][at:to].min() == col["part"][at:to].max():
+            continue
+        alone = col["a"][at] == col["b"][at]
+        middle = to if alone else at + int(np.searchsorted(col["tile"][at:to], col["b"][at]))
+        coordinate = np.uint64((int(col["k"][at]) + 2**31) >> 32)
+        xs, ys = np.arange(at, middle), np.arange(at if alone else middle, to)
+        for i in range(0, len(xs), 128):
+            x = xs[i : i + 128]
+            ok = col["part"][x][:, None] != col["part"][ys]
+            if alone:
+                ok &= x[:, None] < ys
+            nx, ny = col["n"][x][:, None], col["n"][ys]
+            ok &= 100 * np.minimum(nx, ny) >= rules.percent * np.maximum(nx, ny)
+            collisions = np.zeros(ok.shape, np.uint8)
+            for c in range(sig.shape[1]):
+                collisions += sig[x, c][:, None] == sig[ys, c]
+            ok &= collisions >= rules.min_matches
+            u, v = np.nonzero(ok)
+            u, v = x[u], ys[v]
+            # Met here only: the first coordinate that both prefixes post under one value.
+            both = (sig[u] == sig[v]) & ((col["mask"][u] & col["mask"][v])[:, None] >> np.arange(sig.shape[1]) & 1).astype(bool)
+            mine = both.argmax(axis=1) == coordinate
+            u, v = u[mine], v[mine]
+            need = -(-rules.percent * (col["n"][u] + col["n"][v]) // (100 + rules.percent)) - np.minimum(col["inside"][u], col["inside"][v])
+            same = col["hub"][u] == col["hub"][v]
+            open_ = ~same | (need <= np.minimum(np.diff(ends)[u], np.diff(ends)[v]))
+            u, v, need, same = u[open_], v[open_], need[open_], same[open_]
+            asked = np.flatnonzero(same & (need > 0))
+            if len(asked):
+                fits = np.ones(len(u), bool)
+                fits[asked] = _shared(rest, ends, u[asked], v[asked]) >= need[asked]
+                u, v = u[fits], v[fits]
+            found_x.append(col["node"][u])
+            found_y.append(col["node"][v])
+    empty = np.empty(0, np.int64)
+    return pa.table({"node": np.concatenate([empty, *found_x]), "hub": np.concatenate([empty, *found_y])})
+
+
+def _shared(values: np.ndarray, ends: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each pair of rows, how many values their lists share; u is ascending, values of a list are distinct."""
+    rows = np.unique(np.concatenate([u, v]))
+    spans = [values[ends[r] : ends[r + 1]] for r in rows]
+    starts = np.cumsum([0, *map(len, spans)])
+    number, width = np.unique(np.concatenate(spans), return_inverse=True)[1], 0
+    width = int(number.max()) + 1 if len(number) else 0
+    mark, out = np.zeros(width, bool), np.zeros(len(u), np.int64)
+    place_u, place_v = np.searchsorted(rows, u), np.searchsorted(rows, v)
+    for at, to in zip(*(lambda c: ([0, *c], [*c, len(u)]))(np.flatnonzero(np.diff(u)) + 1)):
+        own = number[starts[place_u[at]] : starts[place_u[at] + 1]]
+        mark[own] = True
+        hits = np.concatenate([[0], np.cumsum(mark[number])]) if to - at > 32 else None
+        for i in range(at, to):
+            s, e = starts[place_v[i]], starts[place_v[i] + 1]
+            out[i] = hits[e] - hits[s] if hits is not None else np.count_nonzero(mark[number[s:e]])
+        mark[own] = False
+    return out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, rules: NearDupRules = NearDupRules(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id linked with it, itself included), kept."""
     prepare(spark)
     rows = checkpointed(signatures(docs, rules, text, key))
-    classes = checkpointed(rows.filter("cid IS NOT NULL AND id IS NOT NULL").groupBy("cid").agg(F.min("id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
-    postings = checkpointed(prefix_postings(classes, rules))
-    wanted = postings.select("cid").distinct().join(classes, "cid").select(F.col("first_id").alias("id"))
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
-    sets = checkpointed(full_sets(texts, rules).filter("cid IS NOT NULL").dropDuplicates(["cid"]))
-
-    def with_hub(p: DataFrame, hubs: DataFrame) -> DataFrame:
-        pairs = p.join(hubs, "k").filter("h.comp != comp").select(F.least("h.cid", "cid").alias("a"), F.greatest("h.cid", "cid").alias("b"))
-        return checkpointed(confirmed(agreeing(pairs, classes, rules), sets, rules))
-
-    def hub(p: DataFrame) -> DataFrame:
-        return p.groupBy("k").agg(F.max_by(F.struct("cid", "comp", "reach"), F.struct("reach", "cid")).alias("h"))
-
-    single = postings.withColumn("comp", F.col("cid"))
-    links = with_hub(single, hub(single))
-    left = _labelled(postings, links)
-    second = hub(left.join(hub(left), "k").filter("h.comp != comp").drop("h"))
-    links = checkpointed(links.unionByName(with_hub(left, second)))
-    left = _labelled(postings, links)
-    links = checkpointed(links.unionByName(confirmed(remaining_pairs(left, hub(single), classes, sets, rules), sets, rules)))
-    parts = connected_components(links).select(F.col("node").alias("cid"), "component")
-    first = parts.join(classes, "cid").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = classes.join(parts, "cid", "left").join(first, "component", "left").select("cid", F.coalesce("component_id", "first_id").alias("component_id"))
-    out = rows.select("id", "n_shingles", "cid").join(named, "cid", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    named = rows.filter("cid IS NOT NULL AND id IS NOT NULL").groupBy("cid").agg(F.min("id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    classes = checkpointed(named.withColumn("node", F.monotonically_increasing_id()))
+    entries = checkpointed(prefixed(classes, rules))
+    wanted = entries.select(F.col("first_id").alias("_id"), "node", "cid")
+    texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("t")).join(wanted, "_id")
+    sets = checkpointed(full_sets(texts, rules))
+    tested = checkpointed(compared(hub_pairs(entries, rules), sets, rules))
+    slots = tiles(entries, tested, rules)
+    rest = slots.groupBy("slot").applyInArrow(lambda t: tile_pairs(t, rules), "node long, hub long")
+    links = tested.filter("linked").select("node", "hub").unionByName(compared(rest, sets, rules).filter("linked").select("node", "hub"))
+    parts = connected_components(links, "node", "hub").select("node", "component")
+    first = parts.join(classes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
+    moved = parts.join(first, "component").join(classes.select("node", "cid"), "node").select("cid", "component_id")
+    out = rows.select("id", "n_shingles", "cid").join(classes.select("cid", "first_id"), "cid", "left").join(moved, "cid", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "first_id", "id"))
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept"))
 
 
