@@ -2,21 +2,24 @@
 
 A page is cut into blocks at block-level tags.  Blocks inside menus, forms, scripts and
 the like, or inside elements whose class, id or role names such a part, are dropped.
-First pass: stop-word density, length and link density label the other blocks good, near,
-short or bad; where the page marks its article, text outside it is bad and text inside it
-is good unless it is short or mostly links.  Second pass: near blocks are good unless
-bad ones stand on both sides; then short ones take the label of the nearest decided block
-in the same part of the page.
+First pass: stop-word density, length and link density label every other block good,
+near, short or bad; that the page marks a block as part of its article is one more
+feature: it allows more links, and makes a long block of low density near, not bad, while
+text outside a marked article is bad.  Second pass: near blocks are good unless bad ones
+stand on both sides; then short ones take the label of the nearest decided block in the
+same part of the page.
 
 Cases: null and empty pages give an empty text; a page cut off in the middle is read as
 far as it goes; repeated rows are each extracted; a page with nothing good gives an empty
-text, not null.
+text, not null; where names of elements would drop all of a page, they are not looked at;
+pages of any length and tags that never end are read in time in proportion to the length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,8 +61,12 @@ DROPPED_NAMES = frozenset(
 IMPLIED_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^'">]|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>]*+)>""", re.S)
+CUT_OFF = re.compile(r"<(?:!|\?|/?[A-Za-z])")  # a tag or comment that does not end
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME_PARTS = re.compile(r"[A-Za-z]+")
+# Parts of a name that tell of a layout around other parts, or of a part of the article.
+LAYOUT_PARTS = frozenset("layout has with without no grid col columns template theme".split())
+ARTICLE_PARTS = frozenset("article content entry post story".split())
 WORD = re.compile(r"\w+")
 
 
@@ -82,16 +89,25 @@ class Block:
 
 
 def _dropped_by_name(attributes: str) -> bool:
-    return any(part in DROPPED_NAMES for m in NAMED.finditer(attributes) for part in NAME_PARTS.findall((m[1] or m[2] or m[3] or "").lower()))
-
-
-def blocks(page: str) -> list[Block]:
-    """Blocks of a page outside dropped elements, white space joined, in page order."""
+    """Whether a name in class, id or role is that of a dropped part, alone or among others (ad-slot), but for layouts (has-sidebar) and the article's own header."""
+    for m in NAMED.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = set(NAME_PARTS.findall(name))
+            named = parts & DROPPED_NAMES
+            if named and not parts & LAYOUT_PARTS and not (named == {"header"} and parts & ARTICLE_PARTS):
+                return True
+    return False
+
+
+def blocks(page: str, by_name: bool = True) -> list[Block]:
+    """Blocks of a page outside dropped elements, white space joined, in page order; without by_name only tags drop."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # name, dropped, in article
     text: list[str] = []
     links: list[str] = []
     anchors, at, end = 0, 0, len(page)
+    last = page.rfind(">")  # behind it no tag ends
+    opened: Counter[str] = Counter()  # names on the stack
 
     def flush() -> None:
         joined = " ".join("".join(text).split())
@@ -107,10 +123,15 @@ def blocks(page: str) -> list[Block]:
             if anchors:
                 links.append(decoded)
 
+    def close() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
     while at < end:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= last else None
         if m is None:
-            add(page[at:])
+            add(CUT_OFF.split(page[at:], maxsplit=1)[0])
             break
         add(page[at : m.start()])
         at = m.end()
@@ -125,10 +146,8 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCK_TAGS or name in DROPPED_TAGS:
             flush()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            while opened[name] and close() != name:
+                pass
             continue
         if name in RAW_TAGS:
             over = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
@@ -138,44 +157,43 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in ARTICLE_TAGS:  # an article ends whatever was left open around it and dropped
             while stack and stack[-1][1] and stack[-1][0] not in ("nav", "aside", "footer"):
-                stack.pop()
+                close()
         ends = IMPLIED_ENDS.get(name)
         if name in BLOCK_TAGS and stack and stack[-1][0] == "p":
-            stack.pop()
+            close()
         if ends and stack and stack[-1][0] in ends:
-            stack.pop()
+            close()
         up_dropped, up_article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         dropped = up_dropped or name in DROPPED_TAGS or (name == "header" and not up_article)
-        if not dropped and name not in ("html", "body") and name not in ARTICLE_TAGS and "=" in attributes:
+        if by_name and not dropped and name not in ("html", "body") and name not in ARTICLE_TAGS and "=" in attributes:
             dropped = _dropped_by_name(attributes)
         if name in BLOCK_TAGS or dropped or name in ("span", "section"):
             stack.append((name, dropped, up_article or name in ARTICLE_TAGS))
+            opened[name] += 1
     flush()
     return out
 
 
 def _first_pass(block: Block, has_article: bool, rules: BlockRules) -> str:
-    n = len(block.text)
+    n, inside = len(block.text), block.in_article
     links = block.link_chars / n
-    if has_article:
-        if not block.in_article or links > rules.max_article_link_density:
-            return "bad"
-        return "short" if n < rules.short_chars else "good"
-    if links > rules.max_link_density or block.text.startswith(("©", "(c)")):
+    if has_article and not inside or links > (rules.max_article_link_density if inside else rules.max_link_density):
+        return "bad"
+    if not inside and block.text.startswith(("©", "(c)")):
         return "bad"
     if n < rules.short_chars:
-        return "bad" if links else "short"
+        return "bad" if links and not inside else "short"
     words = WORD.findall(block.text.lower())
     density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if density >= rules.stop_high:
-        return "good" if n > rules.long_chars else "near"
-    return "near" if density >= rules.stop_low else "bad"
+    if density >= rules.stop_high and n > rules.long_chars:
+        return "good"
+    return "near" if density >= rules.stop_low or inside else "bad"
 
 
 def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
     if not page:
         return ""
-    found = blocks(page)
+    found = blocks(page) or blocks(page, by_name=False)
     has_article = any(b.in_article for b in found)
     for b in found:
         b.label = _first_pass(b, has_article, rules)
