@@ -2,36 +2,54 @@
 
 The model normalises nothing but the space, which becomes a marker, and no piece holds a
 marker after another character.  So pieces never cross the start of a run of markers: a
-text is cut there, each distinct part (markers and the word after them) is segmented once
-per task, and ids are joined back by position.  The table of a task is bounded; beyond
-the bound it starts anew, which costs time and changes nothing.  A model whose pieces do
-cross markers is encoded whole.
-
-Null texts count as empty and give no ids and an empty text; repeated rows are each kept.
+text is cut there into parts (markers and the word after them).  The distinct parts of the
+whole corpus, with their numbers, make a table in the shared folder, in which each is
+segmented once; ids are joined back by position inside each task, so neither texts nor
+positions are shuffled.  The join looks parts up in the most frequent rows of the table,
+broadcast within a bound (table_rows of at most part_chars characters); the rare parts
+beyond it are segmented where they occur, which gives the same ids.  A model whose pieces
+do cross markers is encoded whole.
+
+Cases: null texts count as empty and give no ids and an empty text; repeated rows are each
+kept; a null id is carried along; an empty table gives an empty result; a text of any
+length is encoded whole.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenkg.llm.common import prepare, table
+from lumenkg.llm.common import checkpointed, prepare, table
 
 MARK = "▁"
 PART = re.compile(" +[^ ]*")
 
 
+@dataclass(frozen=True)
+class ChunkRules:
+    #: Bounds of what is broadcast: rows of the table, the most frequent ones, and characters of a part.
+    table_rows: int = 300_000
+    part_chars: int = 48
+    #: Parts that a task counts, or segments beyond the table, before it starts anew.
+    task_chunks: int = 400_000
+
+
 class ChunkTable:
-    def __init__(self, model_path: str, max_chunks: int = 600_000):
+    """Ids of texts from a table of parts; parts that it lacks are segmented and kept while they are few."""
+
+    def __init__(self, model_path: str, known: dict[str, bytes] | None = None, max_chunks: int = 400_000):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        self.max_chunks, self.memo = max_chunks, {}
+        self.max_chunks, self.known, self.memo = max_chunks, known or {}, {}
         pieces = map(self.sp.id_to_piece, range(self.sp.get_piece_size()))
         # What the cut relies on: no marker inside a piece, a marker added in front, all else left as it is.
         odd = "x  \t\ny 　é"
@@ -50,33 +68,68 @@ class ChunkTable:
             return PART.findall(marked)
         return [" " + w for w in marked[1:].split(" ")]
 
+    def segmented(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts, in blocks."""
+        out = []
+        for i in range(0, len(parts), 20_000):
+            block = parts[i : i + 20_000]
+            made = iter(self.sp.encode([p[1:] for p in block if p != " "], out_type=int, num_threads=1))
+            out += [self._ids(p) if p == " " else np.array(next(made), "<i4").tobytes() for p in block]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return [np.array(x, "<i4").tobytes() for x in self.sp.encode(texts, out_type=int, num_threads=1)]
         if len(self.memo) > self.max_chunks:
             self.memo = {}
-        memo, cut = self.memo, [self.parts(t) for t in texts]
-        missing = list({p for parts in cut for p in parts if p not in memo})
-        alone = [p for p in missing if p == " "]
-        plain = [p for p in missing if p != " "]
-        for p in alone:
-            memo[p] = self._ids(p)
-        for i in range(0, len(plain), 20_000):
-            part = plain[i : i + 20_000]
-            for p, ids in zip(part, self.sp.encode([p[1:] for p in part], out_type=int, num_threads=1)):
-                memo[p] = np.array(ids, "<i4").tobytes()
-        return [b"".join(map(memo.__getitem__, parts)) for parts in cut]
+        known, memo, cut = self.known, self.memo, [self.parts(t) for t in texts]
+        missing = list({p for parts in cut for p in parts if p not in known and p not in memo})
+        memo.update(zip(missing, self.segmented(missing)))
+        return [b"".join([known.get(p) or memo[p] for p in parts]) for parts in cut]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.sp.decode(ids, num_threads=1)
 
 
-def encode_decode(spark: SparkSession, docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def distinct_chunks(spark: SparkSession, docs: DataFrame, model_path: str, rules: ChunkRules = ChunkRules(), text: str = "text") -> DataFrame:
+    """(part, n, ids) of every distinct part of the corpus within part_chars, segmented once; in the shared folder."""
+    prepare(spark)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, n = ChunkTable(model_path), Counter()
+
+        def told() -> pa.RecordBatch:
+            kept = {p: c for p, c in n.items() if len(p) <= rules.part_chars}
+            return pa.RecordBatch.from_arrays([pa.array(kept.keys(), pa.string()), pa.array(kept.values(), pa.int64())], ["part", "n"])
+
+        for batch in batches:
+            for t in batch.column(0):
+                n.update(chunks.parts(t.as_py() or ""))
+                if len(n) > rules.task_chunks:
+                    yield told()
+                    n.clear()
+        yield told()
+
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = ChunkTable(model_path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunks.segmented(batch.column(0).to_pylist()), pa.binary())], ["part", "n", "ids"])
+
+    counted = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    return checkpointed(counted.mapInArrow(segment, "part string, n long, ids binary"))
+
+
+def encode_decode(spark: SparkSession, docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", rules: ChunkRules = ChunkRules()) -> DataFrame:
     """(key, ids array<int>, decoded string) per row."""
     prepare(spark)
+    known = {}
+    if ChunkTable(model_path).cuts:
+        frequent = distinct_chunks(spark, docs, model_path, rules, text).filter("n > 1").orderBy(F.desc("n"), "part").limit(rules.table_rows)
+        known = {r.part: bytes(r.ids) for r in frequent.select("part", "ids").toLocalIterator()}
+    shared = spark.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = ChunkTable(model_path)
+        chunks = ChunkTable(model_path, shared.value, rules.task_chunks)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
