@@ -6,8 +6,9 @@ one host's urls can lie in many partitions); each partition sweeps its sorted ur
 the sorted rule intervals and keeps a stack of those that are open.  Of the open rules
 whose path starts the url's path, the longest wins.
 
-Rules come as a list on the driver.  Up to max_swept_rules they are sent to the sweep;
-beyond it the same verdicts come from an equi-join of rules with the suffixes of each host.
+Rules come as a list on the driver.  They are sent to the sweep in blocks of block_rules,
+in order of their keys; a task sweeps its sorted urls along one block after another and
+keeps the best rule so far, so any number of rules takes bounded memory.
 
 Cases: a null url or one without :// has an empty host and path and no rule; a url without
 a rule gets the default verdict; of equally long rules the one with the longer host wins,
@@ -71,37 +72,36 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[UrlRule], default: str = "allow", url: str = "url", key: str = "page_id", max_swept_rules: int = 200_000) -> DataFrame:
-    """(key, host, path, rule, verdict) per row."""
+    """(key, host, path, rule, verdict) per row; max_swept_rules is the size of a block of rules."""
     prepare(spark)
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(key).alias("k"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("turned", F.concat(F.array_join(F.reverse(F.split("host", r"\.")), "."), F.lit(".")))
-    if len(rules) > max_swept_rules:
-        return _joined(spark, rows, rules, default).withColumnRenamed("k", key)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, "turned", "path", "k").sortWithinPartitions("turned", "path", "k")
     kind = rows.schema["k"].dataType.simpleString()
+    best = ordered.select("k", "host", "path", "turned", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("int").alias("n"))
+    in_order = sorted(rules, key=lambda r: (reversed_key(r.host), r.path))
+    for i in range(0, len(in_order), max_swept_rules):
+        best = _swept(spark, best, in_order[i : i + max_swept_rules], kind)
+    return best.select(F.col("k").alias(key), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+
+
+def _swept(spark: SparkSession, best: DataFrame, rules: list[UrlRule], kind: str) -> DataFrame:
+    """Rows in order of turned, with a rule of this block where it beats the one so far; n is the length of the rule's host."""
+    block = spark.sparkContext.broadcast(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sweep = HostSweep(rules)
+        sweep = HostSweep(block.value)
         for batch in batches:
-            found = [sweep.rule(t, p) for t, p in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist())]
-            names = pa.array([r and r.name for r in found], pa.string())
-            verdicts = pa.array([r.verdict if r else default for r in found], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], names, verdicts], ["k", "host", "path", "rule", "verdict"])
-
-    return ordered.mapInArrow(run, f"k {kind}, host string, path string, rule string, verdict string").withColumnRenamed("k", key)
-
-
-def _joined(spark: SparkSession, rows: DataFrame, rules: list[UrlRule], default: str) -> DataFrame:
-    """The same verdicts for rule lists of any size: one probe per suffix of a host."""
-    table_ = spark.createDataFrame([(reversed_key(r.host), r.path, r.name, r.verdict, len(r.host)) for r in rules], "prefix string, rule_path string, rule string, verdict string, n int")
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    labels = F.split("turned", r"\.")
-    probes = rows.select("_row", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.concat(F.array_join(F.slice(labels, 1, i), "."), F.lit(".")))).alias("prefix"))
-    fits = probes.join(table_, "prefix").filter(F.col("path").startswith(F.col("rule_path")))
-    best = fits.groupBy("_row").agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.length("rule"), -F.col("n"), F.col("rule"), F.col("verdict"))).alias("b"))
-    return rows.join(best, "_row", "left").select("k", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
+            columns = [c.to_pylist() for c in batch.columns[4:]]
+            for i, (turned, path) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2).to_pylist())):
+                r = sweep.rule(turned, path)
+                if r and (columns[0][i] is None or (len(r.name), len(r.host)) > (len(columns[0][i]), columns[2][i])):
+                    columns[0][i], columns[1][i], columns[2][i] = r.name, r.verdict, len(r.host)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int32())))], ["k", "host", "path", "turned", "rule", "verdict", "n"])
+
+    return best.mapInArrow(run, f"k {kind}, host string, path string, turned string, rule string, verdict string, n int")
 
 
 #: The rules of the query.
