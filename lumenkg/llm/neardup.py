@@ -32,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -166,9 +167,9 @@ def hub_pairs(entries: DataFrame, rules: NearDupRules) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, rules: NearDupRules) -> DataFrame:
-    """Pairs (node, hub, ...) with common (size of the intersection), rest (node's shingles outside the hub's) and linked."""
+    """Pairs (node, hub, ...) with rest (node's shingles outside the hub's), gone (the hub's outside node's), common (size of the intersection) and linked."""
     both = pairs.join(sets.select("node", F.col("shingles").alias("_x")), "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("_y")), "hub")
-    both = both.withColumn("rest", F.array_except("_x", "_y")).withColumn("common", F.size("_x") - F.size("rest"))
+    both = both.withColumn("rest", F.array_except("_x", "_y")).withColumn("gone", F.array_except("_y", "_x")).withColumn("common", F.size("_x") - F.size("rest"))
     linked = 100 * F.col("common") >= rules.percent * (F.size("_x") + F.size("_y") - F.col("common"))
     return both.withColumn("linked", linked).drop("_x", "_y")
 
@@ -181,15 +182,16 @@ def known_parts(links: DataFrame) -> DataFrame:
 
 def tiles(entries: DataFrame, tested: DataFrame, rules: NearDupRules) -> DataFrame:
     """Classes of postings that hold several parts, copied to each pair (a, b) of tiles that they belong to; slot groups tiles for tasks."""
-    own = tested.groupBy("node").agg(F.max_by(F.struct("hub", "common", "rest"), F.struct("hub_reach", "hub")).alias("h"))
+    own = tested.groupBy("node").agg(F.max_by(F.struct("hub", "common", "rest", "gone"), F.struct("hub_reach", "hub")).alias("h"))
     info = entries.join(known_parts(tested.filter("linked")), "node", "left").join(own, "node", "left")
+    none = F.array().cast("array<bigint>")
     info = checkpointed(
         info.select(
             "node", "ks", "mask", "sig", F.col("n_shingles").alias("n"), F.coalesce("part", "node").alias("part"),
-            F.coalesce("h.hub", "node").alias("hub"), F.coalesce("h.common", "n_shingles").alias("inside"), F.coalesce("h.rest", F.array().cast("array<bigint>")).alias("rest"),
+            F.coalesce("h.hub", "node").alias("hub"), F.coalesce("h.common", "n_shingles").alias("inside"), F.coalesce("h.rest", none).alias("rest"), F.coalesce("h.gone", none).alias("gone"),
         )
     )
-    size = info.select(F.explode("ks").alias("k"), "part", F.size("rest").alias("r")).groupBy("k").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m"), F.sum("r").alias("r"))
+    size = info.select(F.explode("ks").alias("k"), "part", (F.size("rest") + F.size("gone")).alias("r")).groupBy("k").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m"), F.sum("r").alias("r"))
     cut = F.greatest(F.ceil(F.col("m") / rules.tile_rows), F.ceil(8 * F.col("r") / rules.tile_bytes), F.lit(1))
     mixed = checkpointed(size.filter("lo < hi").select("k", cut.alias("cut"), "m"))
     rows = mixed.agg(F.sum(F.col("m") * F.col("cut"))).first()[0] or 0
@@ -197,7 +199,7 @@ def tiles(entries: DataFrame, tested: DataFrame, rules: NearDupRules) -> DataFra
     held = info.withColumn("k", F.explode("ks")).drop("ks").join(mixed, "k").withColumn("tile", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)))
     held = held.withColumn("a", F.least("tile", "other")).withColumn("b", F.greatest("tile", "other"))
     slot = F.pmod(F.xxhash64("k", "a", "b"), F.lit(max(1, rows // rules.tile_rows)))
-    return held.select(slot.alias("slot"), "k", "a", "b", "tile", "node", "part", "n", "mask", "sig", "hub", "inside", "rest")
+    return held.select(slot.alias("slot"), "k", "a", "b", "tile", "node", "part", "n", "mask", "sig", "hub", "inside", "rest", "gone")
 
 
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,14 +211,15 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tile_pairs(rows: pa.Table, rules: NearDupRules) -> pa.Table:
-    """Pairs (node, hub) of the tiles of one slot that can still be links."""
+    """Pairs (node, hub, sure) of the tiles of one slot: links, as a spanning forest of each tile, and pairs that are still to be confirmed."""
     rows = rows.sort_by([("k", "ascending"), ("a", "ascending"), ("b", "ascending"), ("tile", "ascending"), ("node", "ascending")])
     col = {c: rows.column(c).to_numpy() for c in ("k", "a", "b", "tile", "node", "part", "n", "mask", "hub", "inside")}
     sig = _lists(rows.column("sig"))[0].reshape(rows.num_rows, -1)
-    rest, ends = _lists(rows.column("rest"))
+    rest, gone = _lists(rows.column("rest")), _lists(rows.column("gone"))
+    n_rest, n_gone = np.diff(rest[1]), np.diff(gone[1])
     key = np.stack([col["k"], col["a"], col["b"]])
     cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-    found_x, found_y = [], []
+    found: list[tuple[int, int, bool]] = []
     for at, to in zip([0, *cuts], [*cuts, rows.num_rows]):
         if col["part"][at:to].min() == col["part"][at:to].max():
             continue
@@ -224,6 +227,15 @@ def tile_pairs(rows: pa.Table, rules: NearDupRules) -> pa.Table:
         middle = to if alone else at + int(np.searchsorted(col["tile"][at:to], col["b"][at]))
         coordinate = np.uint64((int(col["k"][at]) + 2**31) >> 32)
         xs, ys = np.arange(at, middle), np.arange(at if alone else middle, to)
+        root: dict[int, int] = {}
+
+        def find(p: int, root: dict[int, int] = root) -> int:
+            while (up := root.get(p, p)) != p:
+                root[p] = root.get(up, up)
+                p = up
+            return p
+
+        open_pairs = []
         for i in range(0, len(xs), 128):
             x = xs[i : i + 128]
             ok = col["part"][x][:, None] != col["part"][ys]
@@ -241,19 +253,23 @@ def tile_pairs(rows: pa.Table, rules: NearDupRules) -> pa.Table:
             both = (sig[u] == sig[v]) & ((col["mask"][u] & col["mask"][v])[:, None] >> np.arange(sig.shape[1]) & 1).astype(bool)
             mine = both.argmax(axis=1) == coordinate
             u, v = u[mine], v[mine]
-            need = -(-rules.percent * (col["n"][u] + col["n"][v]) // (100 + rules.percent)) - np.minimum(col["inside"][u], col["inside"][v])
             same = col["hub"][u] == col["hub"][v]
-            open_ = ~same | (need <= np.minimum(np.diff(ends)[u], np.diff(ends)[v]))
-            u, v, need, same = u[open_], v[open_], need[open_], same[open_]
-            asked = np.flatnonzero(same & (need > 0))
-            if len(asked):
-                fits = np.ones(len(u), bool)
-                fits[asked] = _shared(rest, ends, u[asked], v[asked]) >= need[asked]
-                u, v = u[fits], v[fits]
-            found_x.append(col["node"][u])
-            found_y.append(col["node"][v])
-    empty = np.empty(0, np.int64)
-    return pa.table({"node": np.concatenate([empty, *found_x]), "hub": np.concatenate([empty, *found_y])})
+            open_pairs += [(int(p), int(q)) for p, q in zip(u[~same], v[~same])]
+            u, v = u[same], v[same]
+            # All of the hub's set that neither lacks, and what both have outside it.
+            need = -(-rules.percent * (col["n"][u] + col["n"][v]) // (100 + rules.percent)) - (col["inside"][u] - n_gone[v])
+            fits = need <= np.minimum(n_gone[u], n_gone[v]) + np.minimum(n_rest[u], n_rest[v])
+            u, v, need = u[fits], v[fits], need[fits]
+            if len(u):
+                linked = _shared(*gone, u, v) + _shared(*rest, u, v) >= need
+                for p, q in zip(u[linked].tolist(), v[linked].tolist()):
+                    r, s = find(int(col["part"][p])), find(int(col["part"][q]))
+                    if r != s:
+                        root[max(r, s)] = min(r, s)
+                        found.append((p, q, True))
+        found += [(p, q, False) for p, q in open_pairs if find(int(col["part"][p])) != find(int(col["part"][q]))]
+    p, q = (np.array([x[i] for x in found], np.int64) for i in (0, 1))
+    return pa.table({"node": pa.array(col["node"][p]), "hub": pa.array(col["node"][q]), "sure": pa.array([x[2] for x in found], pa.bool_())})
 
 
 def _shared(values: np.ndarray, ends: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -288,8 +304,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, rules: NearDupRules =
     sets = checkpointed(full_sets(texts, rules))
     tested = checkpointed(compared(hub_pairs(entries, rules), sets, rules))
     slots = tiles(entries, tested, rules)
-    rest = slots.groupBy("slot").applyInArrow(lambda t: tile_pairs(t, rules), "node long, hub long")
-    links = tested.filter("linked").select("node", "hub").unionByName(compared(rest, sets, rules).filter("linked").select("node", "hub"))
+    met = checkpointed(slots.groupBy("slot").applyInArrow(lambda t: tile_pairs(t, rules), "node long, hub long, sure boolean"))
+    confirmed = compared(met.filter("NOT sure").select("node", "hub"), sets, rules).filter("linked")
+    links = reduce(DataFrame.unionByName, (df.select("node", "hub") for df in (tested.filter("linked"), met.filter("sure"), confirmed)))
     parts = connected_components(links, "node", "hub").select("node", "component")
     first = parts.join(classes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
     moved = parts.join(first, "component").join(classes.select("node", "cid"), "node").select("cid", "component_id")
