@@ -1,19 +1,27 @@
 """Nearest neighbours by inner product: a hierarchical k-means tree, searched best bin first.
 
 The tree is fitted on a bounded sample; every vector is then assigned to a leaf.  A query
-walks the tree with a priority queue ordered by its inner product with the centres and
-collects leaves in that order.  How many leaves it visits is calibrated: for a bounded
-set of queries the exact neighbours are found by a scan of all vectors in blocks, and
-visits are widened until they hold target_recall of them.  Leaves are scored in blocks of
-bounded size: neighbouring small leaves share a block, a leaf with a third of all vectors
-becomes many, which every query that visits the leaf meets one by one, so nothing is
-dropped; a block gives each query its k best of the leaves that it visits.
+walks the tree with a priority queue ordered by its inner product with the centres, twice:
+
+1. It visits leaves in that order until they hold first_rows vectors, and scores those;
+   the k-th best score is its floor.
+2. It widens: every node whose centre, plus margin times the query's norm times the spread
+   of the node, still lies above the floor is opened, and all leaves reached are visited.
+   The margin is calibrated: for a bounded set of queries the exact neighbours are found by
+   a scan of all vectors in blocks, and the margin is the least that reaches target_recall
+   of them.  So a query in a dense or an unclear place visits more leaves than others; one
+   that has fewer than k scores has no floor and visits all leaves.
+
+Leaves are scored in blocks of bounded size: neighbouring small leaves share a block, a
+leaf with a third of all vectors becomes many, which every query that visits the leaf
+meets one by one, so nothing is dropped.  A block that more than block_queries queries
+visit is copied once for each so many of them; others are sent to one task once.
 
 Cases: vectors that are null, empty, zero, of another length than most, or that hold null,
 NaN or infinite components are no queries and no candidates; equal scores go to the
-smaller id; with fewer candidates than k, all are returned, whatever the leaves; a row
-that repeats an id is a candidate of its own, except for queries of that id; rows with a
-null id take no part.
+smaller id; with fewer candidates than k, all are returned; a row that repeats an id is a
+candidate of its own, except for queries of that id; rows with a null id take no part;
+products that overflow rank as infinite, or last if they are not numbers.
 """
 
 from __future__ import annotations
@@ -34,13 +42,16 @@ from lumenkg.llm.common import checkpointed, prepare, table
 @dataclass(frozen=True)
 class TreeRules:
     k: int = 20
-    #: Bounds: vectors that the tree is fitted on, and queries that calibrate it.
+    #: Bounds of the vectors that the tree is fitted on: a twentieth of all, between these; and queries that calibrate it.
     sample_rows: int = 20_000
+    most_sample_rows: int = 200_000
     calibration_queries: int = 150
     branching: int = 6
     leaf_rows: int = 256
+    #: Vectors that the first walk of a query holds at least.
+    first_rows: int = 512
     target_recall: float = 0.97
-    block_rows: int = 8_192
+    block_rows: int = 2_048
     block_queries: int = 1_024
 
 
@@ -49,6 +60,7 @@ class Tree:
     """Nodes in breadth-first order: children[i] are the node numbers below node i, leaves have none."""
 
     centres: np.ndarray
+    spread: np.ndarray  # root mean square distance of a node's sample vectors from its centre
     children: list[list[int]]
     leaf_of: list[int]  # number of a leaf, -1 for inner nodes
     leaves: int
@@ -64,18 +76,36 @@ class Tree:
                 c = self.centres[below]
                 node[at] = below[((c * c).sum(axis=1) - 2 * x[at] @ c.T).argmin(axis=1)]
 
-    def visit(self, q: np.ndarray, n: int) -> list[int]:
-        """The first n leaves of a best-bin-first walk."""
+    def walk(self, q: np.ndarray, rows: list[int], least: int, floor: float = -math.inf, margin: float | None = None) -> list[int]:
+        """Leaves of a best-bin-first walk: until they hold least rows or, with a margin, all whose nodes may hold a score above floor."""
         near = self.centres @ q
-        queue, out = [(-math.inf, 0)], []
-        while queue and len(out) < n:
-            i = heapq.heappop(queue)[1]
+        if margin is not None:
+            near = near + margin * float(np.sqrt(q @ q)) * self.spread
+        queue, out, held = [(-math.inf, 0)], [], 0
+        while queue and (margin is not None or held < least):
+            key, i = heapq.heappop(queue)
+            if margin is not None and i and -key <= floor:
+                break  # all that is left lies below
             if not self.children[i]:
                 out.append(self.leaf_of[i])
+                held += rows[self.leaf_of[i]]
             for c in self.children[i]:
                 heapq.heappush(queue, (-float(near[c]), c))
         return out
 
+    def paths(self) -> dict[int, list[int]]:
+        """The nodes below the root that lead to each leaf."""
+        above = {c: i for i, below in enumerate(self.children) for c in below}
+        out = {}
+        for i, leaf in enumerate(self.leaf_of):
+            if leaf >= 0:
+                path, at = [], i
+                while at:
+                    path.append(at)
+                    at = above[at]
+                out[leaf] = path
+        return out
+
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     centres = x[rng.choice(len(x), k, replace=False)]
@@ -92,7 +122,9 @@ def fit_tree(sample: np.ndarray, rows: int, rules: TreeRules = TreeRules()) -> T
     """A tree whose leaves hold about leaf_rows of rows vectors, as far as the sample can tell them apart."""
     rng = np.random.default_rng(17)
     least = max(8, round(len(sample) * rules.leaf_rows / max(1, rows)))
+    off = lambda x, c: float(np.sqrt(((x - c) ** 2).sum(axis=1).mean()))
     centres, children, level = [sample.mean(axis=0)], [[]], [(0, sample)]
+    spread = [off(sample, centres[0])]
     while level:
         after = []
         for node, x in level:
@@ -108,13 +140,14 @@ def fit_tree(sample: np.ndarray, rows: int, rules: TreeRules = TreeRules()) -> T
                 children[node].append(len(centres))
                 after.append((len(centres), x[label == j]))
                 centres.append(c[j])
+                spread.append(off(x[label == j], c[j]))
                 children.append([])
         level = after
     number, leaf_of = 0, []
     for c in children:
         leaf_of.append(-1 if c else number)
         number += not c
-    return Tree(np.array(centres), children, leaf_of, number)
+    return Tree(np.array(centres), np.array(spread), children, leaf_of, number)
 
 
 def usable_vectors(rows: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -134,23 +167,36 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, leaf: np.ndarray | None = None, visited: list | None = None) -> tuple[list, list, list]:
     """For each query its k best of x (of its visited leaves) but itself; scores are summed per pair alike, so equal vectors tie exactly."""
     out: tuple[list, list, list] = ([], [], [])
-    for at in range(0, len(q), 64):
-        rough = q[at : at + 64] @ x.T
-        for i, scores in enumerate(rough):
-            scores = np.where(ids == q_ids[at + i], -np.inf, scores)
-            if visited is not None:
-                scores[~np.isin(leaf, visited[at + i])] = -np.inf
-            n = int(np.isfinite(scores).sum())
-            if not n:
-                continue
-            floor = np.partition(scores, len(scores) - min(k, n))[len(scores) - min(k, n)]
-            near = np.flatnonzero(scores >= floor - 1e-9 * max(1.0, abs(floor)))
-            near = near[np.argsort(ids[near], kind="stable")]
-            exact = (x[near] * q[at + i]).sum(axis=1)
-            top = np.argsort(-exact, kind="stable")[:k]
-            out[0].extend([int(q_ids[at + i])] * len(top))
-            out[1].extend(ids[near[top]].tolist())
-            out[2].extend(exact[top].tolist())
+    order = np.argsort(ids, kind="stable")
+    x, ids = x[order], ids[order]
+    if visited is not None:
+        numbers, place = np.unique(leaf[order], return_inverse=True)
+        seen = np.zeros((len(q), len(numbers)), bool)
+        for i, leaves in enumerate(visited):
+            at = np.searchsorted(numbers, leaves)
+            at = at[at < len(numbers)]
+            seen[i, at[np.isin(numbers[at], leaves)]] = True
+    with np.errstate(over="ignore", invalid="ignore"):
+        longest = float(np.sqrt((x * x).sum(axis=1)).max(initial=0.0))
+        for at in range(0, len(q), 64):
+            rough = np.nan_to_num(q[at : at + 64] @ x.T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+            for i, scores in enumerate(rough):
+                own = q[at + i]
+                allowed = ids != q_ids[at + i]
+                if visited is not None:
+                    allowed &= seen[at + i][place]
+                open_ = np.flatnonzero(allowed)
+                if not len(open_):
+                    continue
+                scores = scores[open_]
+                floor = np.partition(scores, len(scores) - min(k, len(scores)))[len(scores) - min(k, len(scores))]
+                slack = 1e-15 * len(own) * float(np.sqrt(own @ own)) * longest  # what rounding can do to a sum of products
+                near = open_[scores >= floor - slack] if math.isfinite(slack) and math.isfinite(floor) else open_
+                exact = np.nan_to_num((x[near] * own).sum(axis=1), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+                top = np.argsort(-exact, kind="stable")[:k]
+                out[0].extend([int(q_ids[at + i])] * len(top))
+                out[1].extend(ids[near[top]].tolist())
+                out[2].extend(exact[top].tolist())
     return out
 
 
@@ -179,32 +225,50 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def calibrated_visits(tree: Tree, vectors: DataFrame, rules: TreeRules, queries: DataFrame) -> int:
-    """The least number of leaves whose vectors hold target_recall of the exact neighbours of some queries."""
-    some = [(r.id, r.v) for r in queries.orderBy(F.xxhash64("id"), "id").limit(rules.calibration_queries).collect()]
+def calibrated_margin(tree: Tree, held: DataFrame, rules: TreeRules, queries: DataFrame) -> float:
+    """The least margin whose walks reach target_recall of the exact neighbours of some (id, v, floor) queries."""
+    some = [(r.id, r.v, r.floor) for r in queries.orderBy(F.xxhash64("id"), "id").limit(rules.calibration_queries).collect()]
+    some = [x for x in some if x[2] is not None and math.isfinite(x[2])]
     if not some or tree.leaves < 2:
-        return tree.leaves
-    truth = exact_neighbours(vectors, some, rules.k).select("query_id", "vec_id")
-    held = vectors.join(F.broadcast(truth), F.col("id") == F.col("vec_id")).select("query_id", "v").collect()  # calibration_queries * k rows at most, but for repeated ids
-    leaf = tree.assign(np.array([r.v for r in held]))
-    place = {i: {x: n for n, x in enumerate(tree.visit(np.array(v), tree.leaves))} for i, v in some}
-    needed = np.sort([place[r.query_id][x] + 1 for r, x in zip(held, leaf)])
-    return int(needed[min(len(needed) - 1, math.ceil(rules.target_recall * len(needed)))])
+        return 0.0
+    truth = exact_neighbours(held.select("id", "v"), [x[:2] for x in some], rules.k).select("query_id", "vec_id")
+    # calibration_queries * k rows at most, but for repeated ids
+    leaves = held.select("id", "leaf").join(F.broadcast(truth), F.col("id") == F.col("vec_id")).select("query_id", "leaf").collect()
+    path, by = tree.paths(), {i: (np.array(v), floor) for i, v, floor in some}
+    needed = []
+    for r in leaves:
+        q, floor = by[r.query_id]
+        at = np.array(path[r.leaf])
+        gap = (floor - tree.centres[at] @ q) / (float(np.sqrt(q @ q)) * np.maximum(tree.spread[at], 1e-12))
+        needed.append(float(gap.max()))
+    needed.sort()
+    return max(0.0, needed[min(len(needed) - 1, math.ceil(rules.target_recall * len(needed)))]) * (1 + 1e-9) + 1e-12
+
+
+def dealt_blocks(counts: list[int], block_rows: int) -> list[tuple[int, int]]:
+    """(first block, number of blocks) of each leaf: neighbouring small leaves share a block, a large leaf has blocks of its own."""
+    out, block, room = [], -1, 0
+    for n in counts:
+        own = max(1, -(-n // block_rows))
+        if own > 1 or n > room:
+            block, room = block + 1, block_rows
+        out.append((block, own))
+        block, room = block + own - 1, 0 if own > 1 else room - n
+    return out
 
 
 def search(spark: SparkSession, rows: DataFrame, is_query, rules: TreeRules = TreeRules(), vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's k nearest other rows."""
     prepare(spark)
     vectors = checkpointed(usable_vectors(rows, vector, key))
-    queries = vectors.filter(is_query(F.col("id")))
     n = vectors.count()
     if n == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    share = F.pmod(F.xxhash64("id"), F.lit(n)) < rules.sample_rows
-    sample = np.array([r.v for r in (vectors.filter(share) if n > rules.sample_rows else vectors).select("v").limit(rules.sample_rows).collect()])
+    most = min(rules.most_sample_rows, max(rules.sample_rows, n // 20))
+    share = F.pmod(F.xxhash64("id"), F.lit(n)) < most
+    sample = _matrix((vectors.filter(share) if n > most else vectors).select("v").limit(most).toArrow().column("v").combine_chunks())
     tree = fit_tree(sample, n, rules)
-    shared = spark.sparkContext.broadcast(tree)  # at most sample_rows centres
-    visits = tree.leaves if n <= rules.k + 1 else calibrated_visits(tree, vectors, rules, queries)
+    shared = spark.sparkContext.broadcast(tree)  # fewer centres than vectors in the sample
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,36 +276,44 @@ def search(spark: SparkSession, rows: DataFrame, is_query, rules: TreeRules = Tr
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int64())], ["id", "v", "leaf"])
 
     held = checkpointed(vectors.mapInArrow(assign, "id long, v array<double>, leaf long"))
-    n_queries = max(1, queries.count())
-    # Counts of a bounded number of leaves deal them to blocks: neighbouring small leaves share one, a large leaf has many.
-    first: dict[int, tuple[int, int]] = {}
-    block = room = 0
-    for r in sorted(held.groupBy("leaf").agg(F.count("*").alias("n")).collect(), key=lambda r: r.leaf):
-        own = -(-r.n // rules.block_rows)
-        if own > 1 or r.n > room:
-            block, room = block + 1, rules.block_rows
-        first[r.leaf] = (block, own)
-        block, room = block + own - 1, 0 if own > 1 else room - r.n
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = [0] * tree.leaves  # as many as leaves, so bounded by the sample
+    for r in held.groupBy("leaf").agg(F.count("*").alias("n")).collect():
+        counts[r.leaf] = r.n
+    blocks = spark.sparkContext.broadcast((dealt_blocks(counts, rules.block_rows), counts))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        first = np.array(blocks.value[0])
         for batch in batches:
-            met = []
-            for q in _matrix(batch.column(1)):
-                by: dict[int, list[int]] = {}
-                for leaf in shared.value.visit(q, visits):
-                    start, own = first.get(leaf, (0, 0))
-                    for b in range(start, start + own):
-                        by.setdefault(b, []).append(leaf)
-                met.append([{"b": b, "leaves": leaves} for b, leaves in by.items()])
-            kind = pa.list_(pa.struct([("b", pa.int64()), ("leaves", pa.list_(pa.int64()))]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(met, kind)], ["id", "v", "met"])
+            leaf = batch.column(2).to_numpy()
+            spread = np.fromiter((xxhash.xxh32_intdigest(b) for b in batch.column(0).to_numpy().astype("<i8").reshape(-1, 1)), np.int64, len(leaf))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first[leaf, 0] + spread % first[leaf, 1], pa.int64())], ["id", "v", "leaf", "b"])
+
+    def visitors(queries: DataFrame, margin: float | None) -> DataFrame:
+        """(id, v, b, leaves): each query with the blocks that it visits, and its leaves there."""
 
-    groups = -(-n_queries // rules.block_queries)  # every group of queries meets every block that it visits
-    start_of = F.create_map(*[F.lit(x) for leaf, (b, _) in first.items() for x in (leaf, b)])[F.col("leaf")]
-    own_of = F.create_map(*[F.lit(x) for leaf, (_, n) in first.items() for x in (leaf, n)])[F.col("leaf")]
-    left = held.withColumn("b", (start_of + F.pmod(F.xxhash64("id", F.lit(1)), own_of)).cast("long")).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    right = queries.mapInArrow(probe, "id long, v array<double>, met array<struct<b:long,leaves:array<long>>>").select("id", "v", F.explode("met").alias("m"))
-    right = right.select("id", "v", F.col("m.leaves").alias("leaves"), F.col("m.b").alias("b"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("long").alias("g"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first, rows_of = blocks.value
+            kind = pa.list_(pa.struct([("b", pa.int64()), ("leaves", pa.list_(pa.int64()))]))
+            for batch in batches:
+                met = []
+                floors = [-math.inf if f is None else f for f in batch.column(2).to_pylist()]
+                for q, floor in zip(_matrix(batch.column(1)), floors):
+                    leaves = shared.value.walk(q, rows_of, rules.first_rows)
+                    if margin is not None:
+                        seen = set(leaves)
+                        leaves = [x for x in shared.value.walk(q, rows_of, 0, floor, margin) if x not in seen]
+                    by: dict[int, list[int]] = {}
+                    for leaf in leaves:
+                        start, own = first[leaf]
+                        for b in range(start, start + own) if rows_of[leaf] else ():
+                            by.setdefault(b, []).append(leaf)
+                    met.append([{"b": b, "leaves": sorted(x)} for b, x in by.items()])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(met, kind)], ["id", "v", "met"])
+
+        met = queries.select("id", "v", "floor").mapInArrow(run, "id long, v array<double>, met array<struct<b:long,leaves:array<long>>>")
+        return met.select("id", "v", F.explode("met").alias("m")).select("id", "v", "m.b", "m.leaves")
 
     def score(x: pa.Table, q: pa.Table) -> pa.Table:
         found: tuple[list, list, list] = ([], [], [])
@@ -250,8 +322,20 @@ def search(spark: SparkSession, rows: DataFrame, is_query, rules: TreeRules = Tr
             found = best_of(vectors_of(q), q.column("id").to_numpy(), vectors_of(x), x.column("id").to_numpy(), rules.k, x.column("leaf").to_numpy(), q.column("leaves").to_pylist())
         return pa.Table.from_batches([_table(found)])
 
-    found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(score, FOUND)
-    return ranked(found, rules.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def scored(queries: DataFrame, margin: float | None) -> DataFrame:
+        asked = visitors(queries, margin)
+        parts = asked.groupBy("b").agg(F.ceil(F.count("*") / rules.block_queries).alias("parts"))
+        left = held.mapInArrow(placed, "id long, v array<double>, leaf long, b long").join(parts, "b").withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        right = asked.join(parts, "b").withColumn("g", F.pmod(F.xxhash64("id"), "parts"))
+        found = left.select("b", "g", "id", "v", "leaf").groupBy("b", "g").cogroup(right.select("b", "g", "id", "v", "leaves").groupBy("b", "g")).applyInArrow(score, FOUND)
+        return ranked(found, rules.k)
+
+    queries = vectors.filter(is_query(F.col("id")))
+    near = checkpointed(scored(queries.withColumn("floor", F.lit(None).cast("double")), None))
+    floors = near.filter(F.col("rank") == rules.k).select(F.col("query_id").alias("id"), F.col("score").alias("floor")).dropDuplicates(["id"])
+    widened = checkpointed(queries.join(floors, "id", "left"))
+    more = scored(widened, calibrated_margin(tree, held, rules, widened))
+    return ranked(near.drop("rank").unionByName(more.drop("rank")), rules.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op9_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
