@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenkg.llm import stages
-from lumenkg.llm.common import shared_folder, table
+from lumenkg.llm.common import delete_folder, shared_folder, table
 
 STAGES = [
     ("quality rules", stages.quality_stage),
@@ -20,7 +20,7 @@ STAGES = [
     ("packing", stages.packing_stage),
 ]
 
-#: SQL cannot express the trained stages and the tokenizer; the tests hold the stages against brute force.
+#: SQL cannot express the trained stages and the tokenizer; tests/llm/test_pipeline.py holds run() against a plain reckoning of each stage.
 ORACLE_SQL = None
 
 
@@ -30,4 +30,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{i}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if i:
+            delete_folder(spark, f"{folder}/{i - 1}")  # its successor is written
     return docs

@@ -102,7 +102,7 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, rules: NearDupRules = NearDupRules(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, n_shingles, cid, sig) per row; cid names the shingle set, null if empty."""
+    """(id, text_hash, n_shingles, cid, sig) per row; cid names the shingle set, null if empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -110,16 +110,17 @@ def signatures(docs: DataFrame, rules: NearDupRules = NearDupRules(), text: str
         memo, (a, b) = WordHashes(), _coefficients(rules.coordinates)
         for batch in batches:
             n, cid, sig = [], [], []
-            for t in batch.column(1).cast(pa.binary()):
+            for t in batch.column(2).cast(pa.binary()):
                 s = shingle_set(t.as_py(), memo, rules.shingle_words)
                 n.append(len(s))
                 cid.append(xxhash.xxh128_digest(s.tobytes()) if len(s) else None)
                 sig.append(signature(s, a, b).view(np.int32) if len(s) else None)
                 if len(memo) > rules.memo_words:
                     memo.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], ["id", "n_shingles", "cid", "sig"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(cid, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], ["id", "text_hash", "n_shingles", "cid", "sig"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "id long, n_shingles long, cid binary, sig array<int>")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), F.col(text).cast("string").alias("t"))
+    return rows.mapInArrow(run, "id long, text_hash long, n_shingles long, cid binary, sig array<int>")
 
 
 def full_sets(texts: DataFrame, rules: NearDupRules) -> DataFrame:
@@ -293,7 +294,7 @@ def _shared(values: np.ndarray, ends: np.ndarray, u: np.ndarray, v: np.ndarray)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, rules: NearDupRules = NearDupRules(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (smallest id linked with it, itself included), kept."""
+    """One row per input row: id, text_hash (xxhash64), n_shingles, component_id (smallest id linked with it, itself included), kept."""
     prepare(spark)
     rows = checkpointed(signatures(docs, rules, text, key))
     named = rows.filter("cid IS NOT NULL AND id IS NOT NULL").groupBy("cid").agg(F.min("id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
@@ -310,13 +311,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, rules: NearDupRules =
     parts = connected_components(links, "node", "hub").select("node", "component")
     first = parts.join(classes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
     moved = parts.join(first, "component").join(classes.select("node", "cid"), "node").select("cid", "component_id")
-    out = rows.select("id", "n_shingles", "cid").join(classes.select("cid", "first_id"), "cid", "left").join(moved, "cid", "left")
+    out = rows.select("id", "text_hash", "n_shingles", "cid").join(classes.select("cid", "first_id"), "cid", "left").join(moved, "cid", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "first_id", "id"))
-    return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    return out.select(F.col("id").alias(key), "text_hash", "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept"))
 
 
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return near_duplicates(spark, table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 OP5_SQL = r"""

@@ -176,15 +176,19 @@ def clean_documents(spark: SparkSession, docs: DataFrame, rules: QualityRules =
     Verdicts depend on text and host, so rows that repeat an id, a text and a host share one;
     the id is in the join to spread copies.  Texts with neither a loss nor a rejection meet no verdict.
     """
-    touched = judge_documents(spark, docs, rules, text, host, key).filter("NOT kept OR size(removed_lines) > 0")
-    touched = touched.select(F.col(key).alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_th"), F.col("kept").alias("_kept"), F.col("removed_lines").alias("_gone")).dropDuplicates(["_id", "_host", "_th"])
-    same = F.col(key).eqNullSafe(F.col("_id")) & F.col(host).eqNullSafe(F.col("_host")) & (F.col("_h") == F.col("_th"))
-    rows = docs.withColumn("_h", F.xxhash64(F.coalesce(text, F.lit("")))).join(touched, same, "left").filter("_kept IS NULL OR _kept")
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # other columns may have any name
+    t, h, k = (f"c{names.index(c)}" for c in (text, host, key))
+    touched = judge_documents(spark, plain, rules, t, h, k).filter("NOT kept OR size(removed_lines) > 0")
+    touched = touched.select(F.col(k).alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_th"), F.col("kept").alias("_kept"), F.col("removed_lines").alias("_gone")).dropDuplicates(["_id", "_host", "_th"])
+    same = F.col(k).eqNullSafe(F.col("_id")) & F.col(h).eqNullSafe(F.col("_host")) & (F.xxhash64(F.coalesce(t, F.lit(""))) == F.col("_th"))
+    rows = plain.join(touched, same, "left").filter("_kept IS NULL OR _kept")
     changed = F.col("_gone").isNotNull()
-    out = rows.withColumn(text, F.when(changed, without_lines(F.col(text), F.col("_gone"))).otherwise(F.col(text)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    out = rows.withColumn(t, F.when(changed, without_lines(F.col(t), F.col("_gone"))).otherwise(F.col(t)))
+    if "n_chars" in names:
+        n = f"c{names.index('n_chars')}"
+        out = out.withColumn(n, F.when(changed, F.length(t).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return out.select(plain.columns).toDF(*names)
 
 
 def op10_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

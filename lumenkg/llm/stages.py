@@ -20,7 +20,7 @@ LINE_MAX_DOCS = 1000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without their lines above limits; null texts are rejected as too short."""
+    """Documents that the quality rules keep, without their lines above limits; null and empty texts are rejected as too short, repeated rows are judged alike."""
     return clean_documents(spark, docs, QualityRules(line_max_docs=LINE_MAX_DOCS))
 
 
@@ -39,9 +39,21 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id; of rows that repeat an id, all or none stay; null ids stay."""
-    dropped = near_duplicates(spark, docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One document of each near-duplicate group, the one with the smallest id.
+
+    Of rows that repeat an id, those of other groups go as they would under an id of their
+    own; near or exact copies under one id leave one row, of the text with the smallest
+    hash.  Rows with a null id and documents without words are copies of nothing and stay.
+    """
+    near = checkpointed(near_duplicates(spark, docs).filter("doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.bool_and("kept").alias("kept"), F.max("n_shingles").alias("words"), F.count("*").alias("n")))
+    stays = near.filter("kept AND words > 0").groupBy("doc_id").agg(F.min("text_hash").alias("stays"))
+    gone = near.join(stays, "doc_id", "left").filter("NOT kept OR (words > 0 AND text_hash != stays)").select("doc_id", "text_hash")
+    rows = docs.alias("d").join(gone.alias("g"), (F.col("d.doc_id") == F.col("g.doc_id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("g.text_hash")), "left_anti")
+    repeated = near.filter("n > 1 AND words > 0").select("doc_id").distinct()
+    if repeated.isEmpty():
+        return rows
+    twice = rows.join(repeated, "doc_id", "left_semi").select(docs.columns)
+    return rows.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(twice.dropDuplicates(["doc_id", "text"]))
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -58,30 +70,36 @@ def mask_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, max_broadcast:
     """Texts with every span of personal data replaced by its kind in brackets; n_chars follows.
 
     Rows of equal id and text have equal spans, so spans found by context are joined by a
-    hash of both; they are broadcast up to max_broadcast rows and joined by shuffle beyond it.
+    hash of both; they are broadcast up to max_broadcast rows and joined by shuffle beyond
+    it.  Null and empty texts, and texts without a span, stay as they are, whatever their
+    length; no row goes.
     """
-    columns, keyed = docs.columns, docs.withColumn("_h", F.xxhash64("doc_id", "text"))
-    extra = find_personal_data(spark, keyed, key="_h").filter(F.size("extra") > 0).select("_h", "extra").dropDuplicates(["_h"])
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # other columns may have any name
+    text = f"c{names.index('text')}"
+    keyed = plain.withColumn("_h", F.xxhash64(f"c{names.index('doc_id')}", text))
+    extra = find_personal_data(spark, keyed, text=text, key="_h").filter(F.size("extra") > 0).select("_h", "extra").dropDuplicates(["_h"])
     extra = checkpointed(extra)
     few = extra.limit(max_broadcast + 1).count() <= max_broadcast
-    rows = keyed.join(F.broadcast(extra) if few else extra, "_h", "left").select("text", "extra", *[F.col(c).alias(f"_{c}") for c in columns])
+    rows = keyed.join(F.broadcast(extra) if few else extra, "_h", "left").select("extra", *plain.columns)
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for t, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for t, more in zip(batch.column(at + 1).to_pylist(), batch.column(0).to_pylist()):
                 spans = base_spans(t) + [(x["kind"], x["start"], x["end"]) for x in more or ()]
                 texts.append(masked(t, spans) if spans else t)
-            rest = dict(zip(columns, batch.columns[2:]))
-            rest["text"] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([rest[c] for c in columns], columns)
+            columns = batch.columns[1:]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(names))])
 
-    out = rows.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
+    out = rows.mapInArrow(run, plain.schema).toDF(*names)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences, with their ids."""
+    """Pieces of packed sequences, with their ids; null and empty texts give their end id alone, a long text several pieces, repeated rows are each packed."""
     import public_tokenizers
 
     return pack_documents(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
