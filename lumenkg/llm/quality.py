@@ -37,6 +37,8 @@ class QualityRules:
     line_max_percent: float = 1.0
     #: A line that more distinct texts of a host than this hold is above the limit too, whatever the host's size (none: no such limit).
     line_max_docs: int | None = None
+    #: Whether exact copies count as so many documents in line frequencies; if not, as one, so that copies of a clean text never make its lines hot.
+    copies_count: bool = False
     #: Lines above limits are broadcast up to this many rows (about 50 bytes each), beyond it joined by shuffle.
     broadcast_rows: int = 200_000
 
@@ -123,7 +125,8 @@ def document_features(docs: DataFrame, rules: QualityRules = QualityRules(), tex
 
 def lines_above_limit(features: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """(host, h) of lines that more distinct texts of the host hold than its limit allows."""
-    texts = features.groupBy("host", "text_hash").agg(F.first(F.array_distinct(F.col("lines.h"))).alias("hs"))
+    lines = F.array_distinct(F.col("lines.h"))
+    texts = features.select("host", lines.alias("hs")) if rules.copies_count else features.groupBy("host", "text_hash").agg(F.first(lines).alias("hs"))
     totals = texts.groupBy("host").agg(F.count("*").alias("n_texts"))
     held = texts.select("host", F.explode("hs").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > rules.line_min_docs)
     return (
