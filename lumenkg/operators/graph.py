@@ -28,8 +28,8 @@ def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85, seeds: Dat
     else:
         start = nodes.join(seeds, "node", "left").select("node", F.coalesce("p", F.lit(0.0)).alias("p"))
     start = cut(start)
-    share = edges.select("subject", "object", (F.col("weight") / F.sum("weight").over(Window.partitionBy("subject"))).alias("share"))
-    share = cut(share)
+    out = edges.groupBy("subject").agg(F.sum("weight").alias("_all"))  # a join spreads the edges of a hub, a window would not
+    share = cut(edges.join(out, "subject").select("subject", "object", (F.col("weight") / F.col("_all")).alias("share")))
     rank = start.select("node", F.col("p").alias("r"))
     for _ in range(rounds):
         flow = share.join(rank, share["subject"] == rank["node"]).groupBy(F.col("object").alias("node")).agg(F.sum(F.col("share") * F.col("r")).alias("x"))
@@ -107,18 +107,22 @@ def fuse_with_cores(ranks: DataFrame, cores: DataFrame, core_weight: float = 0.3
     return scaled.select("node", ((1 - core_weight) * F.col("norm_pr") + core_weight * F.col("norm_k")).alias("final"), "pr", "k_core", "norm_k", "norm_pr")
 
 
-def propagate_up(edges: DataFrame, scores: DataFrame, rate: float = 0.22, levels: int = 6, mode: str = "linear") -> DataFrame:
-    """(node, score): children (subject) raise parents (object) by rate / sqrt(number of parents), over all paths of an acyclic graph.
+def propagate_up(edges: DataFrame, scores: DataFrame, rate: float = 0.22, levels: int | None = None, mode: str = "linear", least: float = 1e-12) -> DataFrame:
+    """(node, score): children (subject) raise parents (object) by rate / sqrt(number of parents), over all paths.
 
+    Waves go up until none is left, or levels of them; on a cycle, where they never end,
+    each is rate times the last at most, and they stop once all lie below least.
     mode linear adds the boost and divides by the largest score; saturating closes the gap to 1 by 1 - exp(-boost / .45).
     """
-    parents = F.count("*").over(Window.partitionBy("subject"))
-    step = edges.select("subject", "object", (rate / F.sqrt(parents)).alias("f"))
+    up = edges.groupBy("subject").agg(F.count("*").alias("_n"))
+    step = cut(edges.join(up, "subject").select("subject", "object", (rate / F.sqrt("_n")).alias("f")))
     wave = scores.select("node", F.col("score").alias("x"))
-    boost = wave.filter("false")
-    for _ in range(levels):
+    boost, level = wave.filter("false"), 0
+    while level != levels:
         wave = cut(wave.join(step, F.col("node") == F.col("subject")).groupBy(F.col("object").alias("node")).agg(F.sum(F.col("x") * F.col("f")).alias("x")))
-        boost = boost.unionByName(wave)
+        if wave.filter(F.abs("x") >= least).isEmpty():
+            break
+        boost, level = boost.unionByName(wave), level + 1
     raised = scores.join(boost.groupBy("node").agg(F.sum("x").alias("b")), "node", "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
     if mode == "saturating":
         return raised.select("node", (F.col("score") + (1 - F.col("score")) * (1 - F.exp(-F.col("b") / 0.45))).alias("score"))

@@ -5,6 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenkg.operators.graph import cut
+
+
+def numbered(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """df with the place of each row in a total order, from 1: rows are sorted by ranges, so no task sees all of them.
+
+    The sorted rows are written to the checkpoint folder, so that places do not move; what
+    is broadcast has one row a partition.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % 2**33))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_part")) - F.col("_n")).drop("_n")  # a row a partition
+    return rows.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_at") + 1).cast("int")).drop("_part", "_at", "_before")
+
 
 def relation_score(weight: Column, seeds: Column, text_hits: Column, mentioned: Column, importance: Column, hop: Column, weak: Column) -> Column:
     """Weight + 3 a seed end + 2 a text hit + 2 a mentioned end + 10 x importance - 3 a hop - 2 for a weak relation beyond the first hop."""

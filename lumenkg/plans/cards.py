@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lumenkg.functions.text import char_ngrams
 from lumenkg.operators import cards as C
 from lumenkg.operators import kg as K
+from lumenkg.operators.scoring import numbered
 from lumenkg.registry import query
 from lumenkg.sources.tables import TRIPLETS_SQL, table, triplets
 from lumenkg.streaming import ingest
@@ -32,34 +33,34 @@ def f14_f16_junk_theorems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", C.junk_theorem(name, F.col("p_type")).alias("junk"))
 
 
-@query("f20_align_properties", f"WITH {TRIPLETS_SQL} SELECT row_id, CASE WHEN relation = 'related_with' AND cue % 2 = 0 THEN object ELSE subject END AS subject, CASE WHEN relation = 'related_with' AND cue % 2 = 0 THEN subject ELSE object END AS object FROM t WHERE lecture < 4")
-def f20_align_properties(spark: SparkSession, sf_dir: str, keep: str = "lecture < 4") -> DataFrame:
-    t = triplets(spark, sf_dir).filter(keep)
+@query("f20_align_properties", f"WITH {TRIPLETS_SQL} SELECT row_id, CASE WHEN relation = 'related_with' AND cue % 2 = 0 THEN object ELSE subject END AS subject, CASE WHEN relation = 'related_with' AND cue % 2 = 0 THEN subject ELSE object END AS object FROM t")
+def f20_align_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = triplets(spark, sf_dir)
     t = t.withColumn("relation", F.when(F.col("relation") == "related_with", "property_of").otherwise(F.col("relation"))).withColumn("direction", F.when(F.col("cue") % 2 == 0, "object_to_subject").otherwise("subject_to_object")).withColumn("phrase", F.lit(""))
     return C.align_properties(t).select("row_id", "subject", "object")
 
 
-@query("f9_f10_delta_filter", f"WITH {TRIPLETS_SQL}, d AS (SELECT row_id, subject, object, CASE WHEN cue % 3 = 0 THEN 'of ' || subject ELSE 'has' END AS phrase FROM t WHERE lecture = 6) SELECT row_id FROM d WHERE NOT contains(phrase, subject) QUALIFY row_number() OVER (PARTITION BY subject, object ORDER BY row_id) = 1")
-def f9_f10_delta_filter(spark: SparkSession, sf_dir: str, keep: str = "lecture = 6") -> DataFrame:
-    t = triplets(spark, sf_dir).filter(keep).withColumn("phrase", F.when(F.col("cue") % 3 == 0, F.concat(F.lit("of "), "subject")).otherwise("has"))
+@query("f9_f10_delta_filter", f"WITH {TRIPLETS_SQL}, d AS (SELECT row_id, subject, object, CASE WHEN cue % 3 = 0 THEN 'of ' || subject ELSE 'has' END AS phrase FROM t) SELECT row_id FROM d WHERE NOT contains(phrase, subject) QUALIFY row_number() OVER (PARTITION BY subject, object ORDER BY row_id) = 1")
+def f9_f10_delta_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = triplets(spark, sf_dir).withColumn("phrase", F.when(F.col("cue") % 3 == 0, F.concat(F.lit("of "), "subject")).otherwise("has"))
     fine = t.filter(~C.awkward_delta(F.col("subject"), F.col("phrase"), F.col("object")))
     return K.keep_first(fine.select("row_id", "subject", "object"), ["subject", "object"], ["row_id"]).select("row_id")
 
 
 @query(
     "g23_display_graph",
-    f"""WITH {TRIPLETS_SQL}, e AS (SELECT DISTINCT CASE WHEN subject = 'S2' THEN 'S1' ELSE subject END AS subject, relation, object FROM t WHERE lecture < 6),
+    f"""WITH {TRIPLETS_SQL}, e AS (SELECT DISTINCT CASE WHEN subject = 'S2' THEN 'S1' ELSE subject END AS subject, relation, object FROM t),
     s AS (SELECT * FROM e QUALIFY relation <> 'related_with' OR max((relation <> 'related_with')::INT) OVER (PARTITION BY subject, object) = 0)
     SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY subject, object ORDER BY CASE relation WHEN 'belong_to' THEN 100 WHEN 'depend_on' THEN 85 ELSE 15 END DESC) = 1""",
 )
-def g23_display_graph(spark: SparkSession, sf_dir: str, keep: str = "lecture < 6") -> DataFrame:
+def g23_display_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = spark.createDataFrame([("S2", "S1")], "alias string, canonical string")
-    return C.display_graph(triplets(spark, sf_dir).filter(keep), aliases)
+    return C.display_graph(triplets(spark, sf_dir), aliases)
 
 
-@query("m2_prepared_tree", f"WITH {TRIPLETS_SQL} SELECT entity, string_agg(DISTINCT other, ',' ORDER BY other) AS related FROM (SELECT subject AS entity, object AS other FROM t WHERE relation = 'related_with' AND lecture = 0 UNION ALL SELECT object, subject FROM t WHERE relation = 'related_with' AND lecture = 0) GROUP BY entity")
-def m2_prepared_tree(spark: SparkSession, sf_dir: str, keep: str = "lecture = 0") -> DataFrame:
-    related = C.prepared_tree_edges(triplets(spark, sf_dir).filter(keep))[1]
+@query("m2_prepared_tree", f"WITH {TRIPLETS_SQL} SELECT entity, string_agg(DISTINCT other, ',' ORDER BY other) AS related FROM (SELECT subject AS entity, object AS other FROM t WHERE relation = 'related_with' UNION ALL SELECT object, subject FROM t WHERE relation = 'related_with') GROUP BY entity")
+def m2_prepared_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    related = C.prepared_tree_edges(triplets(spark, sf_dir))[1]
     return related.select("entity", F.array_join("related", ",").alias("related"))
 
 
@@ -90,11 +91,9 @@ def j23_incremental_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return carried.select("row_id", F.lit(True).alias("carried")).unionByName(fresh.select("row_id", F.lit(False).alias("carried")))
 
 
-@query("k8_sorted_importance", "SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey)::INT AS rank FROM part QUALIFY rank <= 100")
+@query("k8_sorted_importance", "SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey)::INT AS rank FROM part")
 def k8_sorted_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(100)  # a report of the first hundred
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("p_retailprice"), "p_partkey")
-    return first.select("p_partkey", F.row_number().over(w).alias("rank"))
+    return numbered(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), [F.desc("p_retailprice"), "p_partkey"]).drop("p_retailprice")
 
 
 @query("a24_anchor_stats", f"WITH {TRIPLETS_SQL}, a AS (SELECT cue, sum((subject IN ('S1', 'S2'))::INT + (object = 'P1')::INT) AS n FROM t GROUP BY cue) SELECT round(avg(n), 6) AS mean_anchors, sum((n = 0)::INT)::BIGINT AS without FROM a")
@@ -135,9 +134,9 @@ def r11_hit_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.concat_ws("\n", *parts).alias("context"))
 
 
-@query("r12_image_paths", f"WITH {TRIPLETS_SQL}, f AS (SELECT lecture, cue, min(row_id) AS r FROM t WHERE lecture < 8 GROUP BY ALL) SELECT lecture, string_agg(cue::VARCHAR, ',' ORDER BY r) AS paths FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY lecture ORDER BY r) <= 6) GROUP BY lecture")
-def r12_image_paths(spark: SparkSession, sf_dir: str, keep: str = "lecture < 8") -> DataFrame:
+@query("r12_image_paths", f"WITH {TRIPLETS_SQL}, f AS (SELECT lecture, cue, min(row_id) AS r FROM t GROUP BY ALL) SELECT lecture, string_agg(cue::VARCHAR, ',' ORDER BY r) AS paths FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY lecture ORDER BY r) <= 6) GROUP BY lecture")
+def r12_image_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first six distinct paths of each answer, in order."""
-    f = triplets(spark, sf_dir).filter(keep).groupBy("lecture", "cue").agg(F.min("row_id").alias("r"))
+    f = triplets(spark, sf_dir).groupBy("lecture", "cue").agg(F.min("row_id").alias("r"))
     six = f.withColumn("i", F.row_number().over(Window.partitionBy("lecture").orderBy("r"))).filter("i <= 6")
     return six.groupBy("lecture").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "cue"))), lambda x: x["cue"].cast("string")), ",").alias("paths"))

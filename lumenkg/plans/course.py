@@ -63,9 +63,9 @@ def m6_prune_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.prune_tree(rows, 2, 8).select("path", "depth")
 
 
-@query("x21_snippets", f"WITH {TRIPLETS_SQL}, p AS (SELECT subject, statement, row_number() OVER (PARTITION BY subject ORDER BY row_id) AS i FROM t WHERE lecture < 3) SELECT subject, count(DISTINCT left(statement, 6)) AS n FROM p WHERE i <= 3 AND statement <> '' GROUP BY subject")
-def x21_snippets(spark: SparkSession, sf_dir: str, keep: str = "lecture < 3") -> DataFrame:
-    t = triplets(spark, sf_dir).filter(keep)
+@query("x21_snippets", f"WITH {TRIPLETS_SQL}, p AS (SELECT subject, statement, row_number() OVER (PARTITION BY subject ORDER BY row_id) AS i FROM t) SELECT subject, count(DISTINCT left(statement, 6)) AS n FROM p WHERE i <= 3 AND statement <> '' GROUP BY subject")
+def x21_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = triplets(spark, sf_dir)
     p = t.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("row_id", F.col("statement").alias("context"), F.lit("").alias("source_text")))).alias("p"))
     return p.select("subject", F.size(C.snippets(F.col("p"), 3, 6)).cast("long").alias("n")).filter("n > 0")
 
@@ -116,9 +116,9 @@ def u2_union_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("subject", "relation", "object").agg(F.min("cue").alias("cue"))
 
 
-@query("u8_filtered_relations", f"WITH {TRIPLETS_SQL} SELECT row_id, relation <> 'related_with' AS kept FROM t WHERE lecture = 2")
-def u8_filtered_relations(spark: SparkSession, sf_dir: str, keep: str = "lecture = 2") -> DataFrame:
-    t = triplets(spark, sf_dir).filter(keep).select("row_id", "relation")
+@query("u8_filtered_relations", f"WITH {TRIPLETS_SQL} SELECT row_id, relation <> 'related_with' AS kept FROM t")
+def u8_filtered_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = triplets(spark, sf_dir).select("row_id", "relation")
     kept = t.filter("relation <> 'related_with'")
     return kept.select("row_id", F.lit(True).alias("kept")).unionByName(t.join(kept, ["row_id", "relation"], "left_anti").select("row_id", F.lit(False).alias("kept")))
 
@@ -156,24 +156,24 @@ def x19_json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json(inner), "$.k", "int").alias("k"))
 
 
-@query("i10_fragment_importance", f"WITH {TRIPLETS_SQL} SELECT object AS entity, round(0.75 * ln(1 + count(*)) + 0.25 * ln(1 + count(DISTINCT subject)), 6) AS score FROM t WHERE lecture = 4 GROUP BY object")
-def i10_fragment_importance(spark: SparkSession, sf_dir: str, keep: str = "lecture = 4") -> DataFrame:
-    g = triplets(spark, sf_dir).filter(keep).groupBy(F.col("object").alias("entity")).agg(F.count("*").alias("m"), F.countDistinct("subject").alias("d"))
+@query("i10_fragment_importance", f"WITH {TRIPLETS_SQL} SELECT object AS entity, round(0.75 * ln(1 + count(*)) + 0.25 * ln(1 + count(DISTINCT subject)), 6) AS score FROM t GROUP BY object")
+def i10_fragment_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = triplets(spark, sf_dir).groupBy(F.col("object").alias("entity")).agg(F.count("*").alias("m"), F.countDistinct("subject").alias("d"))
     return g.select("entity", F.round(0.75 * F.log1p("m") + 0.25 * F.log1p("d"), 6).alias("score"))
 
 
-@query("i13_chapter_view", f"WITH {TRIPLETS_SQL}, s AS (SELECT object AS entity, lecture, max(weight) AS score FROM t WHERE lecture < 3 GROUP BY ALL) SELECT entity, round(sum(score * CASE lecture WHEN 0 THEN 0.6 WHEN 1 THEN 0.3 ELSE 0.1 END), 6)::DOUBLE AS score FROM s GROUP BY entity")
-def i13_chapter_view(spark: SparkSession, sf_dir: str, keep: str = "lecture < 3") -> DataFrame:
-    s = triplets(spark, sf_dir).filter(keep).groupBy(F.col("object").alias("entity"), "lecture").agg(F.max("weight").alias("score"))
+@query("i13_chapter_view", f"WITH {TRIPLETS_SQL}, s AS (SELECT object AS entity, lecture, max(weight) AS score FROM t GROUP BY ALL) SELECT entity, round(sum(score * CASE lecture WHEN 0 THEN 0.6 WHEN 1 THEN 0.3 ELSE 0.1 END), 6)::DOUBLE AS score FROM s GROUP BY entity")
+def i13_chapter_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = triplets(spark, sf_dir).groupBy(F.col("object").alias("entity"), "lecture").agg(F.max("weight").alias("score"))
     w = F.when(F.col("lecture") == 0, 0.6).when(F.col("lecture") == 1, 0.3).otherwise(0.1)
     return s.groupBy("entity").agg(F.round(F.sum(F.col("score") * w), 6).alias("score"))
 
 
-@query("a25_entity_texts", f"WITH {TRIPLETS_SQL}, x AS (SELECT subject AS entity, statement, row_id FROM t WHERE lecture = 1 UNION ALL SELECT object, statement, row_id FROM t WHERE lecture = 1) SELECT entity, count(DISTINCT statement) AS n, arg_min(statement, row_id) AS first FROM x WHERE statement <> '' GROUP BY entity")
-def a25_entity_texts(spark: SparkSession, sf_dir: str, keep: str = "lecture = 1") -> DataFrame:
+@query("a25_entity_texts", f"WITH {TRIPLETS_SQL}, x AS (SELECT subject AS entity, statement, row_id FROM t UNION ALL SELECT object, statement, row_id FROM t) SELECT entity, count(DISTINCT statement) AS n, arg_min(statement, row_id) AS first FROM x WHERE statement <> '' GROUP BY entity")
+def a25_entity_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenkg.operators.kg import endpoints
 
-    x = endpoints(triplets(spark, sf_dir).filter(f"{keep} AND statement <> ''"), "statement", "row_id")
+    x = endpoints(triplets(spark, sf_dir).filter("statement <> ''"), "statement", "row_id")
     return x.groupBy("entity").agg(F.countDistinct("statement").alias("n"), F.min_by("statement", "row_id").alias("first"))
 
 
@@ -194,12 +194,12 @@ def v7_window_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.select("row_id", F.when(F.col("known"), "lecture_existing").when(F.col("i") > 1, "window_overlap").alias("reason"))
 
 
-@query("g15_hop_tags", f"WITH {TRIPLETS_SQL}, g AS (SELECT DISTINCT subject, object FROM t WHERE lecture < 10 AND weight > 48), d0 AS (SELECT 'S1' AS n UNION SELECT 'S2'), e0 AS (SELECT g.* FROM g WHERE subject IN (FROM d0) OR object IN (FROM d0)), d1 AS (SELECT subject AS n FROM e0 UNION SELECT object FROM e0), e1 AS (SELECT g.* FROM g WHERE (subject IN (FROM d1) OR object IN (FROM d1)) EXCEPT FROM e0) SELECT *, 0 AS hop FROM e0 UNION ALL SELECT *, 1 FROM e1")
-def g15_hop_tags(spark: SparkSession, sf_dir: str, keep: str = "lecture < 10 AND weight > 48") -> DataFrame:
+@query("g15_hop_tags", f"WITH {TRIPLETS_SQL}, g AS (SELECT DISTINCT subject, object FROM t), d0 AS (SELECT 'S1' AS n UNION SELECT 'S2'), e0 AS (SELECT g.* FROM g WHERE subject IN (FROM d0) OR object IN (FROM d0)), d1 AS (SELECT subject AS n FROM e0 UNION SELECT object FROM e0), e1 AS (SELECT g.* FROM g WHERE (subject IN (FROM d1) OR object IN (FROM d1)) EXCEPT FROM e0) SELECT *, 0 AS hop FROM e0 UNION ALL SELECT *, 1 FROM e1")
+def g15_hop_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges reached from the seeds in either direction, tagged by the hop that found them."""
     from lumenkg.operators.graph import expand
 
-    e = triplets(spark, sf_dir).filter(keep).select("subject", "object").distinct()
+    e = triplets(spark, sf_dir).select("subject", "object").distinct()
     near = expand(e, spark.createDataFrame([("S1",), ("S2",)], "node string"), 1)
     for end in ("subject", "object"):
         e = e.join(near.select(F.col("node").alias(end), F.col("depth").alias(f"d_{end}")), end, "left")

@@ -8,12 +8,11 @@ from lumenkg.operators import kg as K
 from lumenkg.registry import query
 from lumenkg.sources.tables import TRIPLETS_SQL, table, triplets
 
-#: The graph of four lectures: small enough that recursive SQL can follow it.
-GRAPH_SQL = f"{TRIPLETS_SQL}, g AS (SELECT subject, object, max(weight) AS weight FROM t WHERE lecture < 4 GROUP BY ALL)"
+GRAPH_SQL = f"{TRIPLETS_SQL}, g AS (SELECT subject, object, max(weight) AS weight FROM t GROUP BY ALL)"
 
 
-def graph(spark, sf_dir, keep="lecture < 4"):
-    return triplets(spark, sf_dir).filter(keep).groupBy("subject", "object").agg(F.max("weight").alias("weight"))
+def graph(spark, sf_dir):
+    return triplets(spark, sf_dir).groupBy("subject", "object").agg(F.max("weight").alias("weight"))
 
 
 def hierarchy(spark, sf_dir):
@@ -37,8 +36,8 @@ _PR = ", ".join(
     f"""WITH {GRAPH_SQL}, v AS (SELECT node, 1.0::DOUBLE / count(*) OVER () AS p FROM (SELECT subject AS node FROM g UNION SELECT object FROM g)),
     sh AS (SELECT subject, object, weight / sum(weight) OVER (PARTITION BY subject) AS share FROM g), r0 AS (SELECT node, p AS r FROM v), {_PR} SELECT node, round(r, 6) AS rank FROM r10""",
 )
-def g4_pagerank(spark: SparkSession, sf_dir: str, keep: str = "lecture < 4") -> DataFrame:
-    return G.pagerank(graph(spark, sf_dir, keep), 10).select("node", F.round("rank", 6).alias("rank"))
+def g4_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.pagerank(graph(spark, sf_dir), 10).select("node", F.round("rank", 6).alias("rank"))
 
 
 @query(
@@ -46,21 +45,21 @@ def g4_pagerank(spark: SparkSession, sf_dir: str, keep: str = "lecture < 4") ->
     f"""WITH {GRAPH_SQL}, s0 AS (SELECT 'S' || i AS node, 1.0::DOUBLE AS score FROM range(1, 6) x(i)), s1 AS (SELECT object AS node, sum(score) * 0.5 AS score FROM s0 JOIN g ON node = subject GROUP BY object),
     s2 AS (SELECT object AS node, sum(score) * 0.5 AS score FROM s1 JOIN g ON node = subject GROUP BY object) SELECT node, round(sum(score), 6) AS score FROM (FROM s0 UNION ALL FROM s1 UNION ALL FROM s2) GROUP BY node""",
 )
-def g3_trust_seeds(spark: SparkSession, sf_dir: str, keep: str = "lecture < 4") -> DataFrame:
+def g3_trust_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = spark.range(1, 6).select(F.concat(F.lit("S"), "id").alias("node"), F.lit(1.0).alias("score"))
-    return G.trust(graph(spark, sf_dir, keep), seeds).select("node", F.round("score", 6).alias("score"))
+    return G.trust(graph(spark, sf_dir), seeds).select("node", F.round("score", 6).alias("score"))
 
 
-SMALL_SQL = f"{TRIPLETS_SQL}, g AS (SELECT DISTINCT subject, object FROM t WHERE lecture < 10 AND weight > 48)"
+SMALL_SQL = f"{TRIPLETS_SQL}, g AS (SELECT DISTINCT subject, object FROM t)"
 
 
-def small_graph(spark, sf_dir, keep="lecture < 10 AND weight > 48"):
-    return triplets(spark, sf_dir).filter(keep).select("subject", "object").distinct()
+def small_graph(spark, sf_dir):
+    return triplets(spark, sf_dir).select("subject", "object").distinct()
 
 
 @query("g5_components", f"WITH RECURSIVE {SMALL_SQL}, b AS (SELECT subject AS u, object AS v FROM g UNION SELECT object, subject FROM g), r(node, x) AS (SELECT u, u FROM b UNION SELECT r.node, b.v FROM r JOIN b ON b.u = r.x) SELECT node, min(x) AS component FROM r GROUP BY node")
-def g5_components(spark: SparkSession, sf_dir: str, keep: str = "lecture < 10 AND weight > 48") -> DataFrame:
-    return G.components(small_graph(spark, sf_dir, keep))
+def g5_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.components(small_graph(spark, sf_dir))
 
 
 @query("g11_core_numbers")
@@ -93,27 +92,27 @@ def g13_meta_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {SMALL_SQL}, b AS (SELECT subject AS a, object AS b FROM g UNION SELECT object, subject FROM g), d0 AS (SELECT 'S1' AS node UNION SELECT 'S2'), d1 AS (SELECT DISTINCT b AS node FROM d0 JOIN b ON a = node), d2 AS (SELECT DISTINCT b AS node FROM d1 JOIN b ON a = node)
     SELECT node, min(depth)::INT AS depth, round(1.0 / (min(depth) + 1), 6)::DOUBLE AS score FROM (SELECT node, 0 AS depth FROM d0 UNION ALL SELECT node, 1 FROM d1 UNION ALL SELECT node, 2 FROM d2) GROUP BY node""",
 )
-def g14_expand(spark: SparkSession, sf_dir: str, keep: str = "lecture < 10 AND weight > 48") -> DataFrame:
+def g14_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = spark.range(1, 3).select(F.concat(F.lit("S"), "id").alias("node"))
-    return G.expand(small_graph(spark, sf_dir, keep), seeds, 2).select("node", "depth", F.round(1.0 / (F.col("depth") + 1), 6).alias("score"))
+    return G.expand(small_graph(spark, sf_dir), seeds, 2).select("node", "depth", F.round(1.0 / (F.col("depth") + 1), 6).alias("score"))
 
 
 @query(
     "g16_two_hop_pool",
     f"WITH {GRAPH_SQL}, s AS (SELECT subject, object FROM g WHERE subject IN ('S1', 'S2', 'S3', 'S4', 'S5', 'S6', 'S7', 'S8')) SELECT object AS mid, count(DISTINCT subject) AS landings FROM s GROUP BY object HAVING count(DISTINCT subject) >= 2",
 )
-def g16_two_hop_pool(spark: SparkSession, sf_dir: str, keep: str = "lecture < 4") -> DataFrame:
-    s = graph(spark, sf_dir, keep).filter(F.col("subject").isin(*[f"S{i}" for i in range(1, 9)]))
+def g16_two_hop_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = graph(spark, sf_dir).filter(F.col("subject").isin(*[f"S{i}" for i in range(1, 9)]))
     return s.groupBy(F.col("object").alias("mid")).agg(F.countDistinct("subject").alias("landings")).filter("landings >= 2")
 
 
 @query(
     "g6_long_components",
     f"""WITH RECURSIVE {SMALL_SQL}, b AS (SELECT subject AS u, object AS v FROM g UNION SELECT object, subject FROM g), r(node, x) AS (SELECT u, u FROM b UNION SELECT r.node, b.v FROM r JOIN b ON b.u = r.x), c AS (SELECT node, min(x) AS c FROM r GROUP BY node),
-    p AS (SELECT DISTINCT x.u AS node FROM b x JOIN b y ON y.u = x.v JOIN b z ON z.u = y.v WHERE x.u <> y.v AND x.u <> z.v AND x.v <> z.v), k AS (SELECT DISTINCT c FROM c JOIN p USING (node)) SELECT subject, object FROM g JOIN c ON node = subject WHERE c IN (SELECT c FROM k)""",
+    d AS (SELECT u AS node, count(*) AS d FROM b GROUP BY u), k AS (SELECT c FROM c JOIN d USING (node) GROUP BY c HAVING count(*) >= 4 AND NOT (max(d) = count(*) - 1 AND sum(d) = 2 * (count(*) - 1))) SELECT subject, object FROM g JOIN c ON node = subject WHERE c IN (SELECT c FROM k)""",
 )
-def g6_long_components(spark: SparkSession, sf_dir: str, keep: str = "lecture < 10 AND weight > 48") -> DataFrame:
-    return G.long_components(small_graph(spark, sf_dir, keep))
+def g6_long_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.long_components(small_graph(spark, sf_dir))
 
 
 @query(
@@ -139,7 +138,7 @@ def g21_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     own = p.select(F.concat(F.lit("P"), "p_partkey").alias("node"), (F.col("p_size") / 50.0).alias("score"))
     up = p.select(F.explode(F.array("p_brand", F.concat(F.lit("T"), "p_type"))).alias("node")).distinct().withColumn("score", F.lit(0.1))
-    return G.propagate_up(hierarchy(spark, sf_dir), own.unionByName(up), levels=2).select("node", F.round("score", 6).alias("score"))
+    return G.propagate_up(hierarchy(spark, sf_dir), own.unionByName(up)).select("node", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -201,26 +200,26 @@ def i2_board_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triplets(spark, sf_dir).groupBy(F.col("object").alias("entity")).agg(F.sum(1 + F.when(F.col("lecture") % 4 == 0, 0.25).otherwise(0.0)).alias("score"))
 
 
-@query("i4_structure_channel", f"WITH {TRIPLETS_SQL}, d AS (SELECT object AS entity, count(DISTINCT subject) AS d FROM t WHERE lecture < 6 GROUP BY object) SELECT entity, round(ln(1 + d) * CASE WHEN d <= 1 THEN 0.55 WHEN d <= 2 THEN 0.75 ELSE 1.35 END, 6) AS score FROM d")
-def i4_structure_channel(spark: SparkSession, sf_dir: str, keep: str = "lecture < 6") -> DataFrame:
-    d = triplets(spark, sf_dir).filter(keep).groupBy(F.col("object").alias("entity")).agg(F.countDistinct("subject").alias("d"))
+@query("i4_structure_channel", f"WITH {TRIPLETS_SQL}, d AS (SELECT object AS entity, count(DISTINCT subject) AS d FROM t GROUP BY object) SELECT entity, round(ln(1 + d) * CASE WHEN d <= 1 THEN 0.55 WHEN d <= 2 THEN 0.75 ELSE 1.35 END, 6) AS score FROM d")
+def i4_structure_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = triplets(spark, sf_dir).groupBy(F.col("object").alias("entity")).agg(F.countDistinct("subject").alias("d"))
     return d.select("entity", F.round(F.log1p("d") * F.when(F.col("d") <= 1, 0.55).when(F.col("d") <= 2, 0.75).otherwise(1.35), 6).alias("score"))
 
 
 @query(
     "i5_blend_channels",
-    f"""WITH {TRIPLETS_SQL}, a AS (SELECT object AS entity, count(*)::DOUBLE AS s FROM t GROUP BY object), b AS (SELECT object AS entity, sum(weight)::DOUBLE AS s FROM t WHERE lecture < 10 GROUP BY object),
+    f"""WITH {TRIPLETS_SQL}, a AS (SELECT object AS entity, count(*)::DOUBLE AS s FROM t GROUP BY object), b AS (SELECT object AS entity, sum(weight)::DOUBLE AS s FROM t GROUP BY object),
     na AS (SELECT entity, coalesce((s - min(s) OVER ()) / nullif(max(s) OVER () - min(s) OVER (), 0), 0.5) AS x FROM a), nb AS (SELECT entity, coalesce((s - min(s) OVER ()) / nullif(max(s) OVER () - min(s) OVER (), 0), 0.5) AS y FROM b)
     SELECT coalesce(na.entity, nb.entity) AS entity, round((0.6 * coalesce(x, 0) + 0.2 * coalesce(y, 0)) / 0.8, 6) AS score FROM na FULL JOIN nb ON na.entity = nb.entity""",
 )
-def i5_blend_channels(spark: SparkSession, sf_dir: str, keep: str = "lecture < 10") -> DataFrame:
+def i5_blend_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     def scaled(c: DataFrame, name: str) -> DataFrame:
         ends = F.broadcast(c.agg(F.min("s").alias("lo"), F.max("s").alias("hi")))  # one row
         return c.crossJoin(ends).select("entity", F.when(F.col("hi") == F.col("lo"), 0.5).otherwise((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias(name))
 
     t = triplets(spark, sf_dir)
     a = t.groupBy(F.col("object").alias("entity")).agg(F.count("*").cast("double").alias("s"))
-    b = t.filter(keep).groupBy(F.col("object").alias("entity")).agg(F.sum("weight").alias("s"))
+    b = t.groupBy(F.col("object").alias("entity")).agg(F.sum("weight").alias("s"))
     both = scaled(a, "x").join(scaled(b, "y"), "entity", "full")
     return both.select("entity", F.round((0.6 * F.coalesce("x", F.lit(0.0)) + 0.2 * F.coalesce("y", F.lit(0.0))) / 0.8, 6).alias("score"))
 

@@ -205,8 +205,8 @@ def g2_normalised_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("subject", "object", F.round(F.col("weight") / F.sqrt(n), 6).alias("weight"))
 
 
-@query("g25_isolated_nodes", f"WITH {TRIPLETS_SQL} SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM t WHERE subject = 'S' || s_suppkey AND lecture = 0)")
-def g25_isolated_nodes(spark: SparkSession, sf_dir: str, keep: str = "lecture = 0") -> DataFrame:
-    ends = triplets(spark, sf_dir).filter(keep).select("subject")
+@query("g25_isolated_nodes", f"WITH {TRIPLETS_SQL} SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM t WHERE subject = 'S' || s_suppkey)")
+def g25_isolated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = triplets(spark, sf_dir).select("subject")
     nodes = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("S"), "s_suppkey").alias("subject"))
     return nodes.join(ends, "subject", "left_semi").select("s_suppkey")

@@ -41,8 +41,8 @@ STATS_SQL = f"{TRIPLETS_SQL}, x AS (SELECT subject AS e, relation, 1 AS s, lectu
 
 
 @query("f12_triage", f"WITH {STATS_SQL} SELECT entity, CASE WHEN entity = 'S1' THEN 'drop' WHEN right(entity, 1) = '7' THEN 'merge' WHEN attr > 0 AND degree <= 2 AND owner = 0 THEN 'drop' ELSE 'keep' END AS decision FROM st")
-def f12_triage(spark: SparkSession, sf_dir: str, keep: str = "lecture < 1") -> DataFrame:
-    t = triplets(spark, sf_dir).filter(keep)
+def f12_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = triplets(spark, sf_dir)
     ends = t.select(F.explode(F.array(F.struct(F.col("subject").alias("e"), F.lit(1).alias("s")), F.struct(F.col("object").alias("e"), F.lit(0).alias("s")))).alias("x"), "relation")
     weak = F.col("relation") == "related_with"
     stats = ends.groupBy(F.col("x.e").alias("entity")).agg(F.count("*").alias("degree"), F.count_if(weak & (F.col("x.s") == 1)).alias("attr"), F.count_if(weak & (F.col("x.s") == 0)).alias("owner"))
@@ -93,12 +93,12 @@ def k4_relation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "i3_discourse_channel",
-    f"""WITH {TRIPLETS_SQL}, x AS (SELECT subject AS entity, CASE WHEN relation = 'related_with' THEN 'attr' ELSE 'other' END AS role, lecture, cue FROM t WHERE lecture < 3 UNION ALL SELECT object, CASE WHEN relation = 'related_with' THEN 'owner' ELSE 'other' END, lecture, cue FROM t WHERE lecture < 3),
+    f"""WITH {TRIPLETS_SQL}, x AS (SELECT subject AS entity, CASE WHEN relation = 'related_with' THEN 'attr' ELSE 'other' END AS role, lecture, cue FROM t UNION ALL SELECT object, CASE WHEN relation = 'related_with' THEN 'owner' ELSE 'other' END, lecture, cue FROM t),
     d AS (SELECT *, count(*) OVER w AS deg, sum((role = 'attr')::INT) OVER w AS a, sum((role = 'owner')::INT) OVER w AS o FROM x WINDOW w AS (PARTITION BY entity))
     SELECT entity, round(sum(CASE WHEN cue % 3 = 0 THEN 0.55 ELSE 1 END * CASE WHEN lecture = 1 THEN 1.35 ELSE 1 END * CASE WHEN deg <= 3 AND o = 0 AND a >= greatest(1, deg - o) THEN 0.5 ELSE 1 END), 6)::DOUBLE AS score FROM d GROUP BY entity""",
 )
-def i3_discourse_channel(spark: SparkSession, sf_dir: str, keep: str = "lecture < 3") -> DataFrame:
-    t = triplets(spark, sf_dir).filter(keep)
+def i3_discourse_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = triplets(spark, sf_dir)
     weak = F.col("relation") == "related_with"
     a = t.select(F.col("subject").alias("entity"), F.when(weak, "attr").otherwise("other").alias("role"), "lecture", "cue")
     b = t.select(F.col("object").alias("entity"), F.when(weak, "owner").otherwise("other").alias("role"), "lecture", "cue")
@@ -137,9 +137,9 @@ def a20_full_outer_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one(1, "a").join(one(2, "b"), "entity", "full").select("entity", F.round(0.7 * F.coalesce("a", F.lit(0.0)) + 0.3 * F.coalesce("b", F.lit(0.0)), 6).alias("score"))
 
 
-@query("a22_node_origin", f"WITH {TRIPLETS_SQL}, x AS (SELECT subject AS entity, relation FROM t WHERE lecture = 5 UNION ALL SELECT object, relation FROM t WHERE lecture = 5), f AS (SELECT entity, bool_or(relation = 'belong_to') AS tb, bool_or(relation <> 'belong_to') AS d FROM x GROUP BY entity) SELECT entity, CASE WHEN tb AND d THEN 'mixed' WHEN tb THEN 'textbook' ELSE 'delta' END AS origin FROM f")
-def a22_node_origin(spark: SparkSession, sf_dir: str, keep: str = "lecture = 5") -> DataFrame:
-    f = K.endpoints(triplets(spark, sf_dir).filter(keep), "relation").groupBy("entity").agg(F.bool_or(F.col("relation") == "belong_to").alias("tb"), F.bool_or(F.col("relation") != "belong_to").alias("d"))
+@query("a22_node_origin", f"WITH {TRIPLETS_SQL}, x AS (SELECT subject AS entity, relation FROM t UNION ALL SELECT object, relation FROM t), f AS (SELECT entity, bool_or(relation = 'belong_to') AS tb, bool_or(relation <> 'belong_to') AS d FROM x GROUP BY entity) SELECT entity, CASE WHEN tb AND d THEN 'mixed' WHEN tb THEN 'textbook' ELSE 'delta' END AS origin FROM f")
+def a22_node_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = K.endpoints(triplets(spark, sf_dir), "relation").groupBy("entity").agg(F.bool_or(F.col("relation") == "belong_to").alias("tb"), F.bool_or(F.col("relation") != "belong_to").alias("d"))
     return f.select("entity", F.when(F.col("tb") & F.col("d"), "mixed").when(F.col("tb"), "textbook").otherwise("delta").alias("origin"))
 
 
@@ -238,9 +238,9 @@ def g22_theorem_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.concat(F.lit("theorem: "), "p_type").alias("subject"), F.lit("belong_to").alias("predicate"), F.col("p_brand").alias("object")).distinct()
 
 
-@query("m8_merge_trees", f"WITH {TRIPLETS_SQL} SELECT subject || '/' || object AS path, max(weight) AS importance, string_agg(DISTINCT lpad(lecture::VARCHAR, 2, '0'), ',' ORDER BY lpad(lecture::VARCHAR, 2, '0')) AS lectures FROM t WHERE relation = 'belong_to' AND lecture < 12 GROUP BY ALL")
-def m8_merge_trees(spark: SparkSession, sf_dir: str, keep: str = "lecture < 12") -> DataFrame:
-    t = triplets(spark, sf_dir).filter(f"relation = 'belong_to' AND {keep}")
+@query("m8_merge_trees", f"WITH {TRIPLETS_SQL} SELECT subject || '/' || object AS path, max(weight) AS importance, string_agg(DISTINCT lpad(lecture::VARCHAR, 2, '0'), ',' ORDER BY lpad(lecture::VARCHAR, 2, '0')) AS lectures FROM t WHERE relation = 'belong_to' GROUP BY ALL")
+def m8_merge_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = triplets(spark, sf_dir).filter("relation = 'belong_to'")
     return t.groupBy(F.concat_ws("/", "subject", "object").alias("path")).agg(F.max("weight").alias("importance"), F.array_join(F.array_sort(F.collect_set(F.lpad(F.col("lecture").cast("string"), 2, "0"))), ",").alias("lectures"))
 
 
@@ -258,9 +258,9 @@ def m4_tree_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.explode(paths).alias("x")).select("x.path", "x.depth").distinct()
 
 
-@query("r8_citations", f"WITH {TRIPLETS_SQL} SELECT DISTINCT cue, coalesce(nullif(statement, ''), relation) AS quote FROM t WHERE lecture = 3")
-def r8_citations(spark: SparkSession, sf_dir: str, keep: str = "lecture = 3") -> DataFrame:
-    return triplets(spark, sf_dir).filter(keep).select("cue", F.coalesce(F.nullif(F.col("statement"), F.lit("")), F.col("relation")).alias("quote")).distinct()
+@query("r8_citations", f"WITH {TRIPLETS_SQL} SELECT DISTINCT cue, coalesce(nullif(statement, ''), relation) AS quote FROM t")
+def r8_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triplets(spark, sf_dir).select("cue", F.coalesce(F.nullif(F.col("statement"), F.lit("")), F.col("relation")).alias("quote")).distinct()
 
 
 @query("k5_dynamic_topk", f"WITH {TRIPLETS_SQL}, k AS (SELECT o_orderkey AS cue, least(3, greatest(1, (o_totalprice / 50000)::INT)) AS k FROM (SELECT o_orderkey, floor(o_totalprice / 50000) * 50000 AS o_totalprice FROM orders)) SELECT row_id FROM t JOIN k USING (cue) QUALIFY row_number() OVER (PARTITION BY cue ORDER BY weight DESC, row_id) <= k")
@@ -270,14 +270,13 @@ def k5_dynamic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triplets(spark, sf_dir).join(k, "cue").withColumn("i", i).filter("i <= k").select("row_id")
 
 
-@query("k6_appearance_order", f"WITH {CUES_SQL} SELECT cue, row_number() OVER (ORDER BY lecture, start_sec NULLS LAST, text, cue)::INT AS rank FROM c QUALIFY rank <= 100")
+@query("k6_appearance_order", f"WITH {CUES_SQL} SELECT cue, row_number() OVER (ORDER BY lecture, start_sec NULLS LAST, text, cue)::INT AS rank FROM c")
 def k6_appearance_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred cards by lecture, time, kind and id (a top-k report: only these reach the window)."""
-    key = ["lecture", F.asc_nulls_last("start_sec"), "text", "cue"]
-    first = cues(spark, sf_dir).orderBy(*key).limit(100)
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*key))).select("cue", "rank")
+    """All cards by lecture, time, kind and id; missing times last."""
+    return S.numbered(cues(spark, sf_dir), ["lecture", F.asc_nulls_last("start_sec"), "text", "cue"]).select("cue", "rank")
 
 
-@query("k9_longest_aliases", "SELECT p_partkey, length(p_name) AS n FROM part ORDER BY length(p_name) DESC, p_name, p_partkey LIMIT 50")
+@query("k9_longest_aliases", "SELECT p_partkey, length(p_name) AS n, row_number() OVER (ORDER BY length(p_name) DESC, p_name, p_partkey)::INT AS rank FROM part")
 def k9_longest_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").orderBy(F.desc(F.length("p_name")), "p_name", "p_partkey").limit(50).select("p_partkey", F.length("p_name").cast("long").alias("n"))
+    names = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.length("p_name").cast("long").alias("n"))
+    return S.numbered(names, [F.desc("n"), "p_name", "p_partkey"]).drop("p_name")

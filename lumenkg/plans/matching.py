@@ -42,10 +42,10 @@ def f11_entity_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(F.col("p_retailprice") * m, 4).alias("weight"))
 
 
-@query("f19_apply_review", f"WITH {TRIPLETS_SQL} SELECT row_id FROM t WHERE lecture < 5 AND row_id // 1000000 NOT IN (SELECT doc_id * 10 + 1 FROM labels WHERE toxic = 1)")
-def f19_apply_review(spark: SparkSession, sf_dir: str, keep: str = "lecture < 5") -> DataFrame:
+@query("f19_apply_review", f"WITH {TRIPLETS_SQL} SELECT row_id FROM t WHERE row_id // 1000000 NOT IN (SELECT doc_id * 10 + 1 FROM labels WHERE toxic = 1)")
+def f19_apply_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     rejected = table(spark, sf_dir, "labels").filter("toxic = 1").select((F.col("doc_id") * 10 + 1).alias("line"))
-    return triplets(spark, sf_dir).filter(keep).select("row_id", F.floor(F.col("row_id") / 1_000_000).alias("line")).join(rejected, "line", "left_anti").select("row_id")
+    return triplets(spark, sf_dir).select("row_id", F.floor(F.col("row_id") / 1_000_000).alias("line")).join(rejected, "line", "left_anti").select("row_id")
 
 
 @query(
@@ -95,10 +95,10 @@ def j1_enrich_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triplets(spark, sf_dir).join(o, "cue", "left").select("row_id", F.coalesce(F.nullif(F.col("statement"), F.lit("")), F.col("o_orderpriority")).alias("source_text"), "o_custkey")
 
 
-@query("j2_clip_evidence", f"WITH {TRIPLETS_SQL} SELECT DISTINCT object AS entity, o_custkey AS clip FROM t JOIN orders ON o_orderkey = cue WHERE lecture < 5")
-def j2_clip_evidence(spark: SparkSession, sf_dir: str, keep: str = "lecture < 5") -> DataFrame:
+@query("j2_clip_evidence", f"WITH {TRIPLETS_SQL} SELECT DISTINCT object AS entity, o_custkey AS clip FROM t JOIN orders ON o_orderkey = cue")
+def j2_clip_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cue"), F.col("o_custkey").alias("clip"))
-    return triplets(spark, sf_dir).filter(keep).join(o, "cue").select(F.col("object").alias("entity"), "clip").distinct()
+    return triplets(spark, sf_dir).join(o, "cue").select(F.col("object").alias("entity"), "clip").distinct()
 
 
 @query("j3_alias_evidence", f"WITH {TRIPLETS_SQL}, a AS (SELECT i AS entity, unnest(['S' || i, 'P' || i]) AS alias FROM range(1, 60) r(i)) SELECT DISTINCT entity, row_id FROM a JOIN t ON alias = subject OR alias = object")
@@ -173,18 +173,18 @@ def s11_merge_textbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(longest.alias("definition"), F.max("p_retailprice").alias("importance"), F.array_join(F.array_sort(F.collect_set("p_type")), "|").alias("theorems"))
 
 
-@query("s14_cypher", f"WITH {TRIPLETS_SQL} SELECT DISTINCT 'MERGE (a:Entity {{name: \"' || subject || '\"}}) MERGE (b:Entity {{name: \"' || object || '\"}}) MERGE (a)-[:' || upper(relation) || ']->(b);' AS statement FROM t WHERE lecture = 1")
-def s14_cypher(spark: SparkSession, sf_dir: str, keep: str = "lecture = 1") -> DataFrame:
+@query("s14_cypher", f"WITH {TRIPLETS_SQL} SELECT DISTINCT 'MERGE (a:Entity {{name: \"' || subject || '\"}}) MERGE (b:Entity {{name: \"' || object || '\"}}) MERGE (a)-[:' || upper(relation) || ']->(b);' AS statement FROM t")
+def s14_cypher(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenkg.sources.exports import cypher_statements
 
-    return cypher_statements(triplets(spark, sf_dir).filter(keep).select("subject", "relation", "object").distinct())
+    return cypher_statements(triplets(spark, sf_dir).select("subject", "relation", "object").distinct())
 
 
-@query("s13_graphml", f"WITH {TRIPLETS_SQL} SELECT DISTINCT '<edge source=\"' || subject || '\" target=\"' || object || '\"><data key=\"relation\">' || relation || '</data></edge>' AS line FROM t WHERE lecture = 1")
-def s13_graphml(spark: SparkSession, sf_dir: str, keep: str = "lecture = 1") -> DataFrame:
+@query("s13_graphml", f"WITH {TRIPLETS_SQL} SELECT DISTINCT '<edge source=\"' || subject || '\" target=\"' || object || '\"><data key=\"relation\">' || relation || '</data></edge>' AS line FROM t")
+def s13_graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenkg.sources.exports import graphml_edges
 
-    return graphml_edges(triplets(spark, sf_dir).filter(keep).select("subject", "relation", "object").distinct())
+    return graphml_edges(triplets(spark, sf_dir).select("subject", "relation", "object").distinct())
 
 
 GRAMS_SQL = """b AS (SELECT item_id AS a, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark), d AS (SELECT doc_id AS b, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
