@@ -64,12 +64,12 @@ def g5_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g11_core_numbers")
 def g11_core_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.core_numbers(graph(spark, sf_dir, "true"))
+    return G.core_numbers(graph(spark, sf_dir))
 
 
 @query("g11_core_fusion")
 def g11_core_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = G.cut(graph(spark, sf_dir, "true"))
+    e = G.cut(graph(spark, sf_dir))
     return G.fuse_with_cores(G.pagerank(e, 10), G.core_numbers(e)).select("node", *[F.round(c, 6).alias(c) for c in ("final", "pr", "k_core", "norm_k", "norm_pr")])
 
 
