@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +49,16 @@ def increasing(pairs: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return out[::-1]
 
 
+def chained(found: DataFrame, group: str) -> DataFrame:
+    """(group, o, n): the longest chain of anchors (group, o, n) that ascends in n and strictly in o, of each group; equally long chains end lowest."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        kept = increasing(list(zip(rows["n"], rows["o"])))
+        return pd.DataFrame([(rows[group].iloc[0], o, n) for n, o in kept], columns=[group, "o", "n"])
+
+    return found.groupBy(group).applyInPandas(run, found.select(group, "o", "n").schema)
+
+
 def warp(times: DataFrame, anchors_: DataFrame, group: str, at: str) -> DataFrame:
     """Map times by linear interpolation between the anchors (o, n) around them; outside, the nearest anchor's shift.
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenkg.functions.text import primary_name
 from lumenkg.operators import kg as K
 
 #: Kinds of cards.
@@ -24,19 +28,54 @@ def card_errors(c: dict[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(True)), message) for message, bad in checks]), lambda m: m.isNotNull())
 
 
-def formula_drop_reason(name: Column, latex: Column, evidence: Column) -> Column:
-    """Why a formula is no general one, by the first rule that fits, or null."""
-    general = name.rlike("(?i)(law|rule|identity|theorem|公式|定理|律|定义式)")
-    predicate = r"(^|[^A-Za-z])(?:[A-Z][a-z]+[A-Z]\w*|Is[A-Z]\w*)\("
-    rules = [
-        ("example definition", name.rlike("(?i)(defined as|定义为)")),
-        ("example-local formula", F.lower(evidence).rlike("^(for example|e\\.g\\.|例如)") & ~general),
-        ("example predicate", ~general & (name.rlike(predicate) | latex.rlike(predicate))),
-        ("operator notation", name.rlike("(?i)^(delete|remove|add) (vertex|edge)|^(删去顶点|删去边|加边)")),
-        ("bare notation", name.rlike("(?i)notation|记号") & ~latex.rlike(r"=|\\sum|\\forall|\\exists|\\to|\\land")),
-        ("default assumption", name.rlike("(?i)weights? .*set to 1|设为\\s*1")),
-    ]
-    return F.coalesce(*[F.when(F.coalesce(fits, F.lit(False)), reason) for reason, fits in rules])
+# Words that tell a formula of the course from an example's, and operators that a formula has.
+STORY = "小弟弟|红气球|抱住|苏格拉底|柏拉图|亚当|夏娃|终有一死|所有人都会死|所有人终有一死"
+OFF_TOPIC = "牛顿|莱布尼茨|流数|微积分|导数积分|积分和式"
+PROGRAM_POINT = "[ABCD]点(谓词)?|点谓词|程序点|循环不变"
+GENERAL = "约定|记号|形式|规则|定理|公式|条件|充要|一般|任意|对所有|对任意|基本形式|易名|握手|完全图|补图|空图|量词|分离"
+EXAMPLE_PREDICATE = r"(?i)\b(Embrace|LittleBrother|Balloon|Big|Red|Man|Likes|father|teacher)\s*\("
+CAMEL_PREDICATE = r"\b[A-Z][a-z]+[A-Z][a-zA-Z]*\s*\("
+OPERATORS = r"(=|\\sum|\\forall|\\exists|\\to|\\rightarrow|\\land)"
+
+#: The ten reasons in order: each is (reason, what has to match, what must not), as (column, pattern) pairs, one of which suffices.
+FORMULA_RULES = [
+    ("off_topic", [("zh", OFF_TOPIC), ("summary", OFF_TOPIC)], []),
+    ("program_point", [("zh", PROGRAM_POINT)], []),
+    ("story", [("zh", STORY)], []),
+    ("defined_value", [("zh", "定义为")], []),
+    ("said_in_example", [("evidence", "^例如")], [("zh", GENERAL)]),
+    ("example_predicate", [(c, p) for c in ("name", "latex") for p in (EXAMPLE_PREDICATE, CAMEL_PREDICATE)], [("zh", GENERAL)]),
+    ("example_constants", [("zh", r"^个体常项\s*[a-zA-Z、, ]+$")], [("zh", GENERAL)]),
+    ("operation", [("zh", "^(删去顶点|删去边|加边)")], []),
+    ("bare_notation", [("zh", "记号")], [("latex", OPERATORS), ("zh", "个体|谓词|命题|量词")]),
+    ("default_value", [("zh", r"权值.*设为\s*1|设为\s*1.*权值")], []),
+]
+
+
+def formula_drop_reason(name: Column, latex: Column, evidence: Column, summary: Column | None = None) -> Column:
+    """Why a formula is no general one, by the first of FORMULA_RULES that fits, or null; names are read up to their slash."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    of = {"name": text(name), "latex": text(latex), "evidence": F.trim(text(evidence)), "summary": text(F.lit(None) if summary is None else summary), "zh": primary_name(text(name))}
+    matches = lambda pairs: reduce(or_, [of[c].rlike(p) for c, p in pairs], F.lit(False))
+    return F.coalesce(*[F.when(matches(some) & ~matches(none), reason) for reason, some, none in FORMULA_RULES])
+
+
+#: Families of formulas that say one thing.
+FAMILIES = [("handshake", "握手"), ("complete_edges", "完全图.*边数|边数.*完全图"), ("indiv_notation", "个体.*(字母|记号|常项|变项)|(字母|记号|常项|变项).*个体"), ("letter_pred", "谓词变项|命题与谓词")]
+
+
+def generic_formulas(cards: DataFrame) -> DataFrame:
+    """Cards (id, kind, name, latex, statement, ...) but formulas that formula_drop_reason drops; one formula of equal latex (white space aside), then one of a family: the richest, the first id if equal."""
+    c = F.col
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce("latex", F.lit("")), r"\s+", ""), r"\\,", "")
+    family = F.coalesce(*[F.when(primary_name(c("name")).rlike(p), f) for f, p in FAMILIES])
+    rows = cards.withColumn("_f", c("kind") == "formula").withColumn("_key", F.when(c("_f") & (plain != ""), plain)).withColumn("_family", F.when(c("_f"), family))
+    rows = rows.filter(~c("_f") | formula_drop_reason(c("name"), c("latex"), c("evidence"), c("summary")).isNull())
+    rich = [F.desc(c("name").contains("公式")), F.desc(F.length(F.coalesce("latex", F.lit("")))), F.desc(F.length(F.coalesce("statement", F.lit("")))), F.desc(F.length("name")), c("id")]
+    for key in ("_key", "_family"):
+        first = F.row_number().over(Window.partitionBy(F.coalesce(c(key), F.concat(F.lit("id "), c("id").cast("string")))).orderBy(*rich))
+        rows = rows.withColumn("_i", first).filter("_i = 1").drop("_i")
+    return rows.drop("_f", "_key", "_family")
 
 
 def junk_theorem(name: Column, content: Column) -> Column:

@@ -68,3 +68,16 @@ def prune_tree(rows: DataFrame, max_depth: int, max_children: int) -> DataFrame:
         ok = kept.filter(F.col("depth") == d - 1).select(F.col("path").alias("_p"))
         kept = kept.filter(F.col("depth") != d).unionByName(kept.filter(F.col("depth") == d).join(ok, F.col("parent") == F.col("_p"), "left_semi"))
     return kept
+
+
+# What a relation says of itself, and verbs of a description in order, as (verb, phrase).
+PHRASES = {"part_of": "属于", "belong_to": "属于", "depend_on": "依赖", "synonym_of": "同义于", "property_of": "具有属性", "related_with": "相关"}
+VERBS = "称为 称为 也叫 称为 又称为 称为 等同于 等同于 等价于 等价于 是基础 是基础 依赖于 依赖 依赖 依赖 包含 包含 划分为 划分为 细分为 细分为 属于 属于 具有 具有 表示 表示 推出 推出 扩展 扩展".split()
+
+
+def concrete_relation(description: Column, predicate: Column) -> Column:
+    """A short description itself (8 characters, no closing mark), else the phrase of its first listed verb, else the relation's own phrase."""
+    text = F.trim(F.coalesce(description, F.lit("")))
+    own = F.coalesce(F.create_map(*[F.lit(x) for kv in PHRASES.items() for x in kv])[predicate], F.lit("相关"))
+    verb = F.coalesce(*[F.when(text.contains(v), p) for v, p in zip(VERBS[::2], VERBS[1::2])], own)
+    return F.when(text == "", own).when((F.length(text) <= 8) & ~text.rlike("[。；;]"), text).otherwise(verb)

@@ -19,11 +19,12 @@ def f15_card_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(C.card_errors(card), ";").alias("errors"))
 
 
-@query("f13_formula_reasons", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'example definition' WHEN 1 THEN 'example-local formula' WHEN 2 THEN 'bare notation' END AS reason FROM part")
+@query("f13_formula_reasons", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'defined_value' WHEN 1 THEN 'said_in_example' WHEN 2 THEN 'bare_notation' END AS reason FROM part")
 def f13_formula_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few of the ten rules; f13_formula_rules has them all."""
     k = F.col("p_size") % 4
-    name = F.when(k == 0, "P(x) defined as x = 2").when(k == 1, "sum of two").when(k == 2, "notation for sets").otherwise("law of sums")
-    evidence = F.when(k == 1, "For example, two").otherwise("in general")
+    name = F.when(k == 0, "P(x,y)定义为 x+y=2").when(k == 1, "两数之和").when(k == 2, "集合记号").otherwise("加法公式")
+    evidence = F.when(k == 1, "例如 两个").otherwise("一般地")
     return table(spark, sf_dir, "part").select("p_partkey", C.formula_drop_reason(name, F.lit("x"), evidence).alias("reason"))
 
 
