@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints/lumenkg"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder (spark.checkpoint.dir; a local one only where none is set)."""
-    spark: SparkSession = df.sparkSession
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Use the cluster's checkpoint folder (spark.checkpoint.dir); a local one only where none is set and all is one process."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINT_DIR)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|\Z)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(shared or LOCAL_CHECKPOINT_DIR)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and read it back."""
+    shared_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
