@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenkg.operators.graph import cut
+
 
 def link_entities(rows: DataFrame, registry: DataFrame, name: str = "name") -> DataFrame:
     """rows with column linked: the registry's (full, zh, en) entry by full name, else by zh, else by en, ignoring case."""
@@ -22,17 +24,29 @@ def chapter_keywords(title: Column) -> Column:
 def toc_scores(items: DataFrame, nodes: DataFrame, least: float = 10.0, max_broadcast: int = 10_000) -> DataFrame:
     """(name, score): the summed scores of table-of-contents items (text, score) that a node's name lies in.
 
-    A table of contents is a small table; it is broadcast only up to max_broadcast rows,
-    beyond it names are matched through their first two characters by an equi-join.
+    Names are met by substring_join().  max_broadcast is kept for callers and has no effect.
     """
-    if items.limit(max_broadcast + 1).count() <= max_broadcast:
-        hit = nodes.join(F.broadcast(items), F.col("text").contains(F.col("name")))
-    else:
-        pairs = items.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.col("text").substr(i, F.lit(2))))))
-        hit = nodes.withColumn("g", F.substring("name", 1, 2)).join(pairs, "g").filter(F.col("text").contains(F.col("name")))
+    hit = substring_join(items, nodes, "text", "name")
     return hit.groupBy("name").agg(F.sum("score").alias("score")).filter(F.col("score") >= least)
 
 
+def substring_join(texts: DataFrame, names: DataFrame, text: str, name: str) -> DataFrame:
+    """Rows of texts and names where the text holds the name, names of any length and number.
+
+    Both sides meet in an equi-join: a name under its first two characters (a name of one
+    under that one, an empty one under the empty key of every text), a text under each of
+    its distinct ones; then the whole name is looked for.
+    """
+    t, letters = F.col(text), F.split(F.col(text), "")
+    pairs = F.zip_with(letters, F.slice(letters, F.lit(2), F.greatest(F.lit(0), F.size(letters) - 1)), lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
+    keys = F.concat(F.array(F.lit("")), letters, pairs)
+    starts = names.select(F.substring(name, 1, 2).alias("_g")).distinct()
+    # Keys go without their text; the text is met again by its hash, and the test below settles what a hash cannot.
+    met = texts.select(F.xxhash64(text).alias("_h"), F.explode(keys).alias("_g")).distinct().join(starts, "_g")
+    found = names.withColumn("_g", F.substring(name, 1, 2)).join(met, "_g").drop("_g")
+    return texts.withColumn("_h", F.xxhash64(text)).join(found, "_h").filter(t.contains(F.col(name))).drop("_h")
+
+
 def current_chapter(lines: DataFrame, order: str, heading: Column, group: str) -> DataFrame:
     """Each line with the last heading at or before it in its document."""
     w = Window.partitionBy(group).orderBy(order)
@@ -81,3 +95,45 @@ def concrete_relation(description: Column, predicate: Column) -> Column:
     own = F.coalesce(F.create_map(*[F.lit(x) for kv in PHRASES.items() for x in kv])[predicate], F.lit("相关"))
     verb = F.coalesce(*[F.when(text.contains(v), p) for v, p in zip(VERBS[::2], VERBS[1::2])], own)
     return F.when(text == "", own).when((F.length(text) <= 8) & ~text.rlike("[。；;]"), text).otherwise(verb)
+
+
+def importance_lookup(asked: DataFrame, scores: DataFrame) -> DataFrame:
+    """asked (name, ...) with score: its own, else the smallest name's with the same part before the slash, else 0."""
+    zh = lambda c: F.trim(F.split(F.coalesce(c, F.lit("")), "/")[0])
+    own = scores.groupBy("name").agg(F.max("score").alias("_own"))
+    near = own.withColumn("_zh", zh(F.col("name"))).filter("_zh <> ''").groupBy("_zh").agg(F.min_by("_own", "name").alias("_near"))
+    out = asked.join(own, "name", "left").withColumn("_zh", zh(F.col("name"))).join(near, "_zh", "left")
+    return out.withColumn("score", F.coalesce("_own", "_near", F.lit(0.0))).drop("_own", "_near", "_zh")
+
+
+def id_redirects(existing: DataFrame, merges: DataFrame, kept: DataFrame) -> DataFrame:
+    """(src, dst): ids that are gone, with the kept id that their chain of redirects (src, dst) ends in; later merges replace existing ones.
+
+    Chains are followed by doubling until they are longer than there are redirects; those
+    that run in a circle or end in nothing that is kept give no row.
+    """
+    fine = "src IS NOT NULL AND dst IS NOT NULL AND src <> '' AND dst <> '' AND src <> dst"
+    both = existing.select("src", "dst", F.lit(0).alias("o")).unionByName(merges.select("src", "dst", F.lit(1).alias("o"))).filter(fine)
+    step = both.groupBy("src").agg(F.max_by("dst", F.struct("o", "dst")).alias("dst"))
+    stays = kept.select(F.col("id").alias("src")).distinct()
+    step = cut(step.join(stays, "src", "left_anti"))
+    for _ in range(step.count().bit_length() + 1):
+        step = cut(step.join(step.select(F.col("src").alias("dst"), F.col("dst").alias("_next")), "dst", "left").select("src", F.coalesce("_next", "dst").alias("dst")))
+    return step.join(stays.withColumnRenamed("src", "dst"), "dst", "left_semi").filter("NOT startswith(src, '__')").select("src", "dst")
+
+
+def text_slices(spans: DataFrame, windows: DataFrame, group: str) -> DataFrame:
+    """(group, slot, text): of each span (group, start_sec, end_sec, text) the share that its overlap with a window (group, slot, s, e) has in time, in order."""
+    both = spans.join(windows, group).filter((F.col("end_sec") > F.col("s")) & (F.col("start_sec") < F.col("e")) & (F.col("text") != ""))
+    long = F.greatest(F.lit(1e-6), F.col("end_sec") - F.col("start_sec"))
+    a = F.floor(F.length("text") * F.greatest(F.lit(0.0), (F.col("s") - F.col("start_sec")) / long)).cast("int")
+    b = F.ceil(F.length("text") * F.least(F.lit(1.0), (F.col("e") - F.col("start_sec")) / long)).cast("int")
+    part = F.col("text").substr(a + 1, F.greatest(F.lit(0), b - a))
+    rows = both.groupBy(group, "slot").agg(F.array_sort(F.collect_list(F.struct("start_sec", "end_sec", part.alias("t")))).alias("x"))
+    return rows.select(group, "slot", F.array_join(F.transform("x", lambda r: r["t"]), "").alias("text"))
+
+
+def may_reuse(stored: Column, expected: Column, adopt_missing: bool = True) -> Column:
+    """Whether an artifact's stored marks (a map, null if there are none) hold all expected ones; without any, whether it is adopted."""
+    holds = F.forall(F.map_entries(expected), lambda e: F.coalesce(F.get(F.map_values(F.map_filter(stored, lambda k, v: k == e["key"])), F.lit(0)) == e["value"], F.lit(False)))
+    return F.when(stored.isNull(), F.lit(adopt_missing)).otherwise(holds)
