@@ -21,9 +21,17 @@ def unique_grams(grams: DataFrame) -> DataFrame:
     return grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("pos").alias("pos"), F.min(grams.columns[0]).alias(grams.columns[0])).filter("n = 1").drop("n")
 
 
+def among(grams: DataFrame, known: DataFrame, max_broadcast: int = 500_000) -> DataFrame:
+    """Rows of grams whose gram known has, too: by a broadcast of known up to a counted bound, so that other grams are never shuffled, else by a shuffle."""
+    keys = known.select("gram").distinct()
+    few = keys.limit(max_broadcast + 1).count() <= max_broadcast
+    return grams.join(F.broadcast(keys) if few else keys, "gram", "left_semi").select(grams.columns)
+
+
 def anchors(a: DataFrame, b: DataFrame) -> DataFrame:
     """Grams unique on both sides: pairs of places that must be the same passage."""
-    x, y = unique_grams(a), unique_grams(b)
+    x = unique_grams(a)
+    y = unique_grams(among(b, x))
     ka, kb = a.columns[0], b.columns[0]
     return x.select(F.col(ka).alias("a"), F.col("pos").alias("a_pos"), "gram").join(y.select(F.col(kb).alias("b"), F.col("pos").alias("b_pos"), "gram"), "gram")
 
@@ -75,13 +83,16 @@ def warp(times: DataFrame, anchors_: DataFrame, group: str, at: str) -> DataFram
     return both.filter("ask = 1").select(group, F.col("t").alias(at), shift.alias("warped"))
 
 
-def gram_similarity(a: DataFrame, b: DataFrame, common: float = 0.3) -> DataFrame:
-    """(a, b, score): IDF-weighted share of a's distinct grams that b has; grams in more than common of b's rows are left out."""
+def gram_similarity(a: DataFrame, b: DataFrame, common: float = 0.3, rows: DataFrame | None = None) -> DataFrame:
+    """(a, b, score): IDF-weighted share of a's distinct grams that b has; grams in more than common of b's rows are left out.
+
+    rows has one row with n, the number of b's rows that have a gram; without it they are counted from the grams.
+    """
     ka, kb = a.columns[0], b.columns[0]
-    y = b.select(F.col(kb).alias("b"), "gram").distinct()
-    n = F.broadcast(y.agg(F.countDistinct("b").alias("n")))  # one row
+    n = F.broadcast(b.agg(F.countDistinct(kb).alias("n")) if rows is None else rows)  # one row
+    y = among(b, a).select(F.col(kb).alias("b"), F.xxhash64("gram").alias("gram")).distinct()
     df = y.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(n).filter(F.col("df") <= common * F.col("n")).select("gram", F.log(1 + F.col("n") / F.col("df")).alias("idf"))
-    x = a.select(F.col(ka).alias("a"), "gram").distinct().join(df, "gram")
+    x = a.select(F.col(ka).alias("a"), F.xxhash64("gram").alias("gram")).distinct().join(df, "gram")
     total = x.groupBy("a").agg(F.sum("idf").alias("total"))
     hit = x.join(y, "gram").groupBy("a", "b").agg(F.sum("idf").alias("hit"))
     return hit.join(total, "a").select("a", "b", (F.col("hit") / F.col("total")).alias("score"))

@@ -205,7 +205,7 @@ def q1_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q5_lecture_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _grams(spark, sf_dir)
     once = a.select("item_id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("n"), F.min("item_id").alias("a")).filter("n = 1").drop("n")
-    return once.join(b.select(F.col("doc_id").alias("b"), "gram"), "gram").groupBy("a", "b").agg(F.countDistinct("gram").alias("votes"))
+    return once.join(A.among(b, once).select(F.col("doc_id").alias("b"), "gram"), "gram").groupBy("a", "b").agg(F.countDistinct("gram").alias("votes"))
 
 
 @query(
@@ -214,7 +214,9 @@ def q5_lecture_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     x AS (SELECT DISTINCT a, gram, idf FROM ga JOIN df USING (gram)), tot AS (SELECT a, sum(idf) AS total FROM x GROUP BY a), h AS (SELECT a, b, sum(idf) AS hit FROM x JOIN y USING (gram) GROUP BY a, b) SELECT a, b, round(hit / total, 6) AS score FROM h JOIN tot USING (a)""",
 )
 def q3_gram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.gram_similarity(*_grams(spark, sf_dir)).select("a", "b", F.round("score", 6).alias("score"))
+    words = T.tokens(F.col("text"))
+    n = table(spark, sf_dir, "documents").filter(F.size(words) >= 4).agg(F.countDistinct("doc_id").alias("n"))
+    return A.gram_similarity(*_grams(spark, sf_dir), rows=n).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query(
