@@ -77,9 +77,9 @@ def learned_languages(docs: DataFrame, rules: LanguageRules = LanguageRules(), t
 
 def fit_languages(sample: list[tuple[str, str]], rules: LanguageRules = LanguageRules()) -> Crf | None:
     by: dict[str, list[str]] = {}
-    rng = random.Random(11)
+    rng, once = random.Random(11), {}  # one string per distinct word
     for lang, text in random.Random(7).sample(sample, len(sample)):
-        words = [w for w in map(clean_word, text.lower().split()) if any(c.isalpha() for c in w)]
+        words = [once.setdefault(w, w) for w in map(clean_word, text.lower().split()) if any(map(str.isalpha, w))]
         if len(by.setdefault(lang, [])) < rules.words_per_language:
             at = rng.randrange(max(1, len(words) - rules.words_per_language + 1))
             by[lang] += words[at : at + rules.words_per_language]

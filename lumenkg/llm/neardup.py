@@ -294,7 +294,7 @@ def _shared(values: np.ndarray, ends: np.ndarray, u: np.ndarray, v: np.ndarray)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, rules: NearDupRules = NearDupRules(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per input row: id, text_hash (xxhash64), n_shingles, component_id (smallest id linked with it, itself included), kept."""
+    """One row per input row: id, text_hash (xxhash64), part (number of its component, null for an empty set), n_shingles, component_id (smallest id linked with it, itself included), kept."""
     prepare(spark)
     rows = checkpointed(signatures(docs, rules, text, key))
     named = rows.filter("cid IS NOT NULL AND id IS NOT NULL").groupBy("cid").agg(F.min("id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
@@ -310,14 +310,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, rules: NearDupRules =
     links = reduce(DataFrame.unionByName, (df.select("node", "hub") for df in (tested.filter("linked"), met.filter("sure"), confirmed)))
     parts = connected_components(links, "node", "hub").select("node", "component")
     first = parts.join(classes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    moved = parts.join(first, "component").join(classes.select("node", "cid"), "node").select("cid", "component_id")
-    out = rows.select("id", "text_hash", "n_shingles", "cid").join(classes.select("cid", "first_id"), "cid", "left").join(moved, "cid", "left")
+    moved = parts.join(first, "component").join(classes.select("node", "cid"), "node").select("cid", "component", "component_id")
+    out = rows.select("id", "text_hash", "n_shingles", "cid").join(classes.select("cid", "first_id", "node"), "cid", "left").join(moved, "cid", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "first_id", "id"))
-    return out.select(F.col("id").alias(key), "text_hash", "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    return out.select(F.col("id").alias(key), "text_hash", F.coalesce("component", "node").alias("part"), "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept"))
 
 
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, table(spark, sf_dir, "documents")).drop("text_hash")
+    return near_duplicates(spark, table(spark, sf_dir, "documents")).drop("text_hash", "part")
 
 
 OP5_SQL = r"""

@@ -8,17 +8,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenkg.llm.common import checkpointed, fresh_name, prepare, table
+from lumenkg.llm.common import checkpointed, prepare, table
 from lumenkg.llm.neardup import near_duplicates
 from lumenkg.llm.packing import pack_documents
 from lumenkg.llm.pii import base_spans, find_personal_data
 from lumenkg.llm.quality import QualityRules, clean_documents
-from lumenkg.llm.toxicity import ADDED, ToxicityRules, learned_toxicity, score_toxicity
+from lumenkg.llm.toxicity import ToxicityRules, learned_toxicity, score_toxicity
 
 #: A line in more distinct texts of a source is boilerplate, also where 1 % of the source's texts is more.
 LINE_MAX_DOCS = 1000
 
 
+def numbered(docs: DataFrame, *columns: str) -> tuple:
+    """docs with columns named c0, c1, ... since others may have any name, and the new names of some."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), *[f"c{docs.columns.index(c)}" for c in columns]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without their lines above limits; null and empty texts are rejected as too short, repeated rows are judged alike."""
     return clean_documents(spark, docs, QualityRules(line_max_docs=LINE_MAX_DOCS))
@@ -33,27 +38,27 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     prepare(spark)
     rules = ToxicityRules()
     model = learned_toxicity(docs, table(spark, sf_dir, "labels"), rules)
-    added = {c: fresh_name(c, docs.columns) for c in ADDED}
-    out = score_toxicity(spark, docs, model, rules, carry=tuple(docs.columns), added=added)
-    return out.filter(F.col(added["predicted"]) == 0).select(docs.columns)
+    plain, text = numbered(docs, "text")
+    return score_toxicity(spark, plain, model, rules, text, carry=tuple(plain.columns)).filter("predicted = 0").select(plain.columns).toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id.
 
-    Of rows that repeat an id, those of other groups go as they would under an id of their
-    own; near or exact copies under one id leave one row, of the text with the smallest
-    hash.  Rows with a null id and documents without words are copies of nothing and stay.
+    Of rows that repeat an id, those of different groups are judged apart; near or exact
+    copies under one id leave one row, of the text with the smallest hash.  Rows with a null id and documents without words are copies of nothing and stay.
     """
-    near = checkpointed(near_duplicates(spark, docs).filter("doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.bool_and("kept").alias("kept"), F.max("n_shingles").alias("words"), F.count("*").alias("n")))
-    stays = near.filter("kept AND words > 0").groupBy("doc_id").agg(F.min("text_hash").alias("stays"))
-    gone = near.join(stays, "doc_id", "left").filter("NOT kept OR (words > 0 AND text_hash != stays)").select("doc_id", "text_hash")
-    rows = docs.alias("d").join(gone.alias("g"), (F.col("d.doc_id") == F.col("g.doc_id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("g.text_hash")), "left_anti")
-    repeated = near.filter("n > 1 AND words > 0").select("doc_id").distinct()
-    if repeated.isEmpty():
-        return rows
-    twice = rows.join(repeated, "doc_id", "left_semi").select(docs.columns)
-    return rows.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(twice.dropDuplicates(["doc_id", "text"]))
+    near = near_duplicates(spark, docs).filter("doc_id IS NOT NULL AND n_shingles > 0")
+    near = checkpointed(near.groupBy("doc_id", "text_hash").agg(F.first("part").alias("part"), F.bool_and("kept").alias("kept"), F.count("*").alias("n")))
+    stays = near.filter("kept").groupBy("doc_id", "part").agg(F.min("text_hash").alias("stays"))
+    gone = near.join(stays, ["doc_id", "part"], "left").filter("NOT kept OR text_hash != stays").select("doc_id", "text_hash")
+    plain, key, text = numbered(docs, "doc_id", "text")
+    rows = plain.join(gone, (F.col(key) == F.col("doc_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("text_hash")), "left_anti")
+    repeated = near.filter("n > 1").select(F.col("doc_id").alias(key)).distinct()
+    if not repeated.isEmpty():
+        twice = rows.join(repeated, key, "left_semi").select(plain.columns)
+        rows = rows.join(repeated, key, "left_anti").select(plain.columns).unionByName(twice.dropDuplicates([key, text]))
+    return rows.toDF(*docs.columns)
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -75,9 +80,8 @@ def mask_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, max_broadcast:
     length; no row goes.
     """
     names = docs.columns
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # other columns may have any name
-    text = f"c{names.index('text')}"
-    keyed = plain.withColumn("_h", F.xxhash64(f"c{names.index('doc_id')}", text))
+    plain, key, text = numbered(docs, "doc_id", "text")
+    keyed = plain.withColumn("_h", F.xxhash64(key, text))
     extra = find_personal_data(spark, keyed, text=text, key="_h").filter(F.size("extra") > 0).select("_h", "extra").dropDuplicates(["_h"])
     extra = checkpointed(extra)
     few = extra.limit(max_broadcast + 1).count() <= max_broadcast

@@ -107,8 +107,9 @@ def toxic_units(tokens: list[tuple[int, list[str]]], rules: ToxicityRules) -> se
 def fit_toxicity(sample: list[tuple[int, str]], rules: ToxicityRules = ToxicityRules()) -> Crf:
     rng = random.Random(3)
     tokens, opened, closed = [], set(), set()
+    once: dict[str, str] = {}  # one string per distinct word, however often it occurs
     for y, t in rng.sample(sample, len(sample)):
-        words = [w for w in map(clean_word, t.lower().split()) if w]
+        words = [once.setdefault(w, w) for w in map(clean_word, t.lower().split()) if w]
         head, tail = (y, *words[: rules.edge_words]), (y, *words[-rules.edge_words :])
         if words and head not in opened and tail not in closed:
             tokens.append((y, words))
