@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lumenkg.operators import cards as C
 from lumenkg.operators import course as O
 from lumenkg.operators import graph as G
+from lumenkg.operators import replies as P
 from lumenkg.operators import scoring as S
 from lumenkg.plans.rules import pick, pick_sql
 from lumenkg.registry import query
@@ -120,3 +121,24 @@ def a21_course_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     for p in parts[1:]:
         out = out.crossJoin(F.broadcast(p))
     return out
+
+
+# Replies, and what is to be read from each, worked out by hand.
+REPLIES = ['{"keep": ["图论/graph", "集合"]}', 'Here: {"seeds": ["树"]} done', '["树/tree", "other", "树"]', '1. 图论\n2) [alias] "集合/sets"\nnothing', '{"keep": "树"}', "", "broken { json", '```json\n{"keep": [" 集合 ", ""]}\n```', '{"other": 1}']
+KEPT = ["图论/graph theory,集合/sets", "树/tree", "树/tree", "图论/graph theory,集合/sets", "树/tree", "", "", "集合/sets", ""]
+
+
+@query("x19_kept_names", f"SELECT event_id, {pick_sql(KEPT, 'event_id')} AS names FROM events")
+def x19_kept_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    allowed = F.array(*map(F.lit, ["图论/graph theory", "集合/sets", "树/tree", "树/wood"]))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(P.kept_names(pick(REPLIES, F.col("event_id")), allowed), ",").alias("names"))
+
+
+CHECKS = ['{"results": [{"index": 0, "action": "pass"}, {"index": 1, "pass": true}, {"index": "x"}, 5]}', 'so: {"results": [{"index": 2, "pass": false}]}.', "[]", "no", '```\n{"results": []}\n```']
+VERDICTS = ["0=pass,1=pass", "2=fix", "", "", ""]
+
+
+@query("x19_verdicts", f"SELECT event_id, {pick_sql(VERDICTS, 'event_id')} AS verdicts FROM events")
+def x19_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.transform(P.verdicts(pick(CHECKS, F.col("event_id"))), lambda v: F.concat(v["index"].cast("string"), F.lit("="), v["action"]))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(found, ",").alias("verdicts"))
