@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lumenkg.operators import cards as C
 from lumenkg.operators import course as O
+from lumenkg.operators import entities as E
 from lumenkg.operators import graph as G
 from lumenkg.operators import replies as P
 from lumenkg.operators import scoring as S
@@ -142,3 +143,30 @@ VERDICTS = ["0=pass,1=pass", "2=fix", "", "", ""]
 def x19_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.transform(P.verdicts(pick(CHECKS, F.col("event_id"))), lambda v: F.concat(v["index"].cast("string"), F.lit("="), v["action"]))
     return table(spark, sf_dir, "events").select("event_id", F.array_join(found, ",").alias("verdicts"))
+
+
+_ZH = "trim(split_part(root, '/', 1))"
+_EN = "CASE WHEN contains(root, '/') THEN trim(regexp_replace(root, '^[^/]*/', '')) ELSE '' END"
+_FOLD = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
+_SCORE = "CASE WHEN root IN (FROM tb) THEN 100 ELSE 0 END + CASE WHEN en <> '' THEN 20 ELSE 0 END + CASE WHEN en <> '' AND en = lower(en) THEN 8 ELSE 0 END + CASE WHEN regexp_matches(en, '^[A-Z]') AND substr(en, 2) = lower(substr(en, 2)) THEN 2 ELSE 0 END + least(length(root), 40) * 0.01"
+_STAGES = [
+    _FOLD.format("root"),
+    f"zh || chr(9) || {_FOLD.format('en')}",
+    "CASE WHEN length(zh) >= 2 THEN zh END",
+    f"CASE WHEN length(regexp_replace({_FOLD.format('en')}, '[\\s\\-_.]+', '', 'g')) >= 4 THEN {_FOLD.format('en')} END",
+]
+_STEPS = ", ".join(
+    f"""k{i} AS (SELECT root, {key} AS key, {_SCORE} AS score, CASE WHEN length(zh) >= 2 THEN zh END AS z FROM (SELECT DISTINCT root, {_ZH} AS zh, {_EN} AS en FROM s{i})),
+    b{i} AS (SELECT key, first(root ORDER BY score DESC, root) AS best FROM k{i} WHERE key <> '' GROUP BY key {"HAVING count(DISTINCT z) <= 1" if i == 3 else ""}), s{i + 1} AS (SELECT name, coalesce(best, s.root) AS root FROM s{i} s LEFT JOIN k{i} k ON k.root = s.root LEFT JOIN b{i} b ON b.key = k.key)"""
+    for i, key in enumerate(_STAGES)
+)
+_MADE = "CASE p_partkey % 7 WHEN 0 THEN upper(p_type) WHEN 1 THEN p_type || '/' || lower(p_name) WHEN 2 THEN p_type || '/' || upper(p_name) WHEN 3 THEN 'x/' || p_name WHEN 4 THEN p_brand || '/' || p_type WHEN 5 THEN p_type || ' / ' || p_brand ELSE p_type END"
+
+
+@query("g10_staged_merge", f"WITH s0 AS (SELECT DISTINCT trim({_MADE}) AS name, trim({_MADE}) AS root FROM part), tb AS (SELECT DISTINCT p_type FROM part WHERE p_size > 40), {_STEPS} SELECT name AS alias, root AS canonical FROM s4 WHERE name <> root")
+def g10_staged_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey") % 7
+    t, n, b = F.col("p_type"), F.col("p_name"), F.col("p_brand")
+    slash = lambda *x: F.concat(*x)
+    made = F.when(k == 0, F.upper(t)).when(k == 1, slash(t, F.lit("/"), F.lower(n))).when(k == 2, slash(t, F.lit("/"), F.upper(n))).when(k == 3, slash(F.lit("x/"), n)).when(k == 4, slash(b, F.lit("/"), t)).when(k == 5, slash(t, F.lit(" / "), b)).otherwise(t)
+    return E.staged_merge(p.select(made.alias("name")), p.filter("p_size > 40").select(t.alias("name")))
