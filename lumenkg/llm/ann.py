@@ -14,7 +14,7 @@ walks the tree with a priority queue ordered by its inner product with the centr
 
 Leaves are scored in blocks of bounded size: neighbouring small leaves share a block, a
 leaf with a third of all vectors becomes many, which every query that visits the leaf
-meets one by one, so nothing is dropped.  A block that more than block_queries queries
+meets one by one, so nothing is dropped; what lies below a query's floor stays there.  A block that more than block_queries queries
 visit is copied once for each so many of them; others are sent to one task once.
 
 Cases: vectors that are null, empty, zero, of another length than most, or that hold null,
@@ -164,8 +164,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, leaf: np.ndarray | None = None, visited: list | None = None) -> tuple[list, list, list]:
-    """For each query its k best of x (of its visited leaves) but itself; scores are summed per pair alike, so equal vectors tie exactly."""
+def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, leaf: np.ndarray | None = None, visited: list | None = None, floors: list | None = None) -> tuple[list, list, list]:
+    """For each query its k best of x (of its visited leaves, at or above its floor) but itself; scores are summed per pair alike, so equal vectors tie exactly."""
     out: tuple[list, list, list] = ([], [], [])
     order = np.argsort(ids, kind="stable")
     x, ids = x[order], ids[order]
@@ -194,6 +194,8 @@ def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k:
                 near = open_[scores >= floor - slack] if math.isfinite(slack) and math.isfinite(floor) else open_
                 exact = np.nan_to_num((x[near] * own).sum(axis=1), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
                 top = np.argsort(-exact, kind="stable")[:k]
+                if floors is not None and floors[at + i] is not None:
+                    top = top[exact[top] >= floors[at + i]]
                 out[0].extend([int(q_ids[at + i])] * len(top))
                 out[1].extend(ids[near[top]].tolist())
                 out[2].extend(exact[top].tolist())
@@ -291,7 +293,7 @@ def search(spark: SparkSession, rows: DataFrame, is_query, rules: TreeRules = Tr
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first[leaf, 0] + spread % first[leaf, 1], pa.int64())], ["id", "v", "leaf", "b"])
 
     def visitors(queries: DataFrame, margin: float | None) -> DataFrame:
-        """(id, v, b, leaves): each query with the blocks that it visits, and its leaves there."""
+        """(id, v, floor, b, leaves): each query with the blocks that it visits, and its leaves there."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, rows_of = blocks.value
@@ -310,16 +312,16 @@ def search(spark: SparkSession, rows: DataFrame, is_query, rules: TreeRules = Tr
                         for b in range(start, start + own) if rows_of[leaf] else ():
                             by.setdefault(b, []).append(leaf)
                     met.append([{"b": b, "leaves": sorted(x)} for b, x in by.items()])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(met, kind)], ["id", "v", "met"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(met, kind)], ["id", "v", "floor", "met"])
 
-        met = queries.select("id", "v", "floor").mapInArrow(run, "id long, v array<double>, met array<struct<b:long,leaves:array<long>>>")
-        return met.select("id", "v", F.explode("met").alias("m")).select("id", "v", "m.b", "m.leaves")
+        met = queries.select("id", "v", "floor").mapInArrow(run, "id long, v array<double>, floor double, met array<struct<b:long,leaves:array<long>>>")
+        return met.select("id", "v", "floor", F.explode("met").alias("m")).select("id", "v", "floor", "m.b", "m.leaves")
 
     def score(x: pa.Table, q: pa.Table) -> pa.Table:
         found: tuple[list, list, list] = ([], [], [])
         if x.num_rows and q.num_rows:
             vectors_of = lambda t: _matrix(t.column("v").combine_chunks())
-            found = best_of(vectors_of(q), q.column("id").to_numpy(), vectors_of(x), x.column("id").to_numpy(), rules.k, x.column("leaf").to_numpy(), q.column("leaves").to_pylist())
+            found = best_of(vectors_of(q), q.column("id").to_numpy(), vectors_of(x), x.column("id").to_numpy(), rules.k, x.column("leaf").to_numpy(), q.column("leaves").to_pylist(), q.column("floor").to_pylist())
         return pa.Table.from_batches([_table(found)])
 
     def scored(queries: DataFrame, margin: float | None) -> DataFrame:
@@ -327,7 +329,7 @@ def search(spark: SparkSession, rows: DataFrame, is_query, rules: TreeRules = Tr
         parts = asked.groupBy("b").agg(F.ceil(F.count("*") / rules.block_queries).alias("parts"))
         left = held.mapInArrow(placed, "id long, v array<double>, leaf long, b long").join(parts, "b").withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         right = asked.join(parts, "b").withColumn("g", F.pmod(F.xxhash64("id"), "parts"))
-        found = left.select("b", "g", "id", "v", "leaf").groupBy("b", "g").cogroup(right.select("b", "g", "id", "v", "leaves").groupBy("b", "g")).applyInArrow(score, FOUND)
+        found = left.select("b", "g", "id", "v", "leaf").groupBy("b", "g").cogroup(right.select("b", "g", "id", "v", "floor", "leaves").groupBy("b", "g")).applyInArrow(score, FOUND)
         return ranked(found, rules.k)
 
     queries = vectors.filter(is_query(F.col("id")))
