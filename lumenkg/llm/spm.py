@@ -2,12 +2,12 @@
 
 The model normalises nothing but the space, which becomes a marker, and no piece holds a
 marker after another character.  So pieces never cross the start of a run of markers: a
-text is cut there into parts (markers and the word after them).  The distinct parts of the
-whole corpus, with their numbers, make a table in the shared folder, in which each is
-segmented once; ids are joined back by position inside each task, so neither texts nor
+text is cut there into parts (markers and the word after them).  The parts of the whole
+corpus are counted; the distinct ones that occur more than once make a table in the shared
+folder, in which each is segmented once; ids are joined back by position inside each task, so neither texts nor
 positions are shuffled.  The join looks parts up in the most frequent rows of the table,
-broadcast within a bound (table_rows of at most part_chars characters); the rare parts
-beyond it are segmented where they occur, which gives the same ids.  A model whose pieces
+broadcast within a bound (table_rows of at most part_chars characters); parts beyond it,
+rare ones and those that occur once, are segmented where they occur, with the same ids.  A model whose pieces
 do cross markers is encoded whole.
 
 Cases: null texts count as empty and give no ids and an empty text; repeated rows are each
@@ -49,7 +49,8 @@ class ChunkTable:
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        self.max_chunks, self.known, self.memo = max_chunks, known or {}, {}
+        self.max_chunks, self.known = max_chunks, known or {}
+        self.memo = dict(self.known)
         pieces = map(self.sp.id_to_piece, range(self.sp.get_piece_size()))
         # What the cut relies on: no marker inside a piece, a marker added in front, all else left as it is.
         odd = "x  \t\ny 　é"
@@ -80,19 +81,19 @@ class ChunkTable:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return [np.array(x, "<i4").tobytes() for x in self.sp.encode(texts, out_type=int, num_threads=1)]
-        if len(self.memo) > self.max_chunks:
-            self.memo = {}
-        known, memo, cut = self.known, self.memo, [self.parts(t) for t in texts]
-        missing = list({p for parts in cut for p in parts if p not in known and p not in memo})
+        if len(self.memo) > len(self.known) + self.max_chunks:
+            self.memo = dict(self.known)
+        memo, cut = self.memo, [self.parts(t) for t in texts]
+        missing = list({p for parts in cut for p in parts if p not in memo})
         memo.update(zip(missing, self.segmented(missing)))
-        return [b"".join([known.get(p) or memo[p] for p in parts]) for parts in cut]
+        return [b"".join(map(memo.__getitem__, parts)) for parts in cut]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.sp.decode(ids, num_threads=1)
 
 
 def distinct_chunks(spark: SparkSession, docs: DataFrame, model_path: str, rules: ChunkRules = ChunkRules(), text: str = "text") -> DataFrame:
-    """(part, n, ids) of every distinct part of the corpus within part_chars, segmented once; in the shared folder."""
+    """(part, n, ids) of every distinct part of the corpus within part_chars that occurs n > 1 times, segmented once; in the shared folder."""
     prepare(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +116,7 @@ def distinct_chunks(spark: SparkSession, docs: DataFrame, model_path: str, rules
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunks.segmented(batch.column(0).to_pylist()), pa.binary())], ["part", "n", "ids"])
 
-    counted = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.col(text).cast("string").alias("t")).mapInArrow(count, "part string, n long").groupBy("part").agg(F.sum("n").alias("n")).filter("n > 1")
     return checkpointed(counted.mapInArrow(segment, "part string, n long, ids binary"))
 
 
@@ -124,8 +125,16 @@ def encode_decode(spark: SparkSession, docs: DataFrame, model_path: str, text: s
     prepare(spark)
     known = {}
     if ChunkTable(model_path).cuts:
-        frequent = distinct_chunks(spark, docs, model_path, rules, text).filter("n > 1").orderBy(F.desc("n"), "part").limit(rules.table_rows)
-        known = {r.part: bytes(r.ids) for r in frequent.select("part", "ids").toLocalIterator()}
+        found = distinct_chunks(spark, docs, model_path, rules, text)
+        # The least count whose parts, with all more frequent ones, keep within the bound; no sort of the table is needed.
+        room, least = rules.table_rows, None
+        for r in sorted(found.groupBy("n").agg(F.count("*").alias("rows")).collect(), key=lambda r: -r.n):
+            if r.rows > room:
+                break
+            room, least = room - r.rows, r.n
+        if least is not None:
+            got = found.filter(F.col("n") >= least).select("part", "ids").toArrow()
+            known = dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
     shared = spark.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
