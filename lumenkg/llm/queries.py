@@ -1,8 +1,11 @@
 """Queries of the training-data operators, with SQL where SQL can express them."""
 
 from lumenkg.llm.ann import op9_kmeans_tree_search
+from lumenkg.llm.clusters import OP12_SQL, op12_centroid_clusters
 from lumenkg.llm.html_extract import op6_block_html
 from lumenkg.llm.langid import op4_crf_language
+from lumenkg.llm.linededup import OP13_SQL, op13_line_dedup
+from lumenkg.llm.merkle import OP11_SQL, op11_merkle_manifest
 from lumenkg.llm.neardup import OP5_SQL, op5_minhash_neardup
 from lumenkg.llm.packing import op1_hierarchical_packing
 from lumenkg.llm.pii import op7_bootstrapped_pii
@@ -22,6 +25,16 @@ QUERIES = {
     "op8_url_sweep": op8_url_sweep,
     "op9_kmeans_tree_search": op9_kmeans_tree_search,
     "op10_line_quality": op10_line_quality,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_line_dedup": op13_line_dedup,
 }
 
-ORACLES = {"op5_minhash_neardup": OP5_SQL, "op8_url_sweep": OP8_SQL, "op10_line_quality": OP10_SQL}
+ORACLES = {
+    "op5_minhash_neardup": OP5_SQL,
+    "op8_url_sweep": OP8_SQL,
+    "op10_line_quality": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op12_centroid_clusters": OP12_SQL,
+    "op13_line_dedup": OP13_SQL,
+}
