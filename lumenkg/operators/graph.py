@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,9 +21,16 @@ def shared_checkpoints(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back."""
-    shared_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as Parquet to the shared checkpoint folder and read it back: lineage is cut, and lost executors lose nothing.
+
+    A table read back has its true size.  checkpoint() keeps the estimate of its plan instead, which joins of
+    round after round multiply into numbers of any length, so that planning outlasts the work.
+    """
+    spark = df.sparkSession
+    shared_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85, seeds: DataFrame | None = None) -> DataFrame:

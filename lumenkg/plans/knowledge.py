@@ -37,7 +37,7 @@ def g7_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.synonym_map(spark.range(300).filter(i % 5 != 0).select(F.concat(F.lit("n"), i).alias("subject"), F.concat(F.lit("n"), i + 7).alias("object")))
 
 
-STATS_SQL = f"{TRIPLETS_SQL}, x AS (SELECT subject AS e, relation, 1 AS s, lecture FROM t UNION ALL SELECT object, relation, 0, lecture FROM t), st AS (SELECT e AS entity, count(*) AS degree, sum((relation = 'related_with' AND s = 1)::INT) AS attr, sum((relation = 'related_with' AND s = 0)::INT) AS owner FROM x WHERE lecture < 1 GROUP BY e)"
+STATS_SQL = f"{TRIPLETS_SQL}, x AS (SELECT subject AS e, relation, 1 AS s, lecture FROM t UNION ALL SELECT object, relation, 0, lecture FROM t), st AS (SELECT e AS entity, count(*) AS degree, sum((relation = 'related_with' AND s = 1)::INT) AS attr, sum((relation = 'related_with' AND s = 0)::INT) AS owner FROM x GROUP BY e)"
 
 
 @query("f12_triage", f"WITH {STATS_SQL} SELECT entity, CASE WHEN entity = 'S1' THEN 'drop' WHEN right(entity, 1) = '7' THEN 'merge' WHEN attr > 0 AND degree <= 2 AND owner = 0 THEN 'drop' ELSE 'keep' END AS decision FROM st")
