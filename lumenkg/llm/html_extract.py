@@ -1,11 +1,14 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags.  Blocks inside menus, forms, scripts and
-the like, or inside elements whose class, id or role names such a part, are dropped.
+the like, or inside elements whose class, id or role is the name of such a part and of
+nothing else (comment-list, site-footer), are dropped, articles nested in them too.  A name that only holds such a word
+(share-of-market) is a feature: its blocks are judged as if no article were marked around them.
 First pass: stop-word density, length and link density label every other block good,
 near, short or bad; that the page marks a block as part of its article is one more
 feature: it allows more links, and makes a long block of low density near, not bad, while
-text outside a marked article is bad.  Second pass: near blocks are good unless bad ones
+text outside a marked article is bad.  On a page whose blocks hardly hold any listed stop
+word, in a language that the list does not know, density says nothing and length decides.  Second pass: near blocks are good unless bad ones
 stand on both sides; then short ones take the label of the nearest decided block in the
 same part of the page.
 
@@ -67,6 +70,15 @@ NAME_PARTS = re.compile(r"[A-Za-z]+")
 # Parts of a name that tell of a layout around other parts, or of a part of the article.
 LAYOUT_PARTS = frozenset("layout has with without no grid col columns template theme".split())
 ARTICLE_PARTS = frozenset("article content entry post story".split())
+#: Parts of a name that say where or in what shape a part stands, not what it is.
+SHAPE_PARTS = frozenset(
+    """area bar block body bottom box button buttons card center column container desktop feed first float footer global group head heading holder
+    icon icons inline inner item items js label last layer left line link links list main mobile module nav outer overlay page pages
+    panel posts primary rail region right row secondary section site slot small space stack sticky strip tab tabs text thread title
+    top tree ui unit view wrap wrapper zone""".split()
+)
+#: Dropped elements that pages leave open by mistake: an article inside ends them.
+LEFT_OPEN = frozenset("head header button option select".split())
 WORD = re.compile(r"\w+")
 
 
@@ -78,6 +90,8 @@ class BlockRules:
     long_chars: int = 200
     stop_low: float = 0.30
     stop_high: float = 0.32
+    #: A page whose long blocks have less than this share of stop words is in a language that the list does not know.
+    stop_known: float = 0.12
 
 
 @dataclass
@@ -85,24 +99,32 @@ class Block:
     text: str
     link_chars: int
     in_article: bool
+    suspect: bool = False
     label: str = ""
 
 
-def _dropped_by_name(attributes: str) -> bool:
-    """Whether a name in class, id or role is that of a dropped part, alone or among others (ad-slot), but for layouts (has-sidebar) and the article's own header."""
-    for m in NAMED.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").lower().split():
-            parts = set(NAME_PARTS.findall(name))
-            named = parts & DROPPED_NAMES
-            if named and not parts & LAYOUT_PARTS and not (named == {"header"} and parts & ARTICLE_PARTS):
-                return True
-    return False
+def _named(attributes: str, of_article: bool = False) -> str:
+    """`drop` where a name in class, id or role is that of a dropped part, alone or with words of shape (ad-slot); `suspect` where it holds such a word beside others; else nothing.
+
+    Layouts (has-sidebar), the article's own header, and articles that name themselves as such too, are neither.
+    """
+    found = ""
+    names = [set(NAME_PARTS.findall(n)) for m in NAMED.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split()]
+    if of_article and any(parts & ARTICLE_PARTS for parts in names):
+        return ""
+    for parts in names:
+        named = parts & DROPPED_NAMES
+        if named and not parts & LAYOUT_PARTS and not (named == {"header"} and parts & ARTICLE_PARTS):
+            if parts <= DROPPED_NAMES | SHAPE_PARTS | ARTICLE_PARTS:
+                return "drop"
+            found = "suspect"
+    return found
 
 
 def blocks(page: str, by_name: bool = True) -> list[Block]:
     """Blocks of a page outside dropped elements, white space joined, in page order; without by_name only tags drop."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, in article
+    stack: list[tuple[str, bool, bool, bool, str]] = []  # name, dropped, in article, suspect, why it drops ("" where it does so by its parent)
     text: list[str] = []
     links: list[str] = []
     anchors, at, end = 0, 0, len(page)
@@ -112,7 +134,7 @@ def blocks(page: str, by_name: bool = True) -> list[Block]:
     def flush() -> None:
         joined = " ".join("".join(text).split())
         if joined:
-            out.append(Block(joined, len(" ".join("".join(links).split())), bool(stack) and stack[-1][2]))
+            out.append(Block(joined, len(" ".join("".join(links).split())), bool(stack) and stack[-1][2], bool(stack) and stack[-1][3]))
         text.clear()
         links.clear()
 
@@ -155,39 +177,47 @@ def blocks(page: str, by_name: bool = True) -> list[Block]:
             continue
         if name in VOID_TAGS or attributes.endswith("/"):
             continue
-        if name in ARTICLE_TAGS:  # an article ends whatever was left open around it and dropped
-            while stack and stack[-1][1] and stack[-1][0] not in ("nav", "aside", "footer"):
+        if name in ARTICLE_TAGS and stack and stack[-1][1] and {why for *_, why in stack if why} <= LEFT_OPEN:
+            while stack and stack[-1][1]:
                 close()
         ends = IMPLIED_ENDS.get(name)
         if name in BLOCK_TAGS and stack and stack[-1][0] == "p":
             close()
         if ends and stack and stack[-1][0] in ends:
             close()
-        up_dropped, up_article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        dropped = up_dropped or name in DROPPED_TAGS or (name == "header" and not up_article)
-        if by_name and not dropped and name not in ("html", "body") and name not in ARTICLE_TAGS and "=" in attributes:
-            dropped = _dropped_by_name(attributes)
+        _, up_dropped, up_article, suspect, _ = stack[-1] if stack else ("", False, False, False, "")
+        why = "" if up_dropped else name if name in DROPPED_TAGS or (name == "header" and not up_article) else ""
+        if by_name and not up_dropped and not why and name not in ("html", "body") and "=" in attributes:
+            said = _named(attributes, name in ARTICLE_TAGS)
+            why, suspect = said if said == "drop" else "", suspect or said == "suspect"
+        dropped = up_dropped or bool(why)
         if name in BLOCK_TAGS or dropped or name in ("span", "section"):
-            stack.append((name, dropped, up_article or name in ARTICLE_TAGS))
+            stack.append((name, dropped, up_article or name in ARTICLE_TAGS, suspect, why))
             opened[name] += 1
     flush()
     return out
 
 
-def _first_pass(block: Block, has_article: bool, rules: BlockRules) -> str:
-    n, inside = len(block.text), block.in_article
+def _density(text: str) -> float:
+    words = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def _first_pass(block: Block, has_article: bool, known: bool, rules: BlockRules) -> str:
+    n, lenient = len(block.text), block.in_article and not block.suspect
     links = block.link_chars / n
-    if has_article and not inside or links > (rules.max_article_link_density if inside else rules.max_link_density):
+    if has_article and not block.in_article or links > (rules.max_article_link_density if lenient else rules.max_link_density):
         return "bad"
-    if not inside and block.text.startswith(("©", "(c)")):
+    if not lenient and block.text.startswith(("©", "(c)")):
         return "bad"
     if n < rules.short_chars:
-        return "bad" if links and not inside else "short"
-    words = WORD.findall(block.text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        return "bad" if links and not lenient else "short"
+    if not known:
+        return "good" if n > rules.long_chars else "near"
+    density = _density(block.text)
     if density >= rules.stop_high and n > rules.long_chars:
         return "good"
-    return "near" if density >= rules.stop_low or inside else "bad"
+    return "near" if density >= rules.stop_low or lenient else "bad"
 
 
 def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
@@ -195,8 +225,10 @@ def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
         return ""
     found = blocks(page) or blocks(page, by_name=False)
     has_article = any(b.in_article for b in found)
+    long = " ".join(b.text for b in found if len(b.text) >= rules.short_chars and b.in_article == has_article)
+    known = not long or _density(long) >= rules.stop_known
     for b in found:
-        b.label = _first_pass(b, has_article, rules)
+        b.label = _first_pass(b, has_article, known, rules)
     open_ = [None if b.in_article != has_article else b.label for b in found]  # other parts of the page decide nothing
     for kind in ("near", "short"):
         around = _neighbours(found, open_)
