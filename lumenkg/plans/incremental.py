@@ -1,12 +1,16 @@
 """Incremental and streaming queries over events and conversations."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenkg.operators import folds
 from lumenkg.registry import query
+from lumenkg.sources.commits import VersionedTable, rebuild_changed
 from lumenkg.sources.tables import cues, table
 from lumenkg.streaming import ingest
+from lumenkg.streaming.resume import finished_chunks
 
 
 @query("t1_upsert_chunks", "SELECT user_id AS segment_id, arg_max(event_type, event_id) AS text, max(event_id) AS seq FROM events WHERE event_type <> 'view' GROUP BY user_id")
@@ -57,3 +61,35 @@ def w2_w3_merge_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w11_half_windows")
 def w11_half_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.half_windows(cues(spark, sf_dir), 60)
+
+
+@query(
+    "t6_finished_chunks",
+    """WITH c AS (SELECT user_id AS key, event_id AS seq, 'v' || (event_id // 2500) AS fingerprint, event_id % 9 AS chunk, event_type AS text FROM events),
+    n AS (SELECT *, (fingerprint IS DISTINCT FROM lag(fingerprint) OVER (PARTITION BY key ORDER BY seq))::INT AS fresh FROM c), r AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY seq) AS run FROM n)
+    SELECT key, seq, fingerprint, chunk, text FROM r QUALIFY row_number() OVER (PARTITION BY key, run, chunk ORDER BY seq) = 1""",
+)
+def t6_finished_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finished_chunks(chunk_events(spark, sf_dir))
+
+
+def chunk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks out of events: a user is a lecture, whose source changes every 2,500 events."""
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.concat(F.lit("v"), F.expr("event_id DIV 2500")).alias("fingerprint"), (F.col("event_id") % 9).alias("chunk"), F.col("event_type").alias("text")
+    )
+
+
+@query("t3_rebuilt_lectures", "SELECT user_id AS lecture, count(*) AS n, round(sum(value), 4)::DOUBLE AS total FROM events GROUP BY user_id")
+def t3_rebuilt_lectures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lectures built from the events before the last one of each user's, then rebuilt: only what changed is computed, and the table is that of all events."""
+    from lumenkg.operators.graph import shared_checkpoints
+
+    shared_checkpoints(spark)
+    out = VersionedTable(spark, f"{spark.sparkContext.getCheckpointDir()}/lectures-{uuid.uuid4().hex}")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("lecture"), "event_id", "value")
+    build = lambda rows: rows.groupBy("lecture").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    last = e.filter("lecture % 3 = 0").groupBy("lecture").agg(F.max("event_id").alias("event_id"))
+    rebuild_changed(out, e.join(last, ["lecture", "event_id"], "left_anti"), "lecture", build)
+    rebuild_changed(out, e, "lecture", build)
+    return out.read().drop("_digest")
