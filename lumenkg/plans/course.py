@@ -109,11 +109,10 @@ def f5_f6_specific_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("tok", V.overly_specific(F.col("tok")).alias("specific"), V.placeholder_entity(F.col("tok")).alias("placeholder"))
 
 
-@query("u2_union_graphs", f"WITH {TRIPLETS_SQL} SELECT subject, relation, object, min(cue) AS cue FROM t WHERE lecture IN (1, 2) GROUP BY subject, relation, object")
+@query("u2_union_graphs", f"WITH {TRIPLETS_SQL} SELECT subject, relation, object, min(cue) AS cue FROM t GROUP BY subject, relation, object")
 def u2_union_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = triplets(spark, sf_dir)
-    both = t.filter("lecture = 1").unionByName(t.filter("lecture = 2"))
-    return both.groupBy("subject", "relation", "object").agg(F.min("cue").alias("cue"))
+    """The graphs of all cues as one: an edge by subject, relation and object, with its first cue."""
+    return triplets(spark, sf_dir).groupBy("subject", "relation", "object").agg(F.min("cue").alias("cue"))
 
 
 @query("u8_filtered_relations", f"WITH {TRIPLETS_SQL} SELECT row_id, relation <> 'related_with' AS kept FROM t")
@@ -184,13 +183,14 @@ def a12_asset_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(kind.alias("k"), names.alias("entity")).groupBy("entity").agg(F.max("k").alias("boost"))
 
 
-@query("v7_window_duplicates", f"WITH {TRIPLETS_SQL} SELECT row_id, CASE WHEN EXISTS (SELECT 1 FROM t x WHERE x.lecture = 10 AND x.subject = t.subject AND x.relation = t.relation AND x.object = t.object) THEN 'lecture_existing' WHEN row_number() OVER (PARTITION BY subject, relation, object ORDER BY cue, row_id) > 1 THEN 'window_overlap' END AS reason FROM t WHERE lecture = 11")
+@query("v7_window_duplicates", f"WITH {TRIPLETS_SQL} SELECT row_id, CASE WHEN EXISTS (SELECT 1 FROM t x WHERE x.lecture = t.lecture - 1 AND x.subject = t.subject AND x.relation = t.relation AND x.object = t.object) THEN 'lecture_existing' WHEN row_number() OVER (PARTITION BY lecture, subject, relation, object ORDER BY cue, row_id) > 1 THEN 'window_overlap' END AS reason FROM t")
 def v7_window_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spo = ["subject", "relation", "object"]
+    """Each lecture's new edges against those of the lecture before it, and against themselves."""
+    spo = ["lecture", "subject", "relation", "object"]
     t = triplets(spark, sf_dir)
-    known = t.filter("lecture = 10").select(*spo).distinct().withColumn("known", F.lit(True))
+    known = t.withColumn("lecture", F.col("lecture") + 1).select(*spo).distinct().withColumn("known", F.lit(True))
     i = F.row_number().over(Window.partitionBy(*spo).orderBy("cue", "row_id"))
-    new = t.filter("lecture = 11").withColumn("i", i).join(known, spo, "left")
+    new = t.withColumn("i", i).join(known, spo, "left")
     return new.select("row_id", F.when(F.col("known"), "lecture_existing").when(F.col("i") > 1, "window_overlap").alias("reason"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lumenkg.operators import graph as G
 from lumenkg.operators import kg as K
+from lumenkg.operators.forest import chain_ends
 from lumenkg.registry import query
 from lumenkg.sources.tables import TRIPLETS_SQL, table, triplets
 
@@ -117,15 +118,11 @@ def g6_long_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "g9_alias_chains",
-    "WITH RECURSIVE m AS (SELECT i AS alias, i // 3 AS target FROM range(1, 2000) r(i)), c(alias, x) AS (SELECT alias, target FROM m UNION ALL SELECT c.alias, m.target FROM c JOIN m ON m.alias = c.x) SELECT alias, min(x) AS canonical FROM c GROUP BY alias",
+    "WITH RECURSIVE m AS (SELECT p_partkey AS alias, p_partkey - p_size AS target FROM part WHERE p_size < p_partkey), c(alias, x) AS (SELECT alias, target FROM m UNION ALL SELECT c.alias, m.target FROM c JOIN m ON m.alias = c.x) SELECT alias, min(x) AS canonical FROM c GROUP BY alias",
 )
 def g9_alias_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of aliases are followed to their end by pointer doubling."""
-    m = spark.range(1, 2000).select(F.col("id").alias("alias"), F.floor(F.col("id") / 3).alias("canonical"))
-    for _ in range(4):
-        nxt = m.select(F.col("alias").alias("canonical"), F.col("canonical").alias("further"))
-        m = m.join(nxt, "canonical", "left").select("alias", F.coalesce("further", "canonical").alias("canonical"))
-    return m
+    """Every part is an alias of the part as many numbers before it as its size, until there is none."""
+    return chain_ends(table(spark, sf_dir, "part").filter("p_size < p_partkey").select(F.col("p_partkey").alias("alias"), (F.col("p_partkey") - F.col("p_size")).alias("target")))
 
 
 @query(

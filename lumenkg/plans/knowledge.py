@@ -29,12 +29,13 @@ def g8_string_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "g7_synonyms",
-    """WITH RECURSIVE s AS (SELECT 'n' || i AS a, 'n' || (i + 7) AS b FROM range(0, 300) r(i) WHERE i % 5 <> 0), e AS (SELECT a, b FROM s UNION SELECT b, a FROM s), r(n, x) AS (SELECT a, a FROM e UNION SELECT r.n, e.b FROM r JOIN e ON e.a = r.x),
+    """WITH RECURSIVE s AS (SELECT 'n' || p_partkey AS a, 'n' || (p_partkey + 7) AS b FROM part WHERE p_size % 5 <> 0), e AS (SELECT a, b FROM s UNION SELECT b, a FROM s), r(n, x) AS (SELECT a, a FROM e UNION SELECT r.n, e.b FROM r JOIN e ON e.a = r.x),
     c AS (SELECT n, min(x) AS c FROM r GROUP BY n), b AS (SELECT c, arg_min(n, (length(n), n)) AS canonical FROM c GROUP BY c) SELECT n AS alias, canonical FROM c JOIN b USING (c) WHERE n <> canonical""",
 )
 def g7_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("id")
-    return E.synonym_map(spark.range(300).filter(i % 5 != 0).select(F.concat(F.lit("n"), i).alias("subject"), F.concat(F.lit("n"), i + 7).alias("object")))
+    """Parts are synonyms of the part seven numbers on, unless their size is a multiple of five: chains of any length."""
+    i = F.col("p_partkey")
+    return E.synonym_map(table(spark, sf_dir, "part").filter("p_size % 5 <> 0").select(F.concat(F.lit("n"), i).alias("subject"), F.concat(F.lit("n"), i + 7).alias("object")))
 
 
 STATS_SQL = f"{TRIPLETS_SQL}, x AS (SELECT subject AS e, relation, 1 AS s, lecture FROM t UNION ALL SELECT object, relation, 0, lecture FROM t), st AS (SELECT e AS entity, count(*) AS degree, sum((relation = 'related_with' AND s = 1)::INT) AS attr, sum((relation = 'related_with' AND s = 0)::INT) AS owner FROM x GROUP BY e)"
@@ -130,11 +131,11 @@ def i11_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_custkey", "left").select("o_orderkey", F.coalesce("c_acctbal", F.lit(-1.0)).alias("score"))
 
 
-@query("a20_full_outer_blend", f"WITH {TRIPLETS_SQL}, a AS (SELECT object AS entity, count(*)::DOUBLE AS s FROM t WHERE lecture = 1 GROUP BY object), b AS (SELECT object AS entity, count(*)::DOUBLE AS s FROM t WHERE lecture = 2 GROUP BY object) SELECT coalesce(a.entity, b.entity) AS entity, round(0.7 * coalesce(a.s, 0) + 0.3 * coalesce(b.s, 0), 6) AS score FROM a FULL JOIN b ON a.entity = b.entity")
+@query("a20_full_outer_blend", f"WITH {TRIPLETS_SQL}, a AS (SELECT lecture, object AS entity, count(*)::DOUBLE AS s FROM t GROUP BY ALL), b AS (SELECT lecture + 1 AS lecture, entity, s FROM a) SELECT coalesce(a.lecture, b.lecture) AS lecture, coalesce(a.entity, b.entity) AS entity, round(0.7 * coalesce(a.s, 0) + 0.3 * coalesce(b.s, 0), 6) AS score FROM a FULL JOIN b ON a.entity = b.entity AND a.lecture = b.lecture")
 def a20_full_outer_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = triplets(spark, sf_dir)
-    one = lambda n, c: t.filter(F.col("lecture") == n).groupBy(F.col("object").alias("entity")).agg(F.count("*").cast("double").alias(c))
-    return one(1, "a").join(one(2, "b"), "entity", "full").select("entity", F.round(0.7 * F.coalesce("a", F.lit(0.0)) + 0.3 * F.coalesce("b", F.lit(0.0)), 6).alias("score"))
+    """Every lecture blended with the one before it."""
+    one = lambda shift, c: triplets(spark, sf_dir).groupBy((F.col("lecture") + shift).alias("lecture"), F.col("object").alias("entity")).agg(F.count("*").cast("double").alias(c))
+    return one(0, "a").join(one(1, "b"), ["lecture", "entity"], "full").select("lecture", "entity", F.round(0.7 * F.coalesce("a", F.lit(0.0)) + 0.3 * F.coalesce("b", F.lit(0.0)), 6).alias("score"))
 
 
 @query("a22_node_origin", f"WITH {TRIPLETS_SQL}, x AS (SELECT subject AS entity, relation FROM t UNION ALL SELECT object, relation FROM t), f AS (SELECT entity, bool_or(relation = 'belong_to') AS tb, bool_or(relation <> 'belong_to') AS d FROM x GROUP BY entity) SELECT entity, CASE WHEN tb AND d THEN 'mixed' WHEN tb THEN 'textbook' ELSE 'delta' END AS origin FROM f")
@@ -160,11 +161,12 @@ def v1_split_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("doc_id", v.alias("verdict"), a.alias("action"))
 
 
-@query("v2_merge_rounds", f"WITH {TRIPLETS_SQL} SELECT min(row_id) AS row_id, subject, relation, object FROM t WHERE lecture < 6 GROUP BY subject, relation, object UNION ALL SELECT row_id, subject, relation, object FROM t WHERE lecture = 6")
+@query("v2_merge_rounds", f"WITH {TRIPLETS_SQL} SELECT min(row_id) AS row_id, lecture, subject, relation, object FROM t WHERE cue % 4 < 3 GROUP BY lecture, subject, relation, object UNION ALL SELECT row_id, lecture, subject, relation, object FROM t WHERE cue % 4 = 3")
 def v2_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = triplets(spark, sf_dir).select("row_id", "subject", "relation", "object", "lecture")
-    passed = K.keep_first(t.filter("lecture < 6"), ["subject", "relation", "object"], ["row_id"])
-    return passed.unionByName(t.filter("lecture = 6")).drop("lecture")
+    """In every lecture: what passed in rounds one to three once, what the fourth round says as it is."""
+    t = triplets(spark, sf_dir).select("row_id", "subject", "relation", "object", "lecture", "cue")
+    passed = K.keep_first(t.filter("cue % 4 < 3"), ["lecture", "subject", "relation", "object"], ["row_id"])
+    return passed.unionByName(t.filter("cue % 4 = 3")).drop("cue")
 
 
 @query("v5_first_cue_keeps", f"WITH {TRIPLETS_SQL} SELECT row_id FROM t QUALIFY row_number() OVER (PARTITION BY lecture, subject, relation, object ORDER BY cue, row_id) = 1")
@@ -174,13 +176,14 @@ def v5_first_cue_keeps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "v6_assemble_cue",
-    f"""WITH {TRIPLETS_SQL}, tb AS (SELECT DISTINCT subject, relation, object FROM t WHERE lecture = 7), d AS (SELECT DISTINCT subject, relation, object FROM t WHERE lecture = 8), c AS (SELECT DISTINCT subject, relation, object FROM t WHERE lecture = 9)
+    f"""WITH {TRIPLETS_SQL}, tb AS (SELECT DISTINCT lecture, subject, relation, object FROM t WHERE cue % 3 = 0), d AS (SELECT DISTINCT lecture, subject, relation, object FROM t WHERE cue % 3 = 1), c AS (SELECT DISTINCT lecture, subject, relation, object FROM t WHERE cue % 3 = 2)
     SELECT *, 'textbook' AS origin FROM tb UNION ALL SELECT *, 'delta' FROM (FROM d EXCEPT FROM tb) UNION ALL SELECT *, 'completion' FROM ((FROM c EXCEPT FROM tb) EXCEPT FROM d)""",
 )
 def v6_assemble_cue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spo = ["subject", "relation", "object"]
-    part = lambda n: triplets(spark, sf_dir).filter(F.col("lecture") == n).select(*spo).distinct()
-    tb, d, c = part(7), part(8), part(9)
+    """In every lecture, edges of three sources; a source adds what those before it do not hold."""
+    spo = ["lecture", "subject", "relation", "object"]
+    part = lambda n: triplets(spark, sf_dir).filter(F.col("cue") % 3 == n).select(*spo).distinct()
+    tb, d, c = part(0), part(1), part(2)
     tag = lambda df, o: df.withColumn("origin", F.lit(o))
     return tag(tb, "textbook").unionByName(tag(d.join(tb, spo, "left_anti"), "delta")).unionByName(tag(c.join(tb, spo, "left_anti").join(d, spo, "left_anti"), "completion"))
 

@@ -78,12 +78,12 @@ def s24_ordered_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "f27_hidden_and_pruned",
-    f"""WITH RECURSIVE {TRIPLETS_SQL}, g AS (SELECT DISTINCT subject, object FROM t WHERE relation <> 'related_with' AND weight > 49), b AS (SELECT subject AS u, object AS v FROM g UNION SELECT object, subject FROM g), r(node, x) AS (SELECT u, u FROM b UNION SELECT r.node, b.v FROM r JOIN b ON b.u = r.x), c AS (SELECT node, min(x) AS c FROM r GROUP BY node),
+    f"""WITH RECURSIVE {TRIPLETS_SQL}, g AS (SELECT DISTINCT subject, object FROM t WHERE relation <> 'related_with'), b AS (SELECT subject AS u, object AS v FROM g UNION SELECT object, subject FROM g), r(node, x) AS (SELECT u, u FROM b UNION SELECT r.node, b.v FROM r JOIN b ON b.u = r.x), c AS (SELECT node, min(x) AS c FROM r GROUP BY node),
     d AS (SELECT u AS node, count(*) AS d FROM b GROUP BY u), k AS (SELECT c FROM c JOIN d USING (node) GROUP BY c HAVING count(*) >= 4 AND NOT (max(d) = count(*) - 1 AND sum(d) = 2 * (count(*) - 1))) SELECT subject, object FROM g JOIN c ON node = subject WHERE c IN (SELECT c FROM k)""",
 )
 def f27_hidden_and_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strong edges without related_with, and then without components that have no path of three edges."""
-    return G.long_components(triplets(spark, sf_dir).filter("relation <> 'related_with' AND weight > 49").select("subject", "object").distinct())
+    """Edges without related_with, and then without components that have no path of three edges."""
+    return G.long_components(triplets(spark, sf_dir).filter("relation <> 'related_with'").select("subject", "object").distinct())
 
 
 @query(
