@@ -17,7 +17,7 @@ def clean_text(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Each CJK character, and each run of other letters and digits, in lower case."""
-    return F.regexp_extract_all(F.lower(c), F.lit(f"[{CJK}]|[\\p{{L}}\\p{{N}}&&[^{CJK}]]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(c), F.lit(f"[{CJK}]|[\\p{{L}}\\p{{N}}&&[^{CJK}]]++"), F.lit(0))
 
 
 def bm25_tokens(c: Column) -> Column:
