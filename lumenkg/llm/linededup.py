@@ -45,10 +45,9 @@ class LineRules:
     broadcast_rows: int = 300_000
 
 
-def line_key(line: Column) -> Column:
-    """A line without white space at its ends, A-Z lower-cased; other letters stay."""
-    cut = F.btrim(line, F.lit(WHITE))
-    return F.when(F.length(cut) == F.octet_length(cut), F.lower(cut)).otherwise(F.translate(cut, UPPER, UPPER.lower()))
+def lowered(line: Column) -> Column:
+    """A-Z lower-cased; other letters stay."""
+    return F.when(F.length(line) == F.octet_length(line), F.lower(line)).otherwise(F.translate(line, UPPER, UPPER.lower()))
 
 
 def _texts(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -59,7 +58,9 @@ def line_rows(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text
     """(h1, h2, split, doc, th, row, pos): every line that may be a repeated one; row tells rows of one run apart."""
     numbered = _texts(docs, text, key).withColumns({"split": F.spark_partition_id(), "row": F.monotonically_increasing_id()})  # before a row's lines part
     lines = numbered.select("doc", "th", "split", "row", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
-    keyed = lines.withColumn("line", line_key(F.col("line"))).filter(F.length("line") >= max(rules.min_chars, 1))
+    # Lower-casing keeps the length, so short lines go before it, and ends are cut once.
+    cut = lines.withColumn("line", F.btrim("line", F.lit(WHITE))).filter(F.length("line") >= max(rules.min_chars, 1))
+    keyed = cut.withColumn("line", lowered(F.col("line")))
     return keyed.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(13), "line").alias("h2"), "split", "doc", "th", "row", "pos")
 
 
