@@ -84,8 +84,8 @@ NOT_DIGIT = re.compile("[^0-9]+")
 
 @dataclass(frozen=True)
 class PiiRules:
-    #: The end of a loop that stops by itself once a round trusts no new pattern.
-    max_rounds: int = 20
+    #: Rounds after which a loop that still changes what it trusts is an error.
+    max_rounds: int = 50
     #: A pattern needs so many distinct accepted instances, and this confidence.
     min_seeds: int = 3
     min_confidence: float = 0.6
@@ -286,7 +286,7 @@ def ordinary_uses(spark: SparkSession, docs: DataFrame, patterns: DataFrame, rul
 
 
 def learned_patterns(spark: SparkSession, docs: DataFrame, found: DataFrame, rules: PiiRules = PiiRules(), text: str = "text") -> DataFrame:
-    """(pattern, kind, confidence) of trusted contexts, by iteration over the pattern-instance graph."""
+    """(pattern, kind, confidence) of trusted contexts, by iteration over the pattern-instance graph until a round trusts the very set of the one before."""
     edges = found.select(F.explode("found").alias("x")).select("x.pattern", "x.kind", "x.seed", "x.instance")
     edges = checkpointed(edges.groupBy("pattern", "kind", "instance").agg(F.max("seed").alias("seed")))
     # What has too few instances of a kind, accepted or not, can never be trusted.
@@ -298,16 +298,16 @@ def learned_patterns(spark: SparkSession, docs: DataFrame, found: DataFrame, rul
     total = mine.groupBy("pattern").agg(F.countDistinct("instance").alias("d")).join(plain, "pattern", "left")
     size = total.select("pattern", (F.col("d") + F.coalesce("n", F.lit(0))).alias("size"))
     mine = checkpointed(edges.join(wide, ["pattern", "kind"], "left_semi").join(size, "pattern"))
-    scored, trusted = mine.withColumn("score", F.col("seed").cast("double")), -1
+    scored, trusted = mine.withColumn("score", F.col("seed").cast("double")), None
     for _ in range(rules.max_rounds):
         sums = scored.groupBy("pattern", "kind").agg((F.sum("score") / F.first("size")).alias("confidence"), F.count_if(F.col("score") > 0).alias("accepted"))
         patterns = checkpointed(sums.filter((F.col("confidence") >= rules.min_confidence) & (F.col("accepted") >= rules.min_seeds)).select("pattern", "kind", "confidence"))
-        n = patterns.count()
-        if n == trusted or n == 0:
-            break
+        now = patterns.agg(F.count("*"), F.sum(F.xxhash64("pattern", "kind").cast("decimal(38,0)"))).first()
+        if now == trusted or now[0] == 0:
+            return patterns
         best = mine.join(patterns, ["pattern", "kind"]).groupBy("kind", "instance").agg(F.max("confidence").alias("c"))
-        scored, trusted = mine.join(best, ["kind", "instance"], "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("c", F.lit(0.0)))), n
-    return patterns
+        scored, trusted = mine.join(best, ["kind", "instance"], "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("c", F.lit(0.0)))), now
+    raise RuntimeError(f"trusted patterns still change after {rules.max_rounds} rounds")
 
 
 def find_personal_data(spark: SparkSession, docs: DataFrame, rules: PiiRules = PiiRules(), text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -5,8 +5,9 @@ that occurs in labelled toxic documents far more often than their share explains
 binomial test) marks its occurrences in toxic documents as toxic tokens; all tokens of
 clean documents are clean.  The field learns emissions (affixes and words) and
 transitions from windows of such tokens.  At use, forward-backward over each whole text
-gives every token's marginal; tokens above span_threshold are offending spans, and a
-logistic function of their expected number, fitted on the labelled sample, is the score.
+gives every token's marginal; tokens above span_threshold are offending spans.  The score
+is a logistic function, fitted on the labelled sample, of two figures over all marginals:
+the expected number of toxic tokens and the largest marginal.
 
 The fit sees a bounded sample of the labelled rows (ToxicityRules) and runs in one task;
 scores cover every row and whole texts.
@@ -146,10 +147,10 @@ def fit_toxicity(sample: list[tuple[int, str]], rules: ToxicityRules = ToxicityR
         model = fit([[""] * size], np.zeros((1, size), int), [0, 1], FeatureRules((3, 4, 5, 6, 7), True), {}, 1)
     table_, x, y = WordTable(model, clean_word), [], []
     for label, words in tokens:
-        x.append(math.log1p(expected_tokens(model.marginals([table_.rows[a] for a in table_.blocks([words])])[0], rules)))
+        x.append(document_figures(model.marginals([table_.rows[a] for a in table_.blocks([words])])[0]))
         y.append(label)
     share = sum(y) / len(y) if y else sum(label for label, _ in sample) / max(1, len(sample))
-    model.extra = {"logistic": _logistic(np.array(x), np.array(y)) if 0 < sum(y) < len(y) else (0.0, math.log((share + 1e-4) / (1 - share + 1e-4)))}
+    model.extra = {"logistic": _logistic(np.array(x), np.array(y)) if 0 < sum(y) < len(y) else ((0.0, 0.0), math.log((share + 1e-4) / (1 - share + 1e-4)))}
     return model
 
 
@@ -158,23 +159,29 @@ def learned_toxicity(docs: DataFrame, labels: DataFrame, rules: ToxicityRules =
     return fitted_in_task(sampled_rows(docs, labels, rules, text, key), lambda rows: fit_toxicity(rows, rules))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    a = np.stack([x, np.ones(len(x))], axis=1)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-a @ w))
-        h = (a * (p * (1 - p) + 1e-9)[:, None]).T @ a + ridge * len(x) * np.diag([0.01, 0.0]) + 1e-9 * np.eye(2)
-        step = np.linalg.solve(h, a.T @ (y - p) - ridge * 0.01 * len(x) * np.array([w[0], 0.0]))
-        w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(max(w[0], 0.0)), float(w[1])
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[tuple[float, ...], float]:
+    """Slopes of the columns of x, and the bias, by Newton's method; a column whose slope is negative is left out (slope 0) and the rest fitted again."""
+    used = list(range(x.shape[1]))
+    while True:
+        a = np.concatenate([x[:, used], np.ones((len(x), 1))], axis=1)
+        w, weight = np.zeros(len(used) + 1), ridge * 0.01 * len(x) * np.array([1.0] * len(used) + [0.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -50, 50)))
+            h = (a * (p * (1 - p) + 1e-9)[:, None]).T @ a + np.diag(weight) + 1e-9 * np.eye(len(w))
+            step = np.linalg.solve(h, a.T @ (y - p) - weight * w)
+            w += np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-8:
+                break
+        if not used or w[:-1].min() >= 0:
+            slopes = dict(zip(used, w.tolist()))
+            return tuple(slopes.get(i, 0.0) for i in range(x.shape[1])), float(w[-1])
+        del used[int(np.argmin(w[:-1]))]
 
 
-def expected_tokens(marginals: np.ndarray, rules: ToxicityRules) -> float:
-    """Expected number of toxic tokens among those at or above span_threshold."""
-    p = marginals[:, 1]
-    return float(p[p >= rules.span_threshold].sum(dtype=np.float64))
+def document_figures(marginals: np.ndarray) -> tuple[float, float]:
+    """Of all tokens of a document: log(1 + expected number of toxic ones), and the largest marginal; a text without a token has (0, 0)."""
+    p = marginals[:, 1] if len(marginals) else np.zeros(1)
+    return math.log1p(float(p.sum(dtype=np.float64))), float(p.max())
 
 
 ADDED = {"score": "double", "n_spans": "long", "spans": "array<struct<start:int,end:int,p:double>>", "predicted": "int"}
@@ -191,7 +198,7 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, model: Crf, rules: Toxi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
-        slope, bias = crf.extra["logistic"]
+        slopes, bias = crf.extra["logistic"]
         words_of = WordTable(crf, clean_word)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
         for batch in batches:
@@ -200,8 +207,8 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, model: Crf, rules: Toxi
             for first, documents in blocks_of(texts):
                 at = words_of.blocks(documents)
                 for i, p in enumerate(crf.marginals([words_of.rows[a] for a in at])):
-                    x = math.log1p(expected_tokens(p, rules)) if len(p) else 0.0
-                    scores.append(1 / (1 + math.exp(-min(50.0, max(-50.0, slope * x + bias)))))
+                    x = sum(a * b for a, b in zip(slopes, document_figures(p))) + bias
+                    scores.append(1 / (1 + math.exp(-min(50.0, max(-50.0, x)))))
                     hits = np.flatnonzero(p[:, 1] >= rules.span_threshold) if len(p) else ()
                     if len(hits):
                         places = [m.span() for m in SPACE.finditer(texts[first + i])]
