@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenkg.functions.text import clean_text
@@ -29,64 +29,56 @@ def capped_seeds(seeds: DataFrame, importance: DataFrame, most: int = 40) -> Dat
     return own.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= most).select("qid", "node")
 
 
-def touching(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(qid, subject, relation, object, from_seed, to_seed) of every edge with a seed at one end or both.
+def selected_pairs(edges: DataFrame, seeds: DataFrame, pool: DataFrame, both_in_pool: bool = True) -> DataFrame:
+    """(qid, node, other, other_seed, in_pool): a seed and a neighbour whose edges, in either direction, belong to the text.
 
-    An edge found from both its ends meets itself in an aggregate over text and edge, so the edges of a hub are spread.
-    """
-    found = None
-    for end in ("subject", "object"):
-        near = edges.join(seeds.withColumnRenamed("node", end), end)
-        near = near.select("qid", "subject", "relation", "object", F.lit(end == "subject").alias("f"), F.lit(end == "object").alias("t"))
-        found = near if found is None else found.unionByName(near)
-    return found.groupBy("qid", "subject", "relation", "object").agg(F.max("f").alias("from_seed"), F.max("t").alias("to_seed"))
-
-
-def selected_edges(candidates: DataFrame, pool: DataFrame, both_in_pool: bool = True) -> DataFrame:
-    """Of touching() edges those whose ends both lie in the pool (qid, node), in column in_pool, and the bridges.
+    Those are pairs whose ends both lie in the pool (qid, node), and bridges: a node that is no seed and has edges to two seeds
+    or more, whether in the pool or not.  Without both_in_pool every pair stays.
 
-    A node that is no seed and has edges to two seeds or more is a bridge, whether in the pool or not; its edges to seeds
-    stay.  Without both_in_pool every edge stays.
+    Neighbours of a seed are found by pair, not by edge, and meet once by text and neighbour; such a group has no more rows
+    than the text has seeds.
     """
-    rows = candidates
-    for end in ("subject", "object"):
-        mine = pool.select("qid", F.col("node").alias(end), F.lit(True).alias(f"_{end}")).distinct()
-        rows = rows.join(mine, ["qid", end], "left")
-    rows = rows.withColumn("in_pool", F.col("_subject").isNotNull() & F.col("_object").isNotNull()).drop("_subject", "_object")
-    if not both_in_pool:
-        return rows
-    mid = F.when(F.col("from_seed") & ~F.col("to_seed"), F.col("object")).when(F.col("to_seed") & ~F.col("from_seed"), F.col("subject"))
-    landing = F.when(F.col("from_seed"), F.col("subject")).otherwise(F.col("object"))
-    rows = rows.withColumn("mid", mid)
-    several = F.min("landing") < F.max("landing")  # two different seeds, without counting them
-    bridges = rows.filter("mid IS NOT NULL").select("qid", "mid", landing.alias("landing")).groupBy("qid", "mid").agg(several.alias("_bridge")).filter("_bridge")
-    return rows.join(bridges, ["qid", "mid"], "left").filter("in_pool OR _bridge").drop("mid", "_bridge")
-
-
-def _holds(text: Column, part: Column, least: int = 1) -> Column:
-    cleaned = clean_text(F.coalesce(part, F.lit("")))
-    return (F.length(cleaned) >= least) & text.contains(cleaned)
-
-
-def _mentioned(text: Column, name: Column) -> Column:
-    """A name, or what stands before or after a slash in it, occurs in the text with two characters or more."""
-    return F.exists(F.concat(F.split(name, "/"), F.array(name)), lambda p: _holds(text, p, 2))
-
-
-def scored_edges(rows: DataFrame, edges: DataFrame, texts: DataFrame, importance: DataFrame) -> DataFrame:
-    """rows with column score: relation weight, seed ends, text hits of both ends, context and description, mentions, importance of both ends."""
+    pairs = edges.select(F.explode(F.array(F.struct(F.col("subject").alias("node"), F.col("object").alias("other")), F.struct(F.col("object").alias("node"), F.col("subject").alias("other")))).alias("p"))
+    near = pairs.select("p.*").distinct().join(seeds, "node").select("qid", "node", "other")
+    marks = pool.select("qid", "node", F.lit(True).alias("p"), F.lit(False).alias("s")).unionByName(seeds.select("qid", "node", F.lit(False).alias("p"), F.lit(True).alias("s")))
+    marks = marks.groupBy("qid", "node").agg(F.max("p").alias("p"), F.max("s").alias("s"))
+    w = Window.partitionBy("qid", "other")
+    near = near.withColumn("several", F.min("node").over(w) < F.max("node").over(w))  # two different seeds, without counting them
+    near = near.join(marks.select("qid", F.col("node").alias("other"), F.col("p").alias("other_pool"), F.col("s").alias("other_seed")), ["qid", "other"], "left")
+    near = near.join(marks.select("qid", "node", F.col("p").alias("node_pool")), ["qid", "node"], "left")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    rows = near.select("qid", "node", "other", "several", no("other_seed").alias("other_seed"), (no("node_pool") & no("other_pool")).alias("in_pool"))
+    return (rows.filter(F.col("in_pool") | F.col("several") & ~F.col("other_seed")) if both_in_pool else rows).drop("several")
+
+
+def prepared_edges(edges: DataFrame, importance: DataFrame) -> DataFrame:
+    """edges with what of a score depends on them alone: weight, importance of both ends, cleaned names and texts."""
     more = [c for c in ("context", "description") if c in edges.columns]
-    rows = rows.join(edges.select("subject", "relation", "object", *more), ["subject", "relation", "object"])
+    rows = edges.select("subject", "relation", "object", *more)
     for end in ("subject", "object"):
         rows = rows.join(importance.select(F.col("node").alias(end), F.col("importance").alias(f"_i_{end}")), end, "left")
-    rows = rows.join(texts.select("qid", clean_text(F.coalesce("text", F.lit(""))).alias("_text")), "qid", "left").withColumn("_text", F.coalesce("_text", F.lit("")))
-    text, one = F.col("_text"), lambda c: c.cast("int")
     weight = F.coalesce(F.create_map(*[F.lit(x) for pair in RELATION_WEIGHTS.items() for x in pair])[F.col("relation")], F.lit(1.0))
-    hits = sum((one(_holds(text, F.col(c))) for c in ("subject", "object", *more)), F.lit(0))
-    named = one(_mentioned(text, F.col("subject"))) + one(_mentioned(text, F.col("object")))
+    cleaned = lambda cs, least: F.filter(F.transform(cs, lambda x: clean_text(F.coalesce(x, F.lit("")))), lambda x: F.length(x) >= least)
+    names = lambda c: cleaned(F.concat(F.split(c, "/"), F.array(c)), 2)
     worth = F.coalesce("_i_subject", F.lit(0.0)) + F.coalesce("_i_object", F.lit(0.0))
-    score = relation_score(weight, one(F.col("from_seed")) + one(F.col("to_seed")), hits, named, worth, F.lit(0), F.lit(False))
-    return rows.withColumn("score", F.round(score, 6)).drop("_text", "_i_subject", "_i_object")
+    return rows.select("subject", "relation", "object", weight.alias("weight"), worth.alias("worth"), cleaned(F.array("subject", "object", *more), 1).alias("texts"), names("subject").alias("s_names"), names("object").alias("o_names"))
+
+
+def scored_edges(pairs: DataFrame, edges: DataFrame, texts: DataFrame, importance: DataFrame) -> DataFrame:
+    """(qid, subject, relation, object, in_pool, score) of the edges of selected_pairs().
+
+    The score adds relation weight, seed ends, text hits of both ends, context and description, mentions (a name, or what
+    stands before or after a slash in it, of two characters or more) and the importance of both ends.
+    """
+    rows = prepared_edges(edges, importance)
+    ahead = rows.select(F.col("subject").alias("node"), F.col("object").alias("other"), F.lit(True).alias("ahead"), "*")
+    back = rows.filter("subject <> object").select(F.col("object").alias("node"), F.col("subject").alias("other"), F.lit(False).alias("ahead"), "*")
+    found = pairs.join(ahead.unionByName(back), ["node", "other"]).filter("ahead OR NOT other_seed")  # between two seeds an edge is found from both
+    found = found.join(texts.select("qid", clean_text(F.coalesce("text", F.lit(""))).alias("_text")), "qid", "left").withColumn("_text", F.coalesce("_text", F.lit("")))
+    inside, one = (lambda x: F.col("_text").contains(x)), lambda c: c.cast("int")
+    named = one(F.exists("s_names", inside)) + one(F.exists("o_names", inside))
+    score = relation_score(F.col("weight"), 1 + one(F.col("other_seed")), F.size(F.filter("texts", inside)), named, F.col("worth"), F.lit(0), F.lit(False))
+    return found.select("qid", "subject", "relation", "object", "in_pool", F.round(score, 6).alias("score"))
 
 
 def retrieve_subgraphs(
@@ -106,7 +98,7 @@ def retrieve_subgraphs(
 
     edges (subject, relation, object, and context and description if there are any), one row a triple; seeds (qid, node,
     matched: length of the match); pool (qid, node): seeds before they were filtered; texts (qid, text);
-    importance (node, importance); aliases (alias, canonical).
+    importance (node, importance); aliases (alias, canonical), one row an alias.
 
     In order: names of seeds and pool are merged, seeds capped, edges beside them selected, scored, cut at min_score (then
     bridges out of the pool go too, if both_in_pool), limited to the best (equal scores by subject, relation, object),
@@ -115,7 +107,7 @@ def retrieve_subgraphs(
     """
     seeds, pool = merged_names(seeds, aliases, "node"), merged_names(pool, aliases, "node")
     seeds = capped_seeds(seeds.filter("qid IS NOT NULL AND node IS NOT NULL"), importance, most_seeds)
-    rows = scored_edges(selected_edges(touching(edges, seeds), pool, both_in_pool), edges, texts, importance)
+    rows = scored_edges(selected_pairs(edges, seeds, pool, both_in_pool), edges, texts, importance)
     if min_score is not None:
         rows = rows.filter(F.col("score") >= min_score)
         rows = rows.filter("in_pool") if both_in_pool else rows
