@@ -33,9 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85, seeds: DataFrame | None = None) -> DataFrame:
+def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85, seeds: DataFrame | None = None, tolerance: float | None = None) -> DataFrame:
     """(node, rank) after a fixed number of power iterations over (subject, object, weight).
 
+    With a tolerance the iterations end once all ranks together move by less than it; then rounds is the most there may be,
+    and ranks that still move after them are an error.
+
     The mass of nodes without out-edges, and the jump, go to the seeds (node, p), p summing
     to 1, or to all nodes evenly.
     """
@@ -52,7 +55,17 @@ def pagerank(edges: DataFrame, rounds: int = 10, alpha: float = 0.85, seeds: Dat
         flow = share.join(rank, share["subject"] == rank["node"]).groupBy(F.col("object").alias("node")).agg(F.sum(F.col("share") * F.col("r")).alias("x"))
         moved = cut(start.join(flow, "node", "left").select("node", "p", F.coalesce("x", F.lit(0.0)).alias("x")))  # read twice below
         lost = moved.agg((1 - F.sum("x")).alias("lost"))  # one row: what dangling nodes hold
-        rank = moved.crossJoin(F.broadcast(lost)).select("node", (alpha * (F.col("x") + F.col("lost") * F.col("p")) + (1 - alpha) * F.col("p")).alias("r"))
+        after = moved.crossJoin(F.broadcast(lost)).select("node", (alpha * (F.col("x") + F.col("lost") * F.col("p")) + (1 - alpha) * F.col("p")).alias("r"))
+        if tolerance is None:
+            rank = after
+            continue
+        before, rank = rank.withColumnRenamed("r", "old"), cut(after)
+        moves = rank.join(before, "node").agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0]
+        if moves is None or moves < tolerance:
+            break
+    else:
+        if tolerance is not None:
+            raise RuntimeError(f"ranks still move by {tolerance} or more after {rounds} rounds")
     return rank.withColumnRenamed("r", "rank")
 
 
