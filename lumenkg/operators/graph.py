@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -165,6 +166,23 @@ def hub_penalty(out_degree: Column, weak_share: Column, limit: int = 20) -> Colu
     return F.when(out_degree > limit, F.sqrt(F.lit(float(limit)) / out_degree)).otherwise(1.0) * (1 - 0.3 * weak_share)
 
 
+# Titles of books and courses, which are no concepts of a chapter.
+META_TITLES = ("数理逻辑与集合论", "离散数学", "mathematical logic and set theory", "discrete mathematics")
+
+
+def is_meta_name(name: Column, titles: tuple[str, ...] = META_TITLES) -> Column:
+    """Whether a name, or what stands before its first slash, is a title or begins with one; titles of several words count anywhere in it. A null name is none."""
+    full = F.lower(F.coalesce(name, F.lit("")))
+    first = F.trim(F.split(full, "/")[0])
+    signs = [(first == t) | (full.contains(t) if " " in t else full.startswith(t)) for t in titles]
+    return reduce(Column.__or__, signs, F.lit(False))
+
+
+def demote_meta_hubs(ranked: DataFrame, titles: tuple[str, ...] = META_TITLES, factor: float = 0.35, name: str = "node", score: str = "final") -> DataFrame:
+    """ranked with the score of titles cut to factor of it, and a column meta_demoted."""
+    return ranked.withColumn("meta_demoted", is_meta_name(F.col(name), titles)).withColumn(score, F.when(F.col("meta_demoted"), F.col(score) * factor).otherwise(F.col(score)))
+
+
 def long_components(edges: DataFrame) -> DataFrame:
     """Edges of components that hold a simple path of at least 3 edges.
 

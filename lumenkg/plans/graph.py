@@ -88,6 +88,20 @@ def g13_meta_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(F.col("p_retailprice") * F.when(F.lower("p_name").startswith("a"), 0.35).otherwise(1.0), 4).alias("score"))
 
 
+@query(
+    "g13_demoted_titles",
+    """WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' / ' || p_type ELSE p_type || '/' || p_name END AS node, p_retailprice AS final FROM part),
+    m AS (SELECT *, lower(node) AS full_name, trim(split_part(lower(node), '/', 1)) AS first FROM n), d AS (SELECT *, first IN ('promo', 'new', 'large gear') OR starts_with(full_name, 'promo') OR starts_with(full_name, 'new') OR contains(full_name, 'large gear') AS meta_demoted FROM m)
+    SELECT p_partkey, node, round(CASE WHEN meta_demoted THEN final * 0.35 ELSE final END, 4) AS final, meta_demoted FROM d""",
+)
+def g13_demoted_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts under two names, of which three titles are given: one word counts at the beginning, two words count anywhere."""
+    p, kind = table(spark, sf_dir, "part"), F.col("p_type")
+    node = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit(" / "), kind)).otherwise(F.concat(kind, F.lit("/"), "p_name"))
+    ranked = p.select("p_partkey", node.alias("node"), F.col("p_retailprice").alias("final"))
+    return G.demote_meta_hubs(ranked, ("promo", "new", "large gear")).withColumn("final", F.round("final", 4))
+
+
 @query(
     "g14_expand",
     f"""WITH {SMALL_SQL}, b AS (SELECT subject AS a, object AS b FROM g UNION SELECT object, subject FROM g), d0 AS (SELECT 'S1' AS node UNION SELECT 'S2'), d1 AS (SELECT DISTINCT b AS node FROM d0 JOIN b ON a = node), d2 AS (SELECT DISTINCT b AS node FROM d1 JOIN b ON a = node)
