@@ -18,6 +18,9 @@
    the first value that both prefixes hold; its collisions are counted, and a bound from
    the hub (two classes share at most the smaller of their parts inside one hub, and what
    their parts outside it share) rules out most members of a large group without a test.
+   Pairs of different hubs are held against a bitmap of their sets, 4 to 8 bits a shingle:
+   each bit that only one of them sets is a shingle that the other lacks, so it bounds
+   what they can share, and only pairs that may still reach a link leave their tile.
    Pairs that remain are confirmed on their full sets.  No pair known to be joined is
    compared, so n near copies of one text cost about n pairs; no other pair is left out.
 
@@ -52,7 +55,9 @@ class NearDupRules:
     percent: int = 75
     #: Word hashes kept by a worker before it starts anew.
     memo_words: int = 600_000
-    #: Classes, and bytes of their sets outside hubs, in one tile of a posting.
+    #: Least bits a shingle in the bitmap of a set.
+    bits: int = 4
+    #: Classes, and bytes of their sets outside hubs and bitmaps, in one tile of a posting.
     tile_rows: int = 2_048
     tile_bytes: int = 16_000_000
 
@@ -97,6 +102,13 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 4
     return low.astype(np.uint32)
 
 
+def bitmap(shingles: np.ndarray, bits: int = 4) -> np.ndarray:
+    """The low bits of each hash set in a bitmap of a power of two; its halves, joined by or, are the bitmap of half the width."""
+    flags = np.zeros(max(64, 1 << (bits * len(shingles) - 1).bit_length()), bool)
+    flags[shingles & np.uint64(len(flags) - 1)] = True
+    return np.packbits(flags, bitorder="little").view(np.int64)
+
+
 def _signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64).view(np.int64)
 
@@ -124,24 +136,26 @@ def signatures(docs: DataFrame, rules: NearDupRules = NearDupRules(), text: str
 
 
 def full_sets(texts: DataFrame, rules: NearDupRules) -> DataFrame:
-    """(node, shingles) of (node, cid, t) rows whose text has the set that cid names."""
+    """(node, shingles, bits) of (node, cid, t) rows whose text has the set that cid names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         memo = WordHashes()
         for batch in batches:
-            nodes, sets = [], []
+            nodes, sets, bits = [], [], []
             for node, cid, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
                 s = shingle_set(t.as_py(), memo, rules.shingle_words)
                 if xxhash.xxh128_digest(s.tobytes()) == cid:
                     nodes.append(node)
                     sets.append(_signed(s))
+                    bits.append(bitmap(s, rules.bits))
                 if len(memo) > rules.memo_words:
                     memo.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+            lists = (pa.array(x, pa.list_(pa.int64())) for x in (sets, bits))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *lists], ["node", "shingles", "bits"])
 
-    return texts.select("node", "cid", "t").mapInArrow(run, "node long, shingles array<long>").dropDuplicates(["node"])
+    return texts.select("node", "cid", "t").mapInArrow(run, "node long, shingles array<long>, bits array<long>").dropDuplicates(["node"])
 
 
 def prefixed(classes: DataFrame, rules: NearDupRules) -> DataFrame:
@@ -181,18 +195,18 @@ def known_parts(links: DataFrame) -> DataFrame:
     return links.join(low, "hub").select("node", "part").unionByName(low.withColumnRenamed("hub", "node")).groupBy("node").agg(F.min("part").alias("part"))
 
 
-def tiles(entries: DataFrame, tested: DataFrame, rules: NearDupRules) -> DataFrame:
+def tiles(entries: DataFrame, tested: DataFrame, sets: DataFrame, rules: NearDupRules) -> DataFrame:
     """Classes of postings that hold several parts, copied to each pair (a, b) of tiles that they belong to; slot groups tiles for tasks."""
     own = tested.groupBy("node").agg(F.max_by(F.struct("hub", "common", "rest", "gone"), F.struct("hub_reach", "hub")).alias("h"))
-    info = entries.join(known_parts(tested.filter("linked")), "node", "left").join(own, "node", "left")
+    info = entries.join(known_parts(tested.filter("linked")), "node", "left").join(own, "node", "left").join(sets.select("node", "bits"), "node")
     none = F.array().cast("array<bigint>")
     info = checkpointed(
         info.select(
-            "node", "ks", "mask", "sig", F.col("n_shingles").alias("n"), F.coalesce("part", "node").alias("part"),
+            "node", "ks", "mask", "sig", "bits", F.col("n_shingles").alias("n"), F.coalesce("part", "node").alias("part"),
             F.coalesce("h.hub", "node").alias("hub"), F.coalesce("h.common", "n_shingles").alias("inside"), F.coalesce("h.rest", none).alias("rest"), F.coalesce("h.gone", none).alias("gone"),
         )
     )
-    size = info.select(F.explode("ks").alias("k"), "part", (F.size("rest") + F.size("gone")).alias("r")).groupBy("k").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m"), F.sum("r").alias("r"))
+    size = info.select(F.explode("ks").alias("k"), "part", (F.size("rest") + F.size("gone") + F.size("bits")).alias("r")).groupBy("k").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("m"), F.sum("r").alias("r"))
     cut = F.greatest(F.ceil(F.col("m") / rules.tile_rows), F.ceil(8 * F.col("r") / rules.tile_bytes), F.lit(1))
     mixed = checkpointed(size.filter("lo < hi").select("k", cut.alias("cut"), "m"))
     rows = mixed.agg(F.sum(F.col("m") * F.col("cut"))).first()[0] or 0
@@ -200,7 +214,7 @@ def tiles(entries: DataFrame, tested: DataFrame, rules: NearDupRules) -> DataFra
     held = info.withColumn("k", F.explode("ks")).drop("ks").join(mixed, "k").withColumn("tile", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)))
     held = held.withColumn("a", F.least("tile", "other")).withColumn("b", F.greatest("tile", "other"))
     slot = F.pmod(F.xxhash64("k", "a", "b"), F.lit(max(1, rows // rules.tile_rows)))
-    return held.select(slot.alias("slot"), "k", "a", "b", "tile", "node", "part", "n", "mask", "sig", "hub", "inside", "rest", "gone")
+    return held.select(slot.alias("slot"), "k", "a", "b", "tile", "node", "part", "n", "mask", "sig", "bits", "hub", "inside", "rest", "gone")
 
 
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +230,7 @@ def tile_pairs(rows: pa.Table, rules: NearDupRules) -> pa.Table:
     rows = rows.sort_by([("k", "ascending"), ("a", "ascending"), ("b", "ascending"), ("tile", "ascending"), ("node", "ascending")])
     col = {c: rows.column(c).to_numpy() for c in ("k", "a", "b", "tile", "node", "part", "n", "mask", "hub", "inside")}
     sig = _lists(rows.column("sig"))[0].reshape(rows.num_rows, -1)
-    rest, gone = _lists(rows.column("rest")), _lists(rows.column("gone"))
+    rest, gone, bits = (_lists(rows.column(c)) for c in ("rest", "gone", "bits"))
     n_rest, n_gone = np.diff(rest[1]), np.diff(gone[1])
     key = np.stack([col["k"], col["a"], col["b"]])
     cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
@@ -254,11 +268,14 @@ def tile_pairs(rows: pa.Table, rules: NearDupRules) -> pa.Table:
             both = (sig[u] == sig[v]) & ((col["mask"][u] & col["mask"][v])[:, None] >> np.arange(sig.shape[1]) & 1).astype(bool)
             mine = both.argmax(axis=1) == coordinate
             u, v = u[mine], v[mine]
+            least = -(-rules.percent * (col["n"][u] + col["n"][v]) // (100 + rules.percent))
             same = col["hub"][u] == col["hub"][v]
-            open_pairs += [(int(p), int(q)) for p, q in zip(u[~same], v[~same])]
+            p, q = u[~same], v[~same]
+            may = least[~same] <= _most_shared(*bits, col["n"], p, q)
+            open_pairs += zip(p[may].tolist(), q[may].tolist())
             u, v = u[same], v[same]
             # All of the hub's set that neither lacks, and what both have outside it.
-            need = -(-rules.percent * (col["n"][u] + col["n"][v]) // (100 + rules.percent)) - (col["inside"][u] - n_gone[v])
+            need = least[same] - (col["inside"][u] - n_gone[v])
             fits = need <= np.minimum(n_gone[u], n_gone[v]) + np.minimum(n_rest[u], n_rest[v])
             u, v, need = u[fits], v[fits], need[fits]
             if len(u):
@@ -273,6 +290,20 @@ def tile_pairs(rows: pa.Table, rules: NearDupRules) -> pa.Table:
     return pa.table({"node": pa.array(col["node"][p]), "hub": pa.array(col["node"][q]), "sure": pa.array([x[2] for x in found], pa.bool_())})
 
 
+def _most_shared(values: np.ndarray, ends: np.ndarray, n: np.ndarray, u: np.ndarray, v: np.ndarray, block: int = 1 << 19) -> np.ndarray:
+    """For each pair of rows, how many values their sets of n values can share at most, by their bitmaps."""
+    out, words, width = np.zeros(len(u), np.int64), values.view(np.uint64), np.diff(ends)
+    for wide in np.unique(np.stack([width[u], width[v]]), axis=1).T.tolist() if len(u) else ():
+        at, low = np.flatnonzero((width[u] == wide[0]) & (width[v] == wide[1])), min(wide)
+        step = max(1, block // max(wide))
+        for i in range(0, len(at), step):
+            pairs = at[i : i + step]
+            x, y = (np.bitwise_or.reduce(words[ends[r][:, None] + np.arange(w)].reshape(len(r), -1, low), axis=1) for r, w in zip((u[pairs], v[pairs]), wide))
+            lacks = (np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64) for a, b in ((x, y), (y, x)))
+            out[pairs] = np.minimum(*(n[r] - k for r, k in zip((u[pairs], v[pairs]), lacks)))
+    return out
+
+
 def _shared(values: np.ndarray, ends: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """For each pair of rows, how many values their lists share; u is ascending, values of a list are distinct."""
     rows = np.unique(np.concatenate([u, v]))
@@ -304,7 +335,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, rules: NearDupRules =
     texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("t")).join(wanted, "_id")
     sets = checkpointed(full_sets(texts, rules))
     tested = checkpointed(compared(hub_pairs(entries, rules), sets, rules))
-    slots = tiles(entries, tested, rules)
+    slots = tiles(entries, tested, sets, rules)
     met = checkpointed(slots.groupBy("slot").applyInArrow(lambda t: tile_pairs(t, rules), "node long, hub long, sure boolean"))
     confirmed = compared(met.filter("NOT sure").select("node", "hub"), sets, rules).filter("linked")
     links = reduce(DataFrame.unionByName, (df.select("node", "hub") for df in (tested.filter("linked"), met.filter("sure"), confirmed)))

@@ -3,6 +3,10 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
+
+from lumenkg.llm import neardup
 from lumenkg.llm.neardup import NearDupRules, WordHashes, near_duplicates, shingle_set
 
 
@@ -65,3 +69,40 @@ def test_misses_are_rare():
     r = NearDupRules()
     missed = sum(math.comb(r.coordinates, i) * 0.75**i * 0.25 ** (r.coordinates - i) for i in range(r.min_matches))
     assert missed < 5e-6
+
+
+def test_pairs_of_different_hubs():
+    """Of two classes with different hubs and enough collisions, only those that may be linked leave their tile."""
+    rules, (a, b) = NearDupRules(), neardup._coefficients(32)
+    rng = np.random.default_rng(5)
+    left = {0.4: 0, 0.8: 0}
+    for alike in left:
+        for _ in range(40):
+            n, m = 200, round(400 * alike / (1 + alike))
+            drawn = rng.integers(0, 2**63, 2 * n - m, np.uint64) * np.uint64(2)
+            sets = [np.sort(drawn[:n]), np.sort(drawn[n - m :])]
+            sig = [neardup.signature(s, a, b).view(np.int32) for s in sets]
+            same = np.flatnonzero(sig[0] == sig[1])
+            if len(same) < rules.min_matches:
+                continue
+            k = (int(same[0]) << 32) + int(sig[0][same[0]])
+            none = pa.array([[], []], pa.list_(pa.int64()))
+            ones = {"k": k, "a": 0, "b": 0, "tile": 0, "n": n, "mask": 2**32 - 1, "inside": n}
+            rows = pa.table({c: pa.array([v, v], pa.int64()) for c, v in ones.items()} | {c: pa.array([1, 2], pa.int64()) for c in ("node", "part", "hub")} | {"sig": pa.array(sig, pa.list_(pa.int32())), "rest": none, "gone": none, "bits": pa.array([neardup.bitmap(s) for s in sets], pa.list_(pa.int64()))})
+            found = neardup.tile_pairs(rows, rules).to_pylist()
+            assert alike < 0.75 or found == [{"node": 1, "hub": 2, "sure": False}]
+            left[alike] += len(found)
+    assert left == {0.4: 0, 0.8: 40}
+
+
+def test_bitmaps_bound_what_sets_share():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 3000, np.uint64) * np.uint64(2)
+    sets = [np.unique(rng.choice(pool[:most], rng.integers(1, most), replace=False)) for most in (2, 60, 300, 3000) for _ in range(12)]
+    maps = [neardup.bitmap(s) for s in sets]
+    u, v = np.triu_indices(len(sets), 1)
+    bound = neardup._most_shared(np.concatenate(maps), np.cumsum([0, *map(len, maps)]), np.array([len(s) for s in sets]), u, v)
+    true = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(u, v)])
+    assert (true <= bound).all() and (bound <= [min(len(sets[a]), len(sets[b])) for a, b in zip(u, v)]).all()
+    alike = u // 12 == v // 12
+    assert (bound - true)[alike].mean() < 0.2 * np.array([len(sets[a]) for a in u])[alike].mean()
