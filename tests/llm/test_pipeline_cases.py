@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
+from lumenkg.llm import neardup  # noqa: E402
 from lumenkg.llm.pii import base_spans  # noqa: E402
 from lumenkg.llm.stages import mask_stage, masked, near_duplicate_stage, quality_stage, toxicity_stage  # noqa: E402
 
@@ -89,3 +91,22 @@ def test_run_equals_a_plain_reckoning(spark, odd):
         if len(texts) == 1:
             got = b"".join(bytes(p.ids_le) for p in sorted(pieces[key], key=lambda p: p.start))
             assert got == b"".join(x.to_bytes(4, "little") for x in texts[0])
+
+
+def test_near_duplicates_of_different_hubs(spark, monkeypatch):
+    """Two groups that share half of their texts, each class its own hub: few pairs of both groups are left to confirm, and one document of each group stays."""
+    rng = random.Random(9)
+    drawn = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, rows = drawn(120), []
+    for g in range(2):
+        base = passage + drawn(90)
+        for i in range(30):
+            at = rng.randrange(len(base))
+            rows.append((100 * g + i, " ".join([*base[:at], f"n{g}x{i}", *base[at + 1 :]])))
+    tiles, compared, counts = neardup.tiles, neardup.compared, []
+    none = F.array().cast("array<bigint>")
+    monkeypatch.setattr(neardup, "tiles", lambda *args: tiles(*args).withColumns({"hub": F.col("node"), "inside": F.col("n"), "rest": none, "gone": none}))
+    monkeypatch.setattr(neardup, "compared", lambda pairs, *rest: counts.append(pairs.count()) or compared(pairs, *rest))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_duplicate_stage(spark, docs, "").collect()) == [0, 100]
+    assert counts[1] <= 10
