@@ -115,7 +115,9 @@ def a18_weighted_lecture_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a19_max_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = triplets(spark, sf_dir).groupBy(F.col("object").alias("entity")).agg(F.max(F.col("weight") * (F.col("lecture") + 1)).alias("s"))
     ends = F.broadcast(m.agg(F.min("s").alias("lo"), F.max("s").alias("hi")))  # one row
-    return m.crossJoin(ends).select("entity", F.round((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")), 6).alias("score"))
+    above, span = F.col("s") - F.col("lo"), F.col("hi") - F.col("lo")
+    score = F.when(span == 0, above + float("nan")).otherwise(F.round(above / span, 6))  # a span of 0 has no scores: 0 / 0, which ANSI mode refuses
+    return m.crossJoin(ends).select("entity", score.alias("score"))
 
 
 @query(
