@@ -138,13 +138,14 @@ def r12_answer_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY cue_id, context, start_sec, end_sec ORDER BY id) = 1""",
 )
 def j1_filled_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("l_linenumber")
+    """Lines that repeat an id are taken in the order of the table, as the SQL's engine does on one thread."""
+    n, place = F.col("l_linenumber"), [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")]
     p = table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 10 + n).alias("id"), F.col("l_orderkey").alias("cue_id"), F.when(n % 2 == 0, "c").otherwise("").alias("context"), F.when(n % 3 == 0, F.concat(F.lit("L"), n)).otherwise("").alias("lecture_id"), F.when(n % 4 == 0, 5.0).alias("start_sec"), F.lit(0.0).alias("end_sec"),
-        F.lit(None).cast("string").alias("clip_path"), F.lit("frame").alias("ppt_frame_path"), F.lit(0).alias("ppt_page_index"), F.when(n == 1, "").otherwise(F.col("l_returnflag")).alias("source_text"),
+        F.lit(None).cast("string").alias("clip_path"), F.lit("frame").alias("ppt_frame_path"), F.lit(0).alias("ppt_page_index"), F.when(n == 1, "").otherwise(F.col("l_returnflag")).alias("source_text"), *place,
     )
     s, text = (F.col("o_custkey") % 60).cast("double"), F.col("o_orderpriority")
     c = table(spark, sf_dir, "orders").filter("o_orderkey % 7 > 0").select(
         F.col("o_orderkey").alias("cue_id"), text.alias("lecture_id"), s.alias("start_sec"), (s + 9).alias("end_sec"), text.alias("clip_path"), text.alias("ppt_frame_path"), (F.col("o_custkey") % 5).cast("int").alias("ppt_page_index"), text.alias("source_text")
     )
-    return B.filled_provenance(p, c, "id")
+    return B.filled_provenance(p, c, "id", "_file", "_row").drop("_file", "_row")

@@ -51,3 +51,10 @@ def test_words_end_at_letters_beyond_ascii(spark, tmp_path):
     texts = ["rétion tionè Ètionè", "TİON İthe the", "a_the the_ of-and", "nation attion", None, ""]
     rows = same_as_sql(spark, tmp_path, "a9_mentions", benchmark=pa.table({"item_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}))
     assert rows[("tion", 4)] == 1
+
+
+def test_repeated_ids_in_the_order_of_the_table(spark, tmp_path):
+    rows = [(o, 1, 1, n, 1.0, flag, "O") for flag in "RANARN" for o in range(1, 40) for n in (2, 3, 4)]
+    orders = pa.table({"o_orderkey": pa.array(range(40), pa.int64()), "o_custkey": pa.array(range(40), pa.int64()), "o_orderpriority": ["1-URGENT"] * 40})
+    found = same_as_sql(spark, tmp_path, "j1_filled_provenance", lineitem=[lines(*rows[:200][::-1]), lines(*rows[200:])], orders=orders)
+    assert len(found) == 116  # cue 5 starts at 5.0 either way
