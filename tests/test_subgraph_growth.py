@@ -67,3 +67,7 @@ def check(spark, hubs, both, floor, limit, most):
 
 def test_best_beside_hubs(spark, hubs):
     check(spark, hubs, False, 8.0, 7, 200_000)  # 300 texts x 4,000 edges are 1,200,000
+
+
+def test_pool_beside_hubs(spark, hubs):
+    check(spark, hubs, True, 4.0, 60, 60_000)
