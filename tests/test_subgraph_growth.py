@@ -5,7 +5,7 @@ import pytest
 from lumenkg.operators import subgraph as S
 
 
-def shuffled_rows(spark, work):
+def shuffled_rows(spark, work, broadcast="-1"):
     """What work() returns, and the rows that its stages wrote to shuffles."""
     store = spark.sparkContext._jsc.sc().statusStore()
 
@@ -16,7 +16,7 @@ def shuffled_rows(spark, work):
         return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
     before = written()
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where no side is small
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)  # -1: as where no side is small
     try:
         return work(), written() - before
     finally:
