@@ -1,5 +1,8 @@
 """What retrieval of subgraphs makes of many texts about the same hubs: the same rows as a plain count, without a row for every text and edge."""
 
+import itertools
+import random
+
 import pytest
 
 from lumenkg.operators import subgraph as S
@@ -71,3 +74,23 @@ def test_best_beside_hubs(spark, hubs):
 
 def test_pool_beside_hubs(spark, hubs):
     check(spark, hubs, True, 4.0, 60, 60_000)
+
+
+def test_bridges_between_hubs(spark, hubs):
+    check(spark, hubs, True, None, 7, 600_000)
+
+
+@pytest.mark.parametrize("hub,limit", [(0, 3), (1, 2), (2, 5), (3, 1)])
+def test_hubs_of_any_size_choose_alike(spark, monkeypatch, hub, limit):
+    rng = random.Random(f"{hub}{limit}")
+    nodes = [f"n{i}" for i in range(14)]
+    edges = spark.createDataFrame([(*e, rng.choice(["", "n3 and", "told"])) for e in rng.sample(list(itertools.product(nodes, ["part_of", "related_with", "x"], nodes)), 130)], "subject string, relation string, object string, description string")
+    rows = [(q, n) for q in range(25) for n in rng.sample(nodes, 4)]
+    seeds = spark.createDataFrame([(q, n, rng.randint(1, 2)) for q, n in rows], "qid long, node string, matched int")
+    pool = spark.createDataFrame(rows + [(q, rng.choice(nodes)) for q in range(25)], "qid long, node string")
+    texts = spark.createDataFrame([(q, " ".join(["told"] * rng.randint(0, 1) + rng.sample(nodes, 2))) for q in range(25)], "qid long, text string")
+    importance = spark.createDataFrame([(n, rng.randint(0, 3) / 7) for n in nodes[2:]], "node string, importance double")
+    inputs = {"edges": edges, "seeds": seeds, "pool": pool, "texts": texts, "importance": importance, "most_seeds": 3}
+    every = S.retrieve_subgraphs(**inputs)  # no limit: all edges are scored
+    monkeypatch.setattr(S.best_bridges, "__defaults__", (hub,))
+    assert sorted(S.retrieve_subgraphs(**inputs, limit=limit).collect()) == sorted(every.filter(every["rank"] <= limit).collect())
