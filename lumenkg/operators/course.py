@@ -42,7 +42,8 @@ def substring_join(texts: DataFrame, names: DataFrame, text: str, name: str) ->
     keys = F.concat(F.array(F.lit("")), letters, pairs)
     starts = names.select(F.substring(name, 1, 2).alias("_g")).distinct()
     # Keys go without their text; the text is met again by its hash, and the test below settles what a hash cannot.
-    met = texts.select(F.xxhash64(text).alias("_h"), F.explode(keys).alias("_g")).distinct().join(starts, "_g")
+    # A text's keys are made distinct in its row, so that no row of a letter is shuffled.
+    met = texts.select(F.xxhash64(text).alias("_h"), F.explode(F.array_distinct(keys)).alias("_g")).join(starts, "_g").distinct()
     found = names.withColumn("_g", F.substring(name, 1, 2)).join(met, "_g").drop("_g")
     return texts.withColumn("_h", F.xxhash64(text)).join(found, "_h").filter(t.contains(F.col(name))).drop("_h")
 
